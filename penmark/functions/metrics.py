@@ -19,6 +19,7 @@ from . import spec as S
 from .charclass import DASH, GRAPHEME_EXTEND, HYPHEN_IN_GRAPHEME, QUOTE, WS, WS_CHARS, WSN
 from .normalize import SENTENCE_SEGMENT
 from .phrases import family_pattern
+from ..session import balance
 
 METRICS = lexicon.METRIC_ORDER
 
@@ -124,7 +125,7 @@ def with_text_metrics(df: DataFrame, text: str = "text", keep_sentence_count: bo
 
     A null text gives null metrics (the sentence count alone is 1)."""
     emoji_mod.emoji_table(df.sparkSession)
-    out = S.apply_steps(df, metric_steps(text))
+    out = S.apply_steps(balance(df), metric_steps(text))
     drop = [c for c in helper_columns() if c in out.columns]
     if not keep_sentence_count:
         drop.append("sentence_count")

@@ -7,17 +7,21 @@ written with DataFrame operations:
   point (``groupBy(f0..f14).count()``, map-side combined, so a hot vector
   such as all-zeros collapses inside each task before the shuffle). Means,
   assignments and inertia are the same as over the raw rows; every later
-  pass scans the compact table, checkpointed in the shared folder.
+  pass scans the compact table, written once to the shared folder.
+* **centres as a table**: each round's centres are a tiny table (one row
+  per run, ``runs`` is bounded) broadcast into a nested-loop join with the
+  points. The SQL text of a round never changes during a fit, so Spark
+  reuses the compiled code and the lineage never grows; only the centre
+  rows do.
 * **seeding** (k-means++, weight = distance to the nearest chosen centre):
   a weighted pick by exponential race, ``argmin(-ln(u) / (w·d))`` with
   ``u`` a hash of the point, the run and the seed, so the pick does not
-  depend on partitioning. One global aggregate per centre for all runs.
-* **Lloyd rounds**: nearest centre by L∞ against centres embedded as
-  literals (no join, lineage never grows); means by one aggregate per
-  round over ``(run, cluster)`` for all unconverged runs at once: partial
-  aggregation leaves at most ``runs × k`` rows per task to shuffle. An empty
-  cluster keeps its centre; a run stops when no centre moves more than
-  ``tol`` (max abs shift) or after ``max_iter`` rounds.
+  depend on partitioning. One grouped aggregate per centre for all runs.
+* **Lloyd rounds**: nearest centre by L∞ (ties to the lower index), means
+  by one aggregate per round over ``(run, cluster)`` for all unconverged
+  runs at once: partial aggregation leaves at most ``runs × k`` rows per
+  task to shuffle. An empty cluster keeps its centre; a run stops when no
+  centre coordinate moves more than ``tol`` or after ``max_iter`` rounds.
 * **restarts**: keep the run with the lowest inertia (mean distance to the
   nearest centre), ties to the lower run number.
 
@@ -26,6 +30,7 @@ Only ``runs × k × 15`` doubles ever reach the driver.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,10 +39,12 @@ from pyspark.sql import types as T
 
 from ..functions import lexicon
 from ..functions.features import linf_to_point
-from ..session import materialize
 
 FEATS = lexicon.FEATURE_NAMES
+DIM = len(FEATS)
 _TWO53 = 2**53
+MAX_RUNS = 1000  # the centre table is broadcast: keep it provably small
+MAX_K = 256
 
 
 @dataclass
@@ -50,7 +57,7 @@ class KMeansResult:
     runs: list[dict] = field(default_factory=list)
 
 
-# --------------------------------------------------------------- primitives
+# ------------------------------------------------------------ column forms
 def compact(features: DataFrame, weight: str | None = None) -> DataFrame:
     """(f0..f14, w): one row per distinct feature vector, w = number of rows."""
     w = F.sum(weight) if weight else F.count(F.lit(1))
@@ -59,7 +66,7 @@ def compact(features: DataFrame, weight: str | None = None) -> DataFrame:
 
 
 def assign_expr(centres: list[list[float]]) -> Column:
-    """Index of the nearest centre; ties go to the lower index."""
+    """Index of the nearest centre (literal centres); ties go to the lower index."""
     ds = [linf_to_point(c) for c in centres]
     if len(ds) == 1:
         return F.lit(0)
@@ -74,83 +81,149 @@ def min_distance_expr(centres: list[list[float]]) -> Column:
     return ds[0] if len(ds) == 1 else F.least(*ds)
 
 
-def _uniform(run: int, salt: int, seed: int) -> Column:
-    """u in (0, 1], a pure function of the point's values, the run and the seed."""
-    h = F.xxhash64(*[F.col(f) for f in FEATS], F.lit(run), F.lit(salt), F.lit(seed))
-    return (F.pmod(h, F.lit(_TWO53)).cast("double") + F.lit(1.0)) / F.lit(float(_TWO53))
+def predict(df: DataFrame, centroids: list[list[float]], out: str = "cluster") -> DataFrame:
+    """Nearest centre per row: a projection, no shuffle."""
+    return df.withColumn(out, assign_expr(centroids))
 
 
-def seed_centres(points: DataFrame, k: int, runs: int, seed: int) -> list[list[list[float]]]:
-    """k-means++ starting centres for every run, ``[run][cluster][feature]``."""
-    vec = F.array(*[F.col(f) for f in FEATS])
-    chosen: list[list[list[float]]] = [[] for _ in range(runs)]
-    for j in range(k):
-        aggs = []
-        for r in range(runs):
+# --------------------------------------------------------------- SQL forms
+def _dist_sql(j: int) -> str:
+    return "greatest(" + ", ".join(f"abs(p.f{i} - c.c{j}_{i})" for i in range(DIM)) + ")"
+
+
+def _label_sql(k: int) -> str:
+    if k == 1:
+        return "0"
+    if k == 2:
+        return f"CASE WHEN {_dist_sql(0)} <= {_dist_sql(1)} THEN 0 ELSE 1 END"
+    ds = ", ".join(_dist_sql(j) for j in range(k))
+    return f"array_position(array({ds}), array_min(array({ds}))) - 1"
+
+
+def _mindist_sql(k: int) -> str:
+    if k == 1:
+        return _dist_sql(0)
+    return "least(" + ", ".join(_dist_sql(j) for j in range(k)) + ")"
+
+
+class _Loop:
+    """Holds the temp views and fixed SQL texts of one fit."""
+
+    def __init__(self, points: DataFrame, k: int):
+        if not 1 <= k <= MAX_K:
+            raise ValueError(f"k must be in 1..{MAX_K}")
+        self.spark = points.sparkSession
+        self.k = k
+        tag = uuid.uuid4().hex[:12]
+        self.pv = f"_penmark_points_{tag}"
+        self.cv = f"_penmark_centres_{tag}"
+        points.createOrReplaceTempView(self.pv)
+        sums = ", ".join(f"sum(p.f{i} * p.w) AS f{i}" for i in range(DIM))
+        self.step_sql = (
+            f"SELECT /*+ BROADCAST(c) */ c.run AS run, {_label_sql(k)} AS cluster, sum(p.w) AS n, {sums} "
+            f"FROM {self.pv} p CROSS JOIN {self.cv} c GROUP BY 1, 2"
+        )
+        self.inertia_sql = (
+            f"SELECT /*+ BROADCAST(c) */ c.run AS run, sum({_mindist_sql(k)} * p.w) / sum(p.w) AS inertia "
+            f"FROM {self.pv} p CROSS JOIN {self.cv} c GROUP BY 1"
+        )
+
+    @staticmethod
+    def _schema(k: int) -> T.StructType:
+        return T.StructType(
+            [T.StructField("run", T.IntegerType(), False)]
+            + [T.StructField(f"c{j}_{i}", T.DoubleType(), False) for j in range(k) for i in range(DIM)]
+        )
+
+    def set_centres(self, centres: dict[int, list[list[float]]], k: int | None = None) -> None:
+        k = self.k if k is None else k
+        rows = [(int(r), *[float(v) for c in centres[r][:k] for v in c]) for r in sorted(centres)]
+        self.spark.createDataFrame(rows, self._schema(k)).createOrReplaceTempView(self.cv)
+
+    def step(self, centres: dict[int, list[list[float]]]):
+        self.set_centres(centres)
+        new = {r: [list(c) for c in centres[r]] for r in centres}
+        counts = {r: [0.0] * self.k for r in centres}
+        for row in self.spark.sql(self.step_sql).collect():
+            n = row["n"]
+            if n and n > 0:
+                new[row["run"]][row["cluster"]] = [row[f] / n for f in FEATS]
+                counts[row["run"]][row["cluster"]] = float(n)
+        return new, counts
+
+    def inertia(self, centres: dict[int, list[list[float]]]) -> dict[int, float]:
+        self.set_centres(centres)
+        return {row["run"]: float(row["inertia"]) for row in self.spark.sql(self.inertia_sql).collect()}
+
+    def seed(self, runs: int, seed: int) -> dict[int, list[list[float]]]:
+        """k-means++ picks for all runs: k grouped aggregates."""
+        vec = "array(" + ", ".join(f"p.f{i}" for i in range(DIM)) + ")"
+        hvec = ", ".join(f"p.f{i}" for i in range(DIM))
+        chosen: dict[int, list[list[float]]] = {r: [] for r in range(runs)}
+        for j in range(self.k):
             if j == 0:
-                weight = F.col("w")
+                weight = "p.w"
+                self.spark.createDataFrame([(r,) for r in range(runs)], "run int").createOrReplaceTempView(self.cv)
             else:
-                weight = F.col("w") * min_distance_expr(chosen[r])
-            # zero weight (a chosen point, or w = 0) never wins: null ordering
-            key = F.when(
-                weight > 0,
-                F.struct(
-                    (-F.log(_uniform(r, j, seed)) / weight).alias("k"),
-                    F.xxhash64(*[F.col(f) for f in FEATS]).alias("t"),
-                ),
+                near = _dist_sql(0) if j == 1 else "least(" + ", ".join(_dist_sql(i) for i in range(j)) + ")"
+                weight = f"p.w * {near}"
+                self.set_centres(chosen, k=j)
+            u = f"((pmod(xxhash64({hvec}, c.run, {j}, {int(seed)}), {_TWO53}) + 1.0) / {float(_TWO53)})"
+            key = f"CASE WHEN {weight} > 0 THEN named_struct('k', -ln({u}) / ({weight}), 't', xxhash64({hvec})) END"
+            sql = (
+                f"SELECT /*+ BROADCAST(c) */ c.run AS run, min_by({vec}, {key}) AS pick "
+                f"FROM {self.pv} p CROSS JOIN {self.cv} c GROUP BY 1"
             )
-            aggs.append(F.min_by(vec, key).alias(f"r{r}"))
-        row = points.agg(*aggs).collect()[0]
-        for r in range(runs):
-            c = row[f"r{r}"]
-            if c is None:  # fewer distinct points than k: repeat the last centre
-                c = chosen[r][-1]
-            chosen[r].append([float(v) for v in c])
-    return chosen
+            picks = {row["run"]: row["pick"] for row in self.spark.sql(sql).collect()}
+            for r in range(runs):
+                c = picks.get(r)
+                if c is None:  # fewer distinct points than k: repeat the last centre
+                    c = chosen[r][-1]
+                chosen[r].append([float(v) for v in c])
+        return chosen
 
+    def close(self) -> None:
+        for v in (self.pv, self.cv):
+            self.spark.catalog.dropTempView(v)
 
-def lloyd_step(points: DataFrame, centres: dict[int, list[list[float]]]) -> dict[int, list[list[float]]]:
-    """One Lloyd round for the given runs (one job); returns new centres.
 
-    ``points`` is (f0..f14, w); ``centres`` maps run -> k centres."""
-    return lloyd_step_counts(points, centres)[0]
+def _shift(a: list[list[float]], b: list[list[float]]) -> float:
+    return max(abs(x - y) for ca, cb in zip(a, b) for x, y in zip(ca, cb))
+
+
+# ------------------------------------------------------------ public steps
+def seed_centres(points: DataFrame, k: int, runs: int, seed: int) -> list[list[list[float]]]:
+    """k-means++ starting centres for every run, ``[run][cluster][feature]``."""
+    loop = _Loop(points, k)
+    try:
+        s = loop.seed(runs, seed)
+        return [s[r] for r in range(runs)]
+    finally:
+        loop.close()
 
 
 def lloyd_step_counts(points: DataFrame, centres: dict[int, list[list[float]]]):
-    """As :func:`lloyd_step`, also returning the member weight per (run, cluster)."""
-    run_ids = sorted(centres)
-    labels = F.array(*[assign_expr(centres[r]) for r in run_ids])
-    exploded = points.select(
-        *FEATS, "w", F.posexplode(labels).alias("ri", "cluster")
-    ).withColumn("run", F.element_at(F.array(*[F.lit(r) for r in run_ids]), F.col("ri") + 1))
-    agg = exploded.groupBy("run", "cluster").agg(
-        F.sum("w").alias("n"), *[F.sum(F.col(f) * F.col("w")).alias(f) for f in FEATS]
-    )
-    new = {r: [list(c) for c in centres[r]] for r in run_ids}
-    counts = {r: [0.0] * len(centres[r]) for r in run_ids}
-    for row in agg.collect():
-        if row["n"] and row["n"] > 0:
-            new[row["run"]][row["cluster"]] = [row[f] / row["n"] for f in FEATS]
-            counts[row["run"]][row["cluster"]] = float(row["n"])
-    return new, counts
+    """One Lloyd round for the given runs; new centres and member weights."""
+    loop = _Loop(points, len(next(iter(centres.values()))))
+    try:
+        return loop.step(centres)
+    finally:
+        loop.close()
 
 
-def inertia(points: DataFrame, centres: dict[int, list[list[float]]]) -> dict[int, float]:
-    """Weighted mean distance to the nearest centre, per run (one job)."""
-    run_ids = sorted(centres)
-    aggs = [
-        (F.sum(min_distance_expr(centres[r]) * F.col("w")) / F.sum("w")).alias(f"r{r}")
-        for r in run_ids
-    ]
-    row = points.agg(*aggs).collect()[0]
-    return {r: float(row[f"r{r}"]) for r in run_ids}
+def lloyd_step(points: DataFrame, centres: dict[int, list[list[float]]]) -> dict[int, list[list[float]]]:
+    return lloyd_step_counts(points, centres)[0]
 
 
-def _shift(a: list[list[float]], b: list[list[float]]) -> float:
-    return max(abs(x - y) for ca, cb in zip(a, b) for x, y in zip(ca, cb))
+def inertia(points: DataFrame, centres: dict[int, list[list[float]]]) -> dict[int, float]:
+    """Weighted mean distance to the nearest centre, per run (one job)."""
+    loop = _Loop(points, len(next(iter(centres.values()))))
+    try:
+        return loop.inertia(centres)
+    finally:
+        loop.close()
 
 
-# ---------------------------------------------------------------------- fit
 def fit_points(
     points: DataFrame,
     k: int = lexicon.DEFAULT_K,
@@ -161,29 +234,31 @@ def fit_points(
     init: list[list[float]] | None = None,
 ) -> KMeansResult:
     """Fit on a compact (f0..f14, w) table (see :func:`compact`)."""
-    if k < 1 or runs < 1:
-        raise ValueError("k and runs must be positive")
-    if init is not None:
-        starts = {r: [list(map(float, c)) for c in init] for r in range(runs)}
-    else:
-        seeds = seed_centres(points, k, runs, seed)
-        starts = {r: seeds[r] for r in range(runs)}
-    current = dict(starts)
-    active = set(range(runs))
-    n_iter = {r: 0 for r in range(runs)}
-    converged = {r: False for r in range(runs)}
-    for _ in range(max_iter):
-        if not active:
-            break
-        step = lloyd_step(points, {r: current[r] for r in sorted(active)})
-        for r, c in step.items():
-            n_iter[r] += 1
-            moved = _shift(current[r], c)
-            current[r] = c
-            if moved < tol:
-                converged[r] = True
-                active.discard(r)
-    scores = inertia(points, current)
+    if k < 1 or not 1 <= runs <= MAX_RUNS:
+        raise ValueError(f"k must be positive and runs in 1..{MAX_RUNS}")
+    loop = _Loop(points, k)
+    try:
+        if init is not None:
+            current = {r: [list(map(float, c)) for c in init] for r in range(runs)}
+        else:
+            current = loop.seed(runs, seed)
+        active = set(range(runs))
+        n_iter = {r: 0 for r in range(runs)}
+        converged = {r: False for r in range(runs)}
+        for _ in range(max_iter):
+            if not active:
+                break
+            step, _counts = loop.step({r: current[r] for r in sorted(active)})
+            for r, c in step.items():
+                n_iter[r] += 1
+                moved = _shift(current[r], c)
+                current[r] = c
+                if moved < tol:
+                    converged[r] = True
+                    active.discard(r)
+        scores = loop.inertia(current)
+    finally:
+        loop.close()
     best = min(range(runs), key=lambda r: (scores[r], r))
     return KMeansResult(
         centroids=current[best],
@@ -198,42 +273,23 @@ def fit_points(
     )
 
 
-def fit(
-    features: DataFrame,
-    k: int = lexicon.DEFAULT_K,
-    runs: int = lexicon.DEFAULT_RUNS,
-    max_iter: int = lexicon.DEFAULT_MAX_ITER,
-    tol: float = lexicon.DEFAULT_TOL,
-    seed: int = lexicon.DEFAULT_SEED,
-) -> tuple[KMeansResult, DataFrame]:
-    """Compact, checkpoint and fit. Returns the result and the compact table."""
-    points = materialize(compact(features))
-    if points.limit(1).count() == 0:
-        raise ValueError("cannot fit k-means on an empty input")
-    return fit_points(points, k, runs, max_iter, tol, seed), points
-
-
 def fixed_rounds(points: DataFrame, init: list[list[float]], rounds: int):
     """Exactly ``rounds`` Lloyd rounds from ``init`` (no convergence stop).
     Returns the centres and the member weights of the last round."""
-    cur = {0: [list(map(float, c)) for c in init]}
-    counts = {0: [0.0] * len(init)}
-    for _ in range(rounds):
-        cur, counts = lloyd_step_counts(points, cur)
-    return cur[0], counts[0]
+    loop = _Loop(points, len(init))
+    try:
+        cur = {0: [list(map(float, c)) for c in init]}
+        counts = {0: [0.0] * len(init)}
+        for _ in range(rounds):
+            cur, counts = loop.step(cur)
+        return cur[0], counts[0]
+    finally:
+        loop.close()
 
 
-def predict(df: DataFrame, centroids: list[list[float]], out: str = "cluster") -> DataFrame:
-    """Nearest centre per row: a projection, no shuffle."""
-    return df.withColumn(out, assign_expr(centroids))
-
-
-def centres_schema(k: int) -> T.StructType:
-    return T.StructType(
+def centres_frame(spark: SparkSession, centres: list[list[float]]) -> DataFrame:
+    schema = T.StructType(
         [T.StructField("cluster", T.IntegerType(), False)]
         + [T.StructField(f, T.DoubleType(), False) for f in FEATS]
     )
-
-
-def centres_frame(spark: SparkSession, centres: list[list[float]]) -> DataFrame:
-    return spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(centres)], centres_schema(len(centres)))
+    return spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(centres)], schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,12 +54,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage reliably: checkpoint into the shared folder when one is
-    configured, else keep a spill-safe persisted copy (lost blocks are
-    recomputed from the short lineage)."""
-    if checkpoint_dir(df.sparkSession):
-        return df.checkpoint(eager=True)
+def balance(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Spread a scan that yields fewer partitions than the cluster has
+    cores (one big file or row group) round-robin over ``factor × cores``
+    partitions before CPU-heavy per-row work. A scan of a large table
+    already has more splits than cores and is returned unchanged, so this
+    never adds a shuffle at scale."""
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores * factor)
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut lineage reliably: write the rows once as a Parquet table in the
+    shared checkpoint folder and read it back (one computation; a lost
+    executor re-reads files instead of re-running the plan). Without a
+    shared folder, keep a spill-safe persisted copy instead."""
+    d = checkpoint_dir(df.sparkSession)
+    if d:
+        path = os.path.join(d, f"{name}-{uuid.uuid4().hex}")
+        df.write.parquet(path)
+        return df.sparkSession.read.parquet(path)
     from pyspark import StorageLevel
 
     out = df.persist(StorageLevel.MEMORY_AND_DISK)
