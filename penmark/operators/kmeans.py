@@ -59,10 +59,14 @@ class KMeansResult:
 
 # ------------------------------------------------------------ column forms
 def compact(features: DataFrame, weight: str | None = None) -> DataFrame:
-    """(f0..f14, w): one row per distinct feature vector, w = number of rows."""
+    """(f0..f14, w): one row per distinct feature vector, w = number of rows.
+
+    Rows must have non-null features (drop null texts before computing the
+    metrics, as :func:`penmark.plans.pipeline.feature_table` does). No null
+    filter is applied here on purpose: Catalyst would push it below the
+    metric projection and evaluate every metric twice."""
     w = F.sum(weight) if weight else F.count(F.lit(1))
-    nonnull = features.dropna(subset=FEATS)
-    return nonnull.groupBy(*FEATS).agg(w.cast("double").alias("w"))
+    return features.groupBy(*FEATS).agg(w.cast("double").alias("w"))
 
 
 def assign_expr(centres: list[list[float]]) -> Column:

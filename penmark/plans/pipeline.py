@@ -81,3 +81,22 @@ def in_sample(result: TrainResult) -> DataFrame:
 def training_report(result: TrainResult, date: str | None = None) -> DataFrame:
     counts = report.cluster_counts(in_sample(result), result.model.ai_cluster, len(result.model.centroids))
     return report.corpus_report(counts, date)
+
+
+def fit_pipeline(corpus: DataFrame, keys: list[str], text: str = "text", date: str | None = None, **fit_args):
+    """Train, then score the training corpus and report on it: returns
+    (model, in-sample rows with ``cluster``, one-row report)."""
+    result = train(corpus, keys, text, **fit_args)
+    return result.model, in_sample(result), training_report(result, date)
+
+
+def write_scores(scored: DataFrame, path: str, mode: str = "errorifexists", by_cluster: bool = False) -> None:
+    """Score sink: Parquet, optionally one folder per cluster (or verdict).
+
+    Each task writes its own file per cluster; rows are never funnelled
+    into one task per cluster, which a dominant cluster would turn into a
+    single straggler."""
+    writer = scored.write.mode(mode)
+    if by_cluster:
+        writer = writer.partitionBy("cluster" if "cluster" in scored.columns else "verdict")
+    writer.parquet(path)

@@ -21,15 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
-from ..functions import markdown as md
 from ..functions import spec as S
-from ..functions.features import feature_columns
-from ..functions.metrics import METRICS, metric_steps, normalize_steps, with_text_metrics
-from ..functions.normalize import NON_BLANK, SENTENCE_SPLIT, WORD_SPLIT, graphemes
+from ..functions.metrics import METRICS, normalize_steps, with_text_metrics
+from ..functions.normalize import graphemes
 from ..functions.phrases import family_pattern
-from ..operators import kmeans, report, scoring
+from ..operators import kmeans, report, scoring, text_ops
+from ..operators.text_ops import FAMILY_ORDER, MD_PARTS  # noqa: F401  (re-exported for the twins)
 from ..plans import pipeline
-from ..plans.marked import marked_documents, marked_sql
+from ..plans.marked import marked_documents
 from ..session import ensure_checkpoint_dir, materialize
 from ..sources import corpus as corpus_src
 from ..sources import paged_json
@@ -40,7 +39,6 @@ FEATS = lexicon.FEATURE_NAMES
 R = 6
 REPORT_DATE = "2025-08-09"
 LLOYD_ROUNDS = 3
-FAMILY_ORDER = ["buzzword", "negative", "fancy", "not_just", "devlog", "ellipsis", "perspective", "backstory"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -103,29 +101,18 @@ def q_sentence_count(spark, sf):
 
 
 def q_split_sentences(spark, sf):
-    df = _normalized(spark, sf)
-    parts = F.filter(F.split("_t1", SENTENCE_SPLIT), lambda s: s.rlike(NON_BLANK))
-    return df.select("doc_id", F.posexplode(parts).alias("pos", "sentence")).select(
-        "doc_id", _long("pos").alias("pos"), "sentence"
-    )
+    out = text_ops.sentences(_marked(spark, sf), ["doc_id"])
+    return out.select("doc_id", _long("pos").alias("pos"), "sentence")
 
 
 def q_split_words(spark, sf):
-    df = _normalized(spark, sf)
-    words = F.filter(F.split("_t2", WORD_SPLIT), lambda w: w != F.lit(""))
-    return df.select("doc_id", F.posexplode(words).alias("pos", "word")).select(
-        "doc_id", _long("pos").alias("pos"), "word"
-    )
+    out = text_ops.words(_marked(spark, sf), ["doc_id"])
+    return out.select("doc_id", _long("pos").alias("pos"), "word")
 
 
 def q_split_lines(spark, sf):
-    df = _normalized(spark, sf)
-    lines = F.when(F.col("_t1") == "", F.array().cast("array<string>")).otherwise(
-        F.transform(F.split("_t1", "\n"), lambda s: F.regexp_replace(s, "\r\\z", ""))
-    )
-    return df.select("doc_id", F.posexplode(lines).alias("pos", "line")).select(
-        "doc_id", _long("pos").alias("pos"), "line"
-    )
+    out = text_ops.lines(_marked(spark, sf), ["doc_id"])
+    return out.select("doc_id", _long("pos").alias("pos"), "line")
 
 
 def q_graphemes(spark, sf):
@@ -149,15 +136,7 @@ def q_phrase_family_counts(spark, sf):
 
 
 def q_phrase_hits(spark, sf):
-    df = _normalized(spark, sf)
-    hits = [
-        F.struct(F.lit(f).alias("family"), F.regexp_extract_all("_t2", F.lit(family_pattern(f)), F.lit(0)).alias("hits"))
-        for f in FAMILY_ORDER
-    ]
-    ex = df.select(F.explode(F.array(*hits)).alias("h")).select(
-        F.col("h.family").alias("family"), F.explode("h.hits").alias("phrase")
-    )
-    return ex.groupBy("family", "phrase").agg(F.count(F.lit(1)).alias("n"))
+    return text_ops.phrase_hits(_marked(spark, sf))
 
 
 def q_char_marks(spark, sf):
@@ -173,15 +152,7 @@ def q_html_escapes(spark, sf):
 
 
 def _markdown_parts(df: DataFrame, key: str, text: str) -> DataFrame:
-    steps = md.markdown_steps(text)
-    out = S.apply_steps(df, steps)
-    parts = ["fbt", "ftl", "setext", "atx", "rule", "quote", "indented", "image", "link", "autolink",
-             "html", "strong", "emphasis", "bullet", "total"]
-    return out.select(key, *[_long(f"_md_{p}").alias(f"md_{p}") for p in parts])
-
-
-MD_PARTS = ["fbt", "ftl", "setext", "atx", "rule", "quote", "indented", "image", "link", "autolink",
-            "html", "strong", "emphasis", "bullet", "total"]
+    return text_ops.markdown_breakdown(df, [key], text)
 
 
 def q_markdown_markers(spark, sf):
@@ -348,23 +319,29 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+_train_cache: dict = {}
+
+
+def _trained(spark, sf):
+    key = (id(spark), sf)
+    with _model_lock:
+        if key not in _train_cache:
+            _train_cache[key] = pipeline.train(_marked(spark, sf, ("doc_id", "text")), ["doc_id"])
+        return _train_cache[key]
+
+
 def q_kmeans_fit(spark, sf):
-    docs = _marked(spark, sf, ("doc_id", "text"))
-    res = pipeline.train(docs, ["doc_id"])
-    return model_table(spark, res.model)
+    return model_table(spark, _trained(spark, sf).model)
 
 
 def q_score_fitted(spark, sf):
-    docs = _marked(spark, sf, ("doc_id", "text"))
-    res = pipeline.train(docs, ["doc_id"])
+    res = _trained(spark, sf)
     sc = scoring.score_features(res.features, res.model.centroids, res.model.ai_cluster, ["doc_id"])
     return sc.select("doc_id", _r("chance_ai").alias("chance_ai"), _r("chance_human").alias("chance_human"), "verdict")
 
 
 def q_training_report(spark, sf):
-    docs = _marked(spark, sf, ("doc_id", "text"))
-    res = pipeline.train(docs, ["doc_id"])
-    return pipeline.training_report(res, REPORT_DATE)
+    return pipeline.training_report(_trained(spark, sf), REPORT_DATE)
 
 
 def q_score_stream(spark, sf):
@@ -390,11 +367,10 @@ def _landed(spark, sf) -> tuple[str, str]:
     proj = os.path.join(base, "projects")
     if not corpus_src._exists(spark, os.path.join(dev, "_SUCCESS")):
         docs = corpus_src.table(spark, sf, "documents", "doc_id", "text")
-        paged_json.write_pages(docs, dev, "devlogs", "text", page_size=100, key="doc_id")
+        paged_json.write_pages(docs, dev, "devlogs", "text", page_size=100)
     if not corpus_src._exists(spark, os.path.join(proj, "_SUCCESS")):
         conv = corpus_src.table(spark, sf, "conversations", "conv_id", "turn", "text")
-        conv = conv.withColumn("k", F.concat_ws("-", "conv_id", "turn"))
-        paged_json.write_pages(conv, proj, "projects", "text", page_size=100, key="k")
+        paged_json.write_pages(conv, proj, "projects", "text", page_size=100)
     return dev, proj
 
 

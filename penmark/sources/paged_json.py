@@ -99,15 +99,17 @@ def missing_pages(spark: SparkSession, path: str, kind: str = "devlogs") -> Data
 
 
 def write_pages(df: DataFrame, path: str, kind: str = "devlogs", text: str = "text",
-                page_size: int = 100, key: str | None = None) -> None:
+                page_size: int = 100) -> None:
     """Land a table as feed pages (one JSON document per page folder).
 
-    Rows go to pages by a hash of ``key`` (or of the text), so no global
-    ordering is needed; each page holds about ``page_size`` items."""
+    Rows go to pages by a hash of a per-row id (partition index + position,
+    stable when a task is retried over the same input), so no global
+    ordering is needed and no key value, however frequent, can overfill a
+    page: each page holds about ``page_size`` items."""
     field = FEEDS[kind]
     total = df.count()
     n_pages = max(1, -(-total // page_size))
-    h = F.xxhash64(F.col(key) if key else F.col(text))
+    h = F.xxhash64(F.monotonically_increasing_id())
     paged = df.select(
         (F.pmod(h, F.lit(n_pages)) + 1).cast("int").alias("page"),
         F.struct(F.col(text).alias(field)).alias("item"),

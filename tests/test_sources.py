@@ -70,7 +70,7 @@ def test_union_keeps_duplicates(spark, tmpdir_fresh):
 def test_write_pages_roundtrip(spark, tmpdir_fresh):
     docs = corpus.table(spark, "/root/testdata/sf0.001", "documents", "doc_id", "text")
     d = os.path.join(tmpdir_fresh, "landed")
-    paged_json.write_pages(docs, d, "devlogs", page_size=50, key="doc_id")
+    paged_json.write_pages(docs, d, "devlogs", page_size=50)
     back = paged_json.read_pages(spark, d, "devlogs")
     assert back.count() == docs.count()
     assert back.select(F.md5("text")).exceptAll(docs.select(F.md5("text"))).count() == 0
