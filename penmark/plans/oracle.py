@@ -224,6 +224,18 @@ def oracle() -> dict[str, str]:
         f"SELECT doc_id, array_to_string(list_transform(nz, lambda x: {line}), chr(10)) AS nonzero_text, "
         "CAST(len(nz) AS BIGINT) AS n_nonzero FROM l"
     )
+    panel = (
+        "'Text is most likely ' || verdict || chr(10) || chr(10) || 'Chance:' || chr(10) || '  AI    = ' || "
+        f"({_js_fixed2('chance_ai')}) || '%' || chr(10) || '  Human = ' || ({_js_fixed2('chance_human')}) || '%' || "
+        "chr(10) || chr(10) || 'Non-zero metrics:' || chr(10) || "
+        f"array_to_string(list_transform(list_sort(list_filter([{entries}], lambda x: x.value <> 0)), lambda x: {line}), chr(10))"
+    )
+    mcols = ", ".join(f"m.{c}" for c in METRICS)
+    out["score_display"] = (
+        ll.rstrip() + f",\nmm AS ({_metrics()})\n"
+        f"SELECT doc_id, {panel} AS display FROM (SELECT doc_id, chance_ai, chance_human, verdict FROM scored) s "
+        f"JOIN (SELECT doc_id, {mcols} FROM mm m) m USING (doc_id)"
+    )
     sentries = ", ".join(f"{{'name': {q(short)}, 'value': {m}}}" for short, m in lexicon.SUMMARY_NAMES)
     cell = (
         "(CASE WHEN i = 1 THEN '' WHEN (i - 1) % 2 = 0 THEN '          ' ELSE chr(9) || chr(9) END) || "

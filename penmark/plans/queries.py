@@ -276,6 +276,15 @@ def q_nonzero_metrics(spark, sf):
     return df.select("doc_id", F.col("nonzero_text").alias("nonzero_text"), _long(F.size("nonzero")).alias("n_nonzero"))
 
 
+def q_score_display(spark, sf):
+    """The live-scoring panel: verdict, both chances, non-zero metrics."""
+    _, _, centres, _, ai, _ = _lloyd_model(spark, sf)
+    sc = scoring.score(_marked(spark, sf), Model(centres, ai), keep=["doc_id"], with_metrics=True)
+    flat = sc.select("doc_id", "chance_ai", "chance_human", "verdict", "metrics.*")
+    shown = scoring.display_text(scoring.nonzero_metrics(flat))
+    return shown.select("doc_id", "display")
+
+
 def q_metrics_summary(spark, sf):
     return scoring.metrics_summary(_metrics(spark, sf)).select("doc_id", "summary")
 
@@ -375,10 +384,17 @@ def _landed(spark, sf) -> tuple[str, str]:
 
 
 def q_paged_json(spark, sf):
+    """Landed pages → typed rows → union of both feeds, kept as a cache-aside
+    corpus table (built and written once, then read)."""
     dev, proj = _landed(spark, sf)
-    d = paged_json.read_pages(spark, dev, "devlogs")
-    p = paged_json.read_pages(spark, proj, "projects")
-    u = corpus_src.corpus_union([("devlogs", d, "text"), ("projects", p, "text")])
+
+    def build():
+        d = paged_json.read_pages(spark, dev, "devlogs")
+        p = paged_json.read_pages(spark, proj, "projects")
+        return corpus_src.corpus_union([("devlogs", d, "text"), ("projects", p, "text")])
+
+    path = os.path.join(os.path.dirname(dev), "corpus")
+    u = corpus_src.corpus_or_build(spark, path, build)
     return u.select("kind", _long(F.length("text")).alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
@@ -422,6 +438,7 @@ QUERIES: dict[str, Query] = {
     "score_texts": q_score_texts,
     "verdict": q_verdict,
     "nonzero_metrics": q_nonzero_metrics,
+    "score_display": q_score_display,
     "metrics_summary": q_metrics_summary,
     "cluster_report": q_cluster_report,
     "report_by_lang": q_report_by_lang,
