@@ -38,7 +38,7 @@ def _emoji_expr(t2: S.E) -> S.E:
         return emoji_mod.emoji_count(c)
 
     def sql_fn(c):
-        cls = emoji_mod.single_codepoint_class(emoji_mod.emoji_table())
+        cls = emoji_mod.single_codepoint_class()
         return f"len(regexp_extract_all({c}, {S.sql_str(cls)}))"
 
     return S.native(spark_fn, sql_fn, t2)
