@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 # the table is built); keycaps start with # * or a digit and are matched
 # on their own.
 COARSE = r"[\x{A9}\x{AE}\x{203C}-\x{3299}\x{1F000}-\x{1FAFF}]"
-KEYCAP = r"[#*0-9]\x{FE0F}?\x{20E3}"
+KEYCAP = r"(?=[#*0-9]\x{FE0F}?\x{20E3})\X"  # the whole grapheme, extenders included
 GATE = r"[\x{A9}\x{AE}\x{203C}-\x{3299}\x{1F000}-\x{1FAFF}\x{20E3}]"
 EXTRACT = KEYCAP + "|(?=" + COARSE + r")\X"
 
@@ -85,13 +85,20 @@ def lookup_regex(table: frozenset[str]) -> str:
     return _lookup_cache[table]
 
 
-def emoji_count(t2: Column, table: frozenset[str] | None = None) -> Column:
-    """Number of emoji graphemes in ``t2`` (an int)."""
+def emoji_graphemes(t2: Column, table: frozenset[str] | None = None) -> Column:
+    """The emoji graphemes of ``t2``, in order (an array; null for null)."""
     table = table if table is not None else emoji_table()
     rx = lookup_regex(table)
     graph = F.regexp_extract_all(t2, F.lit(EXTRACT), F.lit(0))
-    hits = F.size(F.filter(graph, lambda g: g.rlike(rx)))
-    return F.when(t2.isNull(), F.lit(None)).when(t2.rlike(GATE), hits).otherwise(F.lit(0))
+    hits = F.filter(graph, lambda g: g.rlike(rx))
+    empty = F.array().cast("array<string>")
+    return F.when(t2.isNull(), F.lit(None).cast("array<string>")).when(t2.rlike(GATE), hits).otherwise(empty)
+
+
+def emoji_count(t2: Column, table: frozenset[str] | None = None) -> Column:
+    """Number of emoji graphemes in ``t2`` (an int)."""
+    g = emoji_graphemes(t2, table)
+    return F.when(g.isNull(), F.lit(None)).otherwise(F.size(g))
 
 
 _single_cp_class: str | None = None

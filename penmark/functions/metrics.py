@@ -16,32 +16,57 @@ from . import emoji as emoji_mod
 from . import lexicon
 from . import markdown as md
 from . import spec as S
-from .charclass import DASH, GRAPHEME_EXTEND, HYPHEN_IN_GRAPHEME, QUOTE, WS, WS_CHARS, WSN
+from .charclass import DASH, HYPHEN_IN_GRAPHEME, QUOTE, WS, WS_CHARS, WSN
 from .normalize import SENTENCE_SEGMENT
 from .phrases import family_pattern
 from ..session import balance
 
 METRICS = lexicon.METRIC_ORDER
 
-# Arrows outside emoji graphemes. The two arrows that are emoji on their
-# own (left-right, up-down) only count when a non-emoji extender follows.
+# Arrows count only outside emoji graphemes. Emoji sequences never hold the
+# plain arrows, but two arrows are emoji themselves (left-right, up-down)
+# and also occur inside emoji ZWJ sequences: those are subtracted.
+ARROWS = "[→↑↓↔↕⇒⇐⇑⇓➔➜]"
 ARROW_PLAIN = "[→↑↓⇒⇐⇑⇓➔➜]"
-ARROW_JAVA = ARROW_PLAIN + "|[↔↕]\\x{FE0F}?[" + GRAPHEME_EXTEND[1:-1] + "&&[^\\x{FE0F}]]"
+EMOJI_ARROWS = "[↔↕]"
 DASHES = DASH + "|" + HYPHEN_IN_GRAPHEME
 HASHTAG = f"(?:^|[{WS}])#[^{WS}]"
 LABEL_JAVA = f"(?:^|\\n)[{WSN}]*\\p{{IsAlphabetic}}[\\p{{IsAlphabetic}}{WSN}]*:"
 LABEL_RE2 = f"(?:^|\\n)[{WSN}]*[\\p{{L}}\\p{{Nl}}][\\p{{L}}\\p{{Nl}}{WSN}]*:"
 
 
-def _emoji_expr(t2: S.E) -> S.E:
-    def spark_fn(c):
-        return emoji_mod.emoji_count(c)
+def _emoji_steps() -> S.Steps:
+    """``_emoji_g``: emoji graphemes of T2 (Spark, exact); the SQL twin has no
+    graphemes and takes single emoji code points instead."""
+    from pyspark.sql import functions as F
 
-    def sql_fn(c):
-        cls = emoji_mod.single_codepoint_class()
-        return f"len(regexp_extract_all({c}, {S.sql_str(cls)}))"
+    def g_spark(c):
+        return emoji_mod.emoji_graphemes(c)
 
-    return S.native(spark_fn, sql_fn, t2)
+    def g_sql(c):
+        return f"regexp_extract_all({c}, {S.sql_str(emoji_mod.single_codepoint_class())})"
+
+    def n_spark(g):
+        return F.when(g.isNull(), F.lit(None)).otherwise(F.size(g))
+
+    def n_sql(g):
+        return f"len({g})"
+
+    def arrow_spark(t2, g):
+        inside = F.regexp_count(F.array_join(g, ""), F.lit(EMOJI_ARROWS))
+        return F.regexp_count(t2, F.lit(ARROWS)) - inside
+
+    def arrow_sql(t2, g):
+        return f"len(regexp_extract_all({t2}, {S.sql_str(ARROW_PLAIN)}))"
+
+    x = S.col
+    return [
+        [("_emoji_g", S.native(g_spark, g_sql, x("_t2")))],
+        [
+            ("_n_emoji", S.native(n_spark, n_sql, x("_emoji_g"))),
+            ("_n_arrow", S.native(arrow_spark, arrow_sql, x("_t2"), x("_emoji_g"))),
+        ],
+    ]
 
 
 def normalize_steps(text: str = "text") -> S.Steps:
@@ -61,9 +86,7 @@ def count_steps() -> S.Steps:
             ("_n_sent", S.greatest(S.lit(1), S.count(t1, SENTENCE_SEGMENT))),
             ("_n_labels", S.count(t1, LABEL_JAVA, LABEL_RE2)),
             ("_n_hashtags", S.count(t2, HASHTAG)),
-            ("_n_emoji", _emoji_expr(t2)),
             ("_n_dash", S.count(t2, DASHES)),
-            ("_n_arrow", S.count(t2, ARROW_JAVA, ARROW_PLAIN)),
             ("_n_quote", S.count(t2, QUOTE)),
             ("_n_ellipsis", S.count(t2, family_pattern("ellipsis"))),
             ("_n_html", S.count(t2, "&amp;")),
@@ -105,7 +128,7 @@ def metric_exprs(md_total: str = "_md_total") -> list[tuple[str, S.E]]:
 
 
 def metric_steps(text: str = "text", with_markdown: bool = True) -> S.Steps:
-    steps = normalize_steps(text) + count_steps()
+    steps = normalize_steps(text) + _emoji_steps() + count_steps()
     if with_markdown:
         steps = steps + md.markdown_steps(text)
         exprs = metric_exprs()
@@ -116,7 +139,7 @@ def metric_steps(text: str = "text", with_markdown: bool = True) -> S.Steps:
 
 
 def helper_columns() -> list[str]:
-    names = ["_t1", "_t2"] + [n for n, _ in count_steps()[0]] + md.markdown_columns()
+    names = ["_t1", "_t2", "_emoji_g", "_n_emoji", "_n_arrow"] + [n for n, _ in count_steps()[0]] + md.markdown_columns()
     return names
 
 

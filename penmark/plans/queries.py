@@ -374,12 +374,12 @@ def _landed(spark, sf) -> tuple[str, str]:
     base = os.path.join(ensure_checkpoint_dir(spark), "landed", os.path.basename(sf.rstrip("/")))
     dev = os.path.join(base, "devlogs")
     proj = os.path.join(base, "projects")
-    if not corpus_src._exists(spark, os.path.join(dev, "_SUCCESS")):
+    if not corpus_src.is_complete(spark, dev):
         docs = corpus_src.table(spark, sf, "documents", "doc_id", "text")
-        paged_json.write_pages(docs, dev, "devlogs", "text", page_size=100)
-    if not corpus_src._exists(spark, os.path.join(proj, "_SUCCESS")):
+        paged_json.write_pages(docs, dev, "devlogs", "text", page_size=100, mode="overwrite")
+    if not corpus_src.is_complete(spark, proj):
         conv = corpus_src.table(spark, sf, "conversations", "conv_id", "turn", "text")
-        paged_json.write_pages(conv, proj, "projects", "text", page_size=100)
+        paged_json.write_pages(conv, proj, "projects", "text", page_size=100, mode="overwrite")
     return dev, proj
 
 

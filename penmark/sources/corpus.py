@@ -33,9 +33,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """A folder written by a finished Spark job carries a ``_SUCCESS`` marker."""
+    return _exists(spark, path.rstrip("/") + "/_SUCCESS")
+
+
 def corpus_or_build(spark: SparkSession, path: str, builder: Callable[[], DataFrame]) -> DataFrame:
-    """Read the corpus table at ``path`` if it is there, else build it, write
-    it once (``errorifexists``) and read it back."""
-    if not _exists(spark, path):
-        builder().write.mode("errorifexists").parquet(path)
+    """Read the corpus table at ``path`` if a finished write is there, else
+    build it, write it and read it back. A folder left by a failed job (no
+    ``_SUCCESS`` marker) is replaced, never read."""
+    if not is_complete(spark, path):
+        mode = "overwrite" if _exists(spark, path) else "errorifexists"
+        builder().write.mode(mode).parquet(path)
     return spark.read.parquet(path)

@@ -99,7 +99,7 @@ def missing_pages(spark: SparkSession, path: str, kind: str = "devlogs") -> Data
 
 
 def write_pages(df: DataFrame, path: str, kind: str = "devlogs", text: str = "text",
-                page_size: int = 100) -> None:
+                page_size: int = 100, mode: str = "errorifexists") -> None:
     """Land a table as feed pages (one JSON document per page folder).
 
     Rows go to pages by a hash of a per-row id (partition index + position,
@@ -119,4 +119,4 @@ def write_pages(df: DataFrame, path: str, kind: str = "devlogs", text: str = "te
         "page", kind,
         F.struct(F.lit(n_pages).alias("pages"), F.lit(total).alias("count")).alias("pagination"),
     )
-    out.repartition(n_pages, "page").write.mode("errorifexists").partitionBy("page").json(path)
+    out.repartition(n_pages, "page").write.mode(mode).partitionBy("page").json(path)
