@@ -51,8 +51,9 @@ EMPHASIS = (
     r"|(?:^|[^\pL\pN_])_[^" + SP + r"_](?:[^_\n]*[^" + SP + r"_])?_"
 )
 BULLET = "•"
-# Any block construct needs one of these characters or an indented line.
-BLOCK_GATE = r"[#>=*_\-\t]|\n    |^    "
+# Every block construct needs a line that starts (after up to three spaces)
+# with one of these characters, or an indented line.
+BLOCK_GATE = r"(?:^|\n)(?: {0,3}[#>=*_\-]| {4}|\t)"
 
 MARKDOWN_PARTS = [
     "md_fence", "md_setext", "md_atx", "md_rule", "md_quote", "md_indented",

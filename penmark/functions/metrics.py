@@ -84,8 +84,9 @@ def count_steps() -> S.Steps:
     return [
         [
             ("_n_sent", S.greatest(S.lit(1), S.count(t1, SENTENCE_SEGMENT))),
-            ("_n_labels", S.count(t1, LABEL_JAVA, LABEL_RE2)),
-            ("_n_hashtags", S.count(t2, HASHTAG)),
+            # cheap gates: no ':' means no label, no '#' means no hashtag
+            ("_n_labels", S.when(S.contains(t1, ":"), S.count(t1, LABEL_JAVA, LABEL_RE2), S.zero_or_null(t1))),
+            ("_n_hashtags", S.when(S.contains(t2, "#"), S.count(t2, HASHTAG), S.zero_or_null(t2))),
             ("_n_dash", S.count(t2, DASHES)),
             ("_n_quote", S.count(t2, QUOTE)),
             ("_n_ellipsis", S.count(t2, family_pattern("ellipsis"))),

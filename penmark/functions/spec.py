@@ -74,6 +74,11 @@ def when(cond: E, then: E, otherwise: E) -> E:
     return E("when", (cond, then, otherwise))
 
 
+def zero_or_null(e: E) -> E:
+    """0, or null when ``e`` is null (the skipped branch of a gated count)."""
+    return E("zero_or_null", (e,))
+
+
 def greatest(*es: E) -> E:
     return E("greatest", es)
 
@@ -135,6 +140,8 @@ def to_column(e: E) -> Column:
         return F.when(to_column(a[0]), to_column(a[1])).otherwise(to_column(a[2]))
     if op == "greatest":
         return F.greatest(*[to_column(x) for x in a])
+    if op == "zero_or_null":
+        return F.when(to_column(a[0]).isNull(), F.lit(None).cast("int")).otherwise(F.lit(0))
     if op == "add":
         out = to_column(a[0])
         for x in a[1:]:
@@ -201,6 +208,8 @@ def to_sql(e: E) -> str:
         return f"(CASE WHEN {to_sql(a[0])} THEN {to_sql(a[1])} ELSE {to_sql(a[2])} END)"
     if op == "greatest":
         return "greatest(" + ", ".join(to_sql(x) for x in a) + ")"
+    if op == "zero_or_null":
+        return f"(CASE WHEN {to_sql(a[0])} IS NULL THEN NULL ELSE 0 END)"
     if op == "add":
         return "(" + " + ".join(to_sql(x) for x in a) + ")"
     if op == "sub":
