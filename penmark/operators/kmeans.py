@@ -8,11 +8,10 @@ written with DataFrame operations:
   such as all-zeros collapses inside each task before the shuffle). Means,
   assignments and inertia are the same as over the raw rows; every later
   pass scans the compact table, written once to the shared folder.
-* **centres as a table**: each round's centres are a tiny table (one row
-  per run, ``runs`` is bounded) broadcast into a nested-loop join with the
-  points. The SQL text of a round never changes during a fit, so Spark
-  reuses the compiled code and the lineage never grows; only the centre
-  rows do.
+* **centres as a table**: each round's centres are a tiny inline table
+  (one row per run, ``runs`` is capped) broadcast into a nested-loop join
+  with the points. Only its rows change between rounds, so Spark reuses
+  the compiled code and the lineage never grows.
 * **seeding** (k-means++, weight = distance to the nearest chosen centre):
   a weighted pick by exponential race, ``argmin(-ln(u) / (w·d))`` with
   ``u`` a hash of the point, the run and the seed, so the pick does not
@@ -110,45 +109,46 @@ def _mindist_sql(k: int) -> str:
     return "least(" + ", ".join(_dist_sql(j) for j in range(k)) + ")"
 
 
+def _num(v: float) -> str:
+    """A Spark SQL double literal that round-trips exactly."""
+    return f"{float(v)!r}D"
+
+
 class _Loop:
-    """Holds the temp views and fixed SQL texts of one fit."""
+    """Holds the points view and the fixed SQL shapes of one fit. Centres
+    enter each statement as an inline ``VALUES`` table (a local relation:
+    broadcast without a job, never part of the generated code)."""
 
     def __init__(self, points: DataFrame, k: int):
         if not 1 <= k <= MAX_K:
             raise ValueError(f"k must be in 1..{MAX_K}")
         self.spark = points.sparkSession
         self.k = k
-        tag = uuid.uuid4().hex[:12]
-        self.pv = f"_penmark_points_{tag}"
-        self.cv = f"_penmark_centres_{tag}"
+        self.pv = f"_penmark_points_{uuid.uuid4().hex[:12]}"
         points.createOrReplaceTempView(self.pv)
         sums = ", ".join(f"sum(p.f{i} * p.w) AS f{i}" for i in range(DIM))
         self.step_sql = (
             f"SELECT /*+ BROADCAST(c) */ c.run AS run, {_label_sql(k)} AS cluster, sum(p.w) AS n, {sums} "
-            f"FROM {self.pv} p CROSS JOIN {self.cv} c GROUP BY 1, 2"
+            f"FROM {self.pv} p CROSS JOIN {{centres}} GROUP BY 1, 2"
         )
         self.inertia_sql = (
             f"SELECT /*+ BROADCAST(c) */ c.run AS run, sum({_mindist_sql(k)} * p.w) / sum(p.w) AS inertia "
-            f"FROM {self.pv} p CROSS JOIN {self.cv} c GROUP BY 1"
+            f"FROM {self.pv} p CROSS JOIN {{centres}} GROUP BY 1"
         )
 
-    @staticmethod
-    def _schema(k: int) -> T.StructType:
-        return T.StructType(
-            [T.StructField("run", T.IntegerType(), False)]
-            + [T.StructField(f"c{j}_{i}", T.DoubleType(), False) for j in range(k) for i in range(DIM)]
-        )
-
-    def set_centres(self, centres: dict[int, list[list[float]]], k: int | None = None) -> None:
+    def centres_sql(self, centres: dict[int, list[list[float]]], k: int | None = None) -> str:
         k = self.k if k is None else k
-        rows = [(int(r), *[float(v) for c in centres[r][:k] for v in c]) for r in sorted(centres)]
-        self.spark.createDataFrame(rows, self._schema(k)).createOrReplaceTempView(self.cv)
+        cols = ["run"] + [f"c{j}_{i}" for j in range(k) for i in range(DIM)]
+        rows = ", ".join(
+            "(" + ", ".join([str(int(r))] + [_num(v) for c in centres[r][:k] for v in c]) + ")"
+            for r in sorted(centres)
+        )
+        return f"(VALUES {rows}) AS c({', '.join(cols)})"
 
     def step(self, centres: dict[int, list[list[float]]]):
-        self.set_centres(centres)
         new = {r: [list(c) for c in centres[r]] for r in centres}
         counts = {r: [0.0] * self.k for r in centres}
-        for row in self.spark.sql(self.step_sql).collect():
+        for row in self.spark.sql(self.step_sql.format(centres=self.centres_sql(centres))).collect():
             n = row["n"]
             if n and n > 0:
                 new[row["run"]][row["cluster"]] = [row[f] / n for f in FEATS]
@@ -156,8 +156,8 @@ class _Loop:
         return new, counts
 
     def inertia(self, centres: dict[int, list[list[float]]]) -> dict[int, float]:
-        self.set_centres(centres)
-        return {row["run"]: float(row["inertia"]) for row in self.spark.sql(self.inertia_sql).collect()}
+        sql = self.inertia_sql.format(centres=self.centres_sql(centres))
+        return {row["run"]: float(row["inertia"]) for row in self.spark.sql(sql).collect()}
 
     def seed(self, runs: int, seed: int) -> dict[int, list[list[float]]]:
         """k-means++ picks for all runs: k grouped aggregates."""
@@ -167,16 +167,16 @@ class _Loop:
         for j in range(self.k):
             if j == 0:
                 weight = "p.w"
-                self.spark.createDataFrame([(r,) for r in range(runs)], "run int").createOrReplaceTempView(self.cv)
+                rel = "(VALUES " + ", ".join(f"({r})" for r in range(runs)) + ") AS c(run)"
             else:
                 near = _dist_sql(0) if j == 1 else "least(" + ", ".join(_dist_sql(i) for i in range(j)) + ")"
                 weight = f"p.w * {near}"
-                self.set_centres(chosen, k=j)
-            u = f"((pmod(xxhash64({hvec}, c.run, {j}, {int(seed)}), {_TWO53}) + 1.0) / {float(_TWO53)})"
+                rel = self.centres_sql(chosen, k=j)
+            u = f"((pmod(xxhash64({hvec}, c.run, {j}, {int(seed)}), {_TWO53}) + 1.0D) / {float(_TWO53)!r}D)"
             key = f"CASE WHEN {weight} > 0 THEN named_struct('k', -ln({u}) / ({weight}), 't', xxhash64({hvec})) END"
             sql = (
                 f"SELECT /*+ BROADCAST(c) */ c.run AS run, min_by({vec}, {key}) AS pick "
-                f"FROM {self.pv} p CROSS JOIN {self.cv} c GROUP BY 1"
+                f"FROM {self.pv} p CROSS JOIN {rel} GROUP BY 1"
             )
             picks = {row["run"]: row["pick"] for row in self.spark.sql(sql).collect()}
             for r in range(runs):
@@ -187,8 +187,7 @@ class _Loop:
         return chosen
 
     def close(self) -> None:
-        for v in (self.pv, self.cv):
-            self.spark.catalog.dropTempView(v)
+        self.spark.catalog.dropTempView(self.pv)
 
 
 def _shift(a: list[list[float]], b: list[list[float]]) -> float:
