@@ -29,7 +29,22 @@ def cls(chars: str) -> str:
     return "[" + "".join(f"\\x{{{ord(c):X}}}" for c in chars) + "]"
 
 
-DASH = cls(lexicon.DASH_CHARS)
+def ranges_cls(chars: str) -> str:
+    """Like :func:`cls`, with runs of consecutive code points as ranges
+    (fewer alternatives for the regex engine to test per position)."""
+    cps = sorted({ord(c) for c in chars})
+    parts, i = [], 0
+    while i < len(cps):
+        j = i
+        while j + 1 < len(cps) and cps[j + 1] == cps[j] + 1:
+            j += 1
+        a, b = cps[i], cps[j]
+        parts.append(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}")
+        i = j + 1
+    return "[" + "".join(parts) + "]"
+
+
+DASH = ranges_cls(lexicon.DASH_CHARS)
 QUOTE = cls(lexicon.QUOTE_CHARS)
 # Characters that extend a grapheme after an ASCII hyphen: combining
 # marks, ZWNJ, ZWJ, skin-tone modifiers, halfwidth sound marks, tags.

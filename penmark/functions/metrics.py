@@ -18,7 +18,7 @@ from . import markdown as md
 from . import spec as S
 from .charclass import DASH, HYPHEN_IN_GRAPHEME, QUOTE, WS, WS_CHARS, WSN
 from .normalize import SENTENCE_SEGMENT
-from .phrases import family_pattern
+from .phrases import family_pattern, family_pattern_fast
 from ..session import balance
 
 METRICS = lexicon.METRIC_ORDER
@@ -77,6 +77,11 @@ def normalize_steps(text: str = "text") -> S.Steps:
     ]
 
 
+def gated(cond: S.E, col: S.E, pattern: str) -> S.E:
+    """Count ``pattern`` only where a cheap necessary condition holds."""
+    return S.when(cond, S.count(col, pattern), S.zero_or_null(col))
+
+
 def count_steps() -> S.Steps:
     """Raw integer counts (prefixed ``_n_``) on T1/T2."""
     x = S.col
@@ -89,15 +94,16 @@ def count_steps() -> S.Steps:
             ("_n_hashtags", S.when(S.contains(t2, "#"), S.count(t2, HASHTAG), S.zero_or_null(t2))),
             ("_n_dash", S.count(t2, DASHES)),
             ("_n_quote", S.count(t2, QUOTE)),
-            ("_n_ellipsis", S.count(t2, family_pattern("ellipsis"))),
-            ("_n_html", S.count(t2, "&amp;")),
-            ("_n_devlog", S.count(t2, family_pattern("devlog"))),
-            ("_n_buzz", S.count(t2, family_pattern("buzzword"))),
-            ("_n_negative", S.count(t2, family_pattern("negative"))),
+            ("_n_ellipsis", gated(S.any_of(S.contains(t2, "…"), S.contains(t2, "...")), t2, family_pattern("ellipsis"))),
+            ("_n_html", gated(S.contains(t2, "&amp;"), t2, "&amp;")),
+            ("_n_devlog", S.count(t2, family_pattern_fast("devlog"), family_pattern("devlog"))),
+            ("_n_buzz", S.count(t2, family_pattern_fast("buzzword"), family_pattern("buzzword"))),
+            ("_n_negative", gated(S.any_of(S.contains(t2, "modern english"), S.contains(t2, "made the app")), t2,
+                                  family_pattern("negative"))),
             ("_n_not_just", S.count(t2, family_pattern("not_just"))),
             ("_n_backstory", S.count(t2, family_pattern("backstory"))),
             ("_n_perspective", S.count(t2, family_pattern("perspective"))),
-            ("_n_fancy", S.count(t2, family_pattern("fancy"))),
+            ("_n_fancy", gated(S.contains(t2, "("), t2, family_pattern("fancy"))),
         ]
     ]
 
