@@ -274,6 +274,16 @@ def oracle() -> dict[str, str]:
         "SELECT cluster, doc_id, row_number() OVER (PARTITION BY cluster ORDER BY md5(CAST(doc_id AS VARCHAR) || '-42'), doc_id) AS rk "
         "FROM lf) s WHERE rk <= 5"
     )
+    out["cluster_samples"] = (
+        ll.rstrip() + f",\nmm AS ({_metrics()}),\n"
+        f"sm AS (SELECT doc_id, array_to_string(list_transform(list_filter([{sentries}], lambda x: x.value <> 0), "
+        f"lambda x, i: {cell}), '') AS summary FROM mm),\n"
+        "pick AS (SELECT cluster, doc_id, row_number() OVER (PARTITION BY cluster ORDER BY "
+        "md5(CAST(doc_id AS VARCHAR) || '-42'), doc_id) AS rk FROM lf)\n"
+        f"SELECT CAST(p.cluster AS BIGINT) AS cluster, CAST(p.rk AS BIGINT) AS sample_rank, p.doc_id, sm.summary, "
+        f"md5(t.text) AS text_md5 FROM pick p JOIN sm USING (doc_id) JOIN ({marked_sql(('doc_id', 'text'))}) t "
+        "USING (doc_id) WHERE p.rk <= 5"
+    )
     union = (
         "SELECT {k} AS kind, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5 FROM documents UNION ALL "
         "SELECT {k2}, CAST(length(text) AS BIGINT), md5(text) FROM conversations"

@@ -100,3 +100,20 @@ def write_scores(scored: DataFrame, path: str, mode: str = "errorifexists", by_c
     if by_cluster:
         writer = writer.partitionBy("cluster" if "cluster" in scored.columns else "verdict")
     writer.parquet(path)
+
+
+def cluster_samples(labelled: DataFrame, texts: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
+                    seed: int = 42, cluster: str = "cluster") -> DataFrame:
+    """Up to ``n`` seeded samples per cluster with their metrics summary and
+    text: (cluster, sample_rank, key, summary, text).
+
+    The sample is drawn on the narrow (key, cluster) table (a partial top-n
+    per task before the shuffle), so at most ``n × k`` rows result; that
+    bounded set is broadcast into the text table, so no text is shuffled,
+    and metrics run only on the chosen rows."""
+    from ..operators.scoring import metrics_summary
+
+    picked = report.sample_per_cluster(labelled.select(key, cluster), n, key, seed, cluster)
+    chosen = texts.select(key, text).join(F.broadcast(picked), key)
+    summarized = metrics_summary(with_text_metrics(chosen, text))
+    return summarized.select(cluster, "sample_rank", key, "summary", text)

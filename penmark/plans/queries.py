@@ -316,6 +316,14 @@ def q_sample_per_cluster(spark, sf):
     return s.select(_long("cluster").alias("cluster"), "doc_id", _long("sample_rank").alias("sample_rank"))
 
 
+def q_cluster_samples(spark, sf):
+    """Five seeded samples per cluster with their metrics summary and text."""
+    lab, _, _ = _labelled(spark, sf)
+    out = pipeline.cluster_samples(lab, _marked(spark, sf), "doc_id", "text", 5, 42)
+    return out.select(_long("cluster").alias("cluster"), _long("sample_rank").alias("sample_rank"), "doc_id",
+                      "summary", F.md5("text").alias("text_md5"))
+
+
 def q_corpus_union(spark, sf):
     docs = corpus_src.table(spark, sf, "documents", "text")
     conv = corpus_src.table(spark, sf, "conversations", "text")
@@ -444,6 +452,7 @@ QUERIES: dict[str, Query] = {
     "report_by_lang": q_report_by_lang,
     "report_by_source_rollup": q_report_by_source_rollup,
     "sample_per_cluster": q_sample_per_cluster,
+    "cluster_samples": q_cluster_samples,
     "corpus_union": q_corpus_union,
     "paged_json": q_paged_json,
     # rows-only (no SQL twin): iterative fit, stream, landed-file audit
