@@ -33,7 +33,10 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The cluster's shared checkpoint folder, if one is configured."""
-    d = spark.sparkContext.getCheckpointDir()
+    try:
+        d = spark.sparkContext.getCheckpointDir()
+    except Exception:  # noqa: BLE001 - no classic SparkContext (e.g. a remote session)
+        return spark.conf.get("spark.checkpoint.dir", None)
     if d:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
@@ -62,9 +65,12 @@ def balance(df: DataFrame, factor: int = 2) -> DataFrame:
     never adds a shuffle at scale."""
     if df.isStreaming:
         return df
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - partitions not inspectable: leave the plan as is
+        return df
+    if parts >= cores:
         return df
     return df.repartition(cores * factor)
 
