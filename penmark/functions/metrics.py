@@ -150,12 +150,16 @@ def helper_columns() -> list[str]:
     return names
 
 
-def with_text_metrics(df: DataFrame, text: str = "text", keep_sentence_count: bool = True) -> DataFrame:
+def with_text_metrics(df: DataFrame, text: str = "text", keep_sentence_count: bool = True,
+                      rebalance: bool = True) -> DataFrame:
     """``df`` plus the fifteen metric columns (``double``) in record order.
 
-    A null text gives null metrics (the sentence count alone is 1)."""
+    A null text gives null metrics (the sentence count alone is 1). With
+    ``rebalance`` a scan with fewer splits than cores is spread first (see
+    :func:`penmark.session.balance`); pass False when ``df`` is the output
+    of a shuffle, where counting its partitions would run that stage."""
     emoji_mod.emoji_table(df.sparkSession)
-    out = S.apply_steps(balance(df), metric_steps(text))
+    out = S.apply_steps(balance(df) if rebalance else df, metric_steps(text))
     drop = [c for c in helper_columns() if c in out.columns]
     if not keep_sentence_count:
         drop.append("sentence_count")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,10 +66,16 @@ def train(
 ) -> TrainResult:
     feats = materialize(feature_table(corpus, keys, text))
     points = materialize(kmeans.compact(feats))
-    if points.limit(1).count() == 0:
-        raise ValueError("cannot fit k-means on an empty corpus")
-    res = kmeans.fit_points(points, k, runs, max_iter, tol, seed)
-    ai, stats = name_clusters(points, res.centroids)
+    # every Lloyd round scans the compact points: keep them in executor
+    # memory for the loop; a lost block is re-read from the written copy
+    points.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if points.limit(1).count() == 0:
+            raise ValueError("cannot fit k-means on an empty corpus")
+        res = kmeans.fit_points(points, k, runs, max_iter, tol, seed)
+        ai, stats = name_clusters(points, res.centroids)
+    finally:
+        points.unpersist()
     model = Model(res.centroids, ai, res.inertia, res.n_iter, res.converged, res.run).validate()
     return TrainResult(model, feats, points, stats, res)
 
@@ -115,5 +122,5 @@ def cluster_samples(labelled: DataFrame, texts: DataFrame, key: str = "doc_id",
 
     picked = report.sample_per_cluster(labelled.select(key, cluster), n, key, seed, cluster)
     chosen = texts.select(key, text).join(F.broadcast(picked), key)
-    summarized = metrics_summary(with_text_metrics(chosen, text))
+    summarized = metrics_summary(with_text_metrics(chosen, text, rebalance=False))
     return summarized.select(cluster, "sample_rank", key, "summary", text)

@@ -62,7 +62,8 @@ def balance(df: DataFrame, factor: int = 2) -> DataFrame:
     cores (one big file or row group) round-robin over ``factor × cores``
     partitions before CPU-heavy per-row work. A scan of a large table
     already has more splits than cores and is returned unchanged, so this
-    never adds a shuffle at scale."""
+    never adds a shuffle at scale. Meant for scans: on a DataFrame that
+    already shuffles, counting partitions runs the earlier stages."""
     if df.isStreaming:
         return df
     try:
