@@ -151,3 +151,17 @@ def display_text(df: DataFrame, nonzero_text: str = "nonzero_text") -> DataFrame
             F.lit("%\n\nNon-zero metrics:\n"), F.col(nonzero_text),
         ),
     )
+
+
+def predict_text(spark, text: str, model) -> dict:
+    """Score one text (the single-call library entry): a one-row DataFrame
+    through the same projection; returns chance_ai, chance_human, verdict
+    and the fifteen metrics."""
+    df = spark.createDataFrame([(0, text)], "id long, text string")
+    row = score(df, model, keep=["id"], with_metrics=True).collect()[0]
+    return {
+        "chance_ai": row["chance_ai"],
+        "chance_human": row["chance_human"],
+        "verdict": row["verdict"],
+        "metrics": row["metrics"].asDict(),
+    }

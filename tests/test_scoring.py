@@ -111,3 +111,11 @@ def test_model_roundtrip(spark, tmpdir_fresh):
         save_model(m, spark, p)  # written once
     with pytest.raises(ValueError):
         Model([_pt(1.0)], 1).validate()
+
+
+def test_predict_text(spark):
+    from penmark import predict_text
+
+    out = predict_text(spark, "It’s not just a modern app 🚀", Model([_pt(0.0), _pt(10.0)], 1))
+    assert abs(out["chance_ai"] + out["chance_human"] - 100.0) < 1e-9
+    assert out["metrics"]["not_just_count"] == 1.0 and out["verdict"] in ("AI", "Human")
