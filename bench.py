@@ -39,8 +39,8 @@ def main() -> None:
 
     docs = table(spark, sf, "documents", "doc_id", "text")
     n_docs = docs.count()
-    # warm the JVM, the emoji table and the file listing
-    _noop(with_text_metrics(table(spark, sf, "benchmark", "item_id", "text"), "text"))
+    # warm the JVM, the emoji table and the regex code paths on another table
+    _noop(with_text_metrics(table(spark, sf, "conversations", "conv_id", "text"), "text"))
 
     t = time.time()
     _noop(with_text_metrics(docs, "text"))
