@@ -65,11 +65,11 @@ def train(
     seed: int = lexicon.DEFAULT_SEED,
 ) -> TrainResult:
     feats = materialize(feature_table(corpus, keys, text))
-    # every Lloyd round scans the compact points: keep them in executor
-    # memory for the loop. The feature table they come from is written to
-    # the shared folder, so a lost block costs one small aggregate, never
-    # the text work.
-    points = kmeans.compact(feats).persist(StorageLevel.MEMORY_AND_DISK)
+    # The compact points are written once (their partitions then follow file
+    # size, not the shuffle setting: a cached aggregate keeps all of its
+    # shuffle partitions), and the copy read back is kept in executor memory
+    # for the loop; a lost block is re-read from the shared folder.
+    points = materialize(kmeans.compact(feats), "points").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if points.limit(1).count() == 0:
             raise ValueError("cannot fit k-means on an empty corpus")
