@@ -1,8 +1,8 @@
 """Run registered queries in Spark and their DuckDB twins; compare.
 
 Usage: python tests/oracle_check.py [sf_dir] [name ...]
-Prints one line per query: rows, columns and an order-insensitive value
-comparison (columns sorted by name).
+Prints one line per query: rows, column names and types, and an exact,
+order-insensitive value comparison (columns sorted by name).
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import duckdb  # noqa: E402
 
 from penmark.session import local_session  # noqa: E402
 
+TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "int": "INTEGER"}
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -26,7 +27,7 @@ def _norm(v):
     if v is None:
         return "∅"
     if isinstance(v, float):
-        return repr(round(v, 9))
+        return repr(v)  # exact: both engines must produce the same double
     if isinstance(v, (list, tuple)):
         return "[" + ",".join(_norm(x) for x in v) + "]"
     return str(v)
@@ -76,13 +77,18 @@ def main() -> int:
             continue
         hs, ls = digest(srows, scols)
         hd, ld = digest(drows, dcols)
-        ok = sorted(scols) == sorted(dcols) and len(srows) == len(drows) and hs == hd
+        stypes = {f.name: TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+        dtypes = {d[0]: str(d[1]) for d in con.execute(f"DESCRIBE {sql[name]}").fetchall()}
+        type_ok = all(stypes[c] == dtypes.get(c) for c in stypes)
+        ok = sorted(scols) == sorted(dcols) and len(srows) == len(drows) and hs == hd and type_ok
         status = "OK" if ok else "MISMATCH"
         print(f"{name:28s} {status} rows={len(srows)}/{len(drows)} {ts:.1f}s")
         if not ok:
             bad += 1
             if sorted(scols) != sorted(dcols):
                 print("   cols", sorted(scols), sorted(dcols))
+            if not type_ok:
+                print("   types", {c: (stypes[c], dtypes.get(c)) for c in stypes if stypes[c] != dtypes.get(c)})
             sd, dd = set(ls), set(ld)
             for x in sorted(sd - dd)[:3]:
                 print("   spark only:", x[:300])
