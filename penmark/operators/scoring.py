@@ -17,17 +17,18 @@ from ..functions.metrics import with_text_metrics
 def point_confidence(df: DataFrame, centroids: list[list[float]]) -> DataFrame:
     """Adds ``distances`` and ``sims`` (array<double>) from feature columns.
 
-    d_c = L∞ to centre c, s_c = 1/(1+d_c), divided by Σs when Σs > 0."""
+    d_c = L∞ to centre c, s_c = 1/(1+d_c), divided by Σs when Σs > 0. The
+    number of centres is fixed, so everything is plain column arithmetic
+    (no lambdas): it stays inside whole-stage code generation."""
     ds = [linf_to_point(c) for c in centroids]
-    out = df.withColumn("distances", F.array(*ds))
-    raw = F.transform("distances", lambda d: F.lit(1.0) / (F.lit(1.0) + d))
-    out = out.withColumn("_raw_sims", raw)
-    total = F.aggregate("_raw_sims", F.lit(0.0), lambda acc, s: acc + s)
-    out = out.withColumn(
-        "sims",
-        F.when(total > 0, F.transform("_raw_sims", lambda s: s / total)).otherwise(F.col("_raw_sims")),
-    )
-    return out.drop("_raw_sims")
+    tmp = [f"_pc_d{i}" for i in range(len(ds))]
+    out = df.withColumns({t: d for t, d in zip(tmp, ds)})
+    raw = [F.lit(1.0) / (F.lit(1.0) + F.col(t)) for t in tmp]
+    total = raw[0]
+    for r in raw[1:]:
+        total = total + r
+    sims = F.array(*[F.when(total > 0, r / total).otherwise(r) for r in raw])
+    return out.withColumn("distances", F.array(*[F.col(t) for t in tmp])).withColumn("sims", sims).drop(*tmp)
 
 
 def chance_columns(ai_cluster: int) -> list[Column]:
