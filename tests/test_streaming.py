@@ -24,3 +24,30 @@ def test_stream_equals_batch(spark, tmpdir_fresh):
     assert streamed.count() == docs.count()
     assert streamed.select(*cols).exceptAll(batch.select(*cols)).count() == 0
     assert batch.select(*cols).exceptAll(streamed.select(*cols)).count() == 0
+
+
+def test_restart_from_checkpoint_is_exactly_once(spark, tmpdir_fresh):
+    """A restarted query resumes from its checkpoint: files already scored are
+    not scored again, new files are."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    src = os.path.join(tmpdir_fresh, "src")
+    docs.where(F.col("doc_id") < 100).write.parquet(os.path.join(src, "part1"))
+    model = Model([[0.0] * 15, [10.0, 5.0] + [1.0] * 13], 1)
+    sink = os.path.join(tmpdir_fresh, "sink")
+    ck = os.path.join(tmpdir_fresh, "ck")
+    schema = docs.schema
+
+    def run():
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(src)
+        start_scoring(stream, model, sink, keep=["doc_id"], checkpoint=ck).awaitTermination()
+
+    run()
+    first = spark.read.parquet(sink).count()
+    docs.where(F.col("doc_id") >= 100).write.parquet(os.path.join(src, "part2"))
+    run()
+    out = spark.read.parquet(sink)
+    assert first == docs.where(F.col("doc_id") < 100).count()
+    assert out.count() == docs.count()
+    assert out.select("doc_id").distinct().count() == docs.count()
