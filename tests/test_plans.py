@@ -76,5 +76,9 @@ def test_balance_only_spreads_narrow_scans(spark):
     one = _docs(spark)
     assert one.rdd.getNumPartitions() == 1
     assert balance(one).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 1000, numPartitions=64).select(F.col("id").alias("doc_id"))
+    cores = spark.sparkContext.defaultParallelism
+    wide = spark.range(0, 1000, numPartitions=4 * cores).select(F.col("id").alias("doc_id"))
     assert balance(wide) is wide
+    # one split per core but a tiny input: splits may be empty, spread anyway
+    mid = spark.range(0, 1000, numPartitions=cores).select(F.col("id").alias("doc_id"))
+    assert balance(mid).rdd.getNumPartitions() == 2 * cores
