@@ -54,6 +54,9 @@ class KMeansResult:
     n_iter: int
     converged: bool
     runs: list[dict] = field(default_factory=list)
+    # per cluster of the chosen run, at the final centres: member weight and
+    # the weighted sum of the first feature (for naming the clusters)
+    cluster_stats: list[dict] = field(default_factory=list)
 
 
 # ------------------------------------------------------------ column forms
@@ -135,6 +138,11 @@ class _Loop:
             f"SELECT /*+ BROADCAST(c) */ c.run AS run, sum({_mindist_sql(k)} * p.w) / sum(p.w) AS inertia "
             f"FROM {self.pv} p CROSS JOIN {{centres}} GROUP BY 1"
         )
+        self.final_sql = (
+            f"SELECT /*+ BROADCAST(c) */ c.run AS run, {_label_sql(k)} AS cluster, sum(p.w) AS n, "
+            f"sum({_mindist_sql(k)} * p.w) AS dist_sum, sum(p.f0 * p.w) AS f0_sum "
+            f"FROM {self.pv} p CROSS JOIN {{centres}} GROUP BY 1, 2"
+        )
 
     def centres_sql(self, centres: dict[int, list[list[float]]], k: int | None = None) -> str:
         k = self.k if k is None else k
@@ -159,6 +167,20 @@ class _Loop:
         sql = self.inertia_sql.format(centres=self.centres_sql(centres))
         return {row["run"]: float(row["inertia"]) for row in self.spark.sql(sql).collect()}
 
+    def final(self, centres: dict[int, list[list[float]]]):
+        """One job at the final centres: inertia per run and, per (run,
+        cluster), the member weight and weighted first-feature sum."""
+        rows = self.spark.sql(self.final_sql.format(centres=self.centres_sql(centres))).collect()
+        stats = {r: [{"cluster": c, "n": 0.0, "f0_sum": 0.0} for c in range(self.k)] for r in centres}
+        dist = {r: 0.0 for r in centres}
+        weight = {r: 0.0 for r in centres}
+        for row in rows:
+            stats[row["run"]][row["cluster"]] = {"cluster": row["cluster"], "n": float(row["n"]), "f0_sum": float(row["f0_sum"])}
+            dist[row["run"]] += row["dist_sum"]
+            weight[row["run"]] += row["n"]
+        inertia = {r: (dist[r] / weight[r] if weight[r] else float("nan")) for r in centres}
+        return inertia, stats
+
     def seed(self, runs: int, seed: int) -> dict[int, list[list[float]]]:
         """k-means++ picks for all runs: k grouped aggregates."""
         vec = "array(" + ", ".join(f"p.f{i}" for i in range(DIM)) + ")"
@@ -179,6 +201,8 @@ class _Loop:
                 f"FROM {self.pv} p CROSS JOIN {rel} GROUP BY 1"
             )
             picks = {row["run"]: row["pick"] for row in self.spark.sql(sql).collect()}
+            if j == 0 and not any(v is not None for v in picks.values()):
+                raise ValueError("cannot fit k-means on an empty input")
             for r in range(runs):
                 c = picks.get(r)
                 if c is None:  # fewer distinct points than k: repeat the last centre
@@ -259,7 +283,7 @@ def fit_points(
                 if moved < tol:
                     converged[r] = True
                     active.discard(r)
-        scores = loop.inertia(current)
+        scores, stats = loop.final(current)
     finally:
         loop.close()
     best = min(range(runs), key=lambda r: (scores[r], r))
@@ -273,6 +297,7 @@ def fit_points(
             {"run": r, "inertia": scores[r], "n_iter": n_iter[r], "converged": converged[r]}
             for r in range(runs)
         ],
+        cluster_stats=stats[best],
     )
 
 

@@ -71,12 +71,18 @@ def train(
     # for the loop; a lost block is re-read from the shared folder.
     points = materialize(kmeans.compact(feats), "points").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        if points.limit(1).count() == 0:
-            raise ValueError("cannot fit k-means on an empty corpus")
-        res = kmeans.fit_points(points, k, runs, max_iter, tol, seed)
-        ai, stats = name_clusters(points, res.centroids)
+        res = kmeans.fit_points(points, k, runs, max_iter, tol, seed)  # raises on an empty corpus
     finally:
         points.unpersist()
+    # naming from the fit's final pass: f0 = emoji_rate × its weight (2, an
+    # exact scaling), so the mean raw rate per cluster needs no extra job
+    w0 = lexicon.FEATURE_WEIGHTS[0][1]
+    stats = [
+        {"cluster": st["cluster"], "n": int(st["n"]), "emoji_sum": st["f0_sum"] / w0,
+         "emoji_mean": (st["f0_sum"] / w0) / max(int(st["n"]), 1)}
+        for st in res.cluster_stats
+    ]
+    ai = report.ai_cluster_of(stats)
     model = Model(res.centroids, ai, res.inertia, res.n_iter, res.converged, res.run).validate()
     return TrainResult(model, feats, points, stats, res)
 

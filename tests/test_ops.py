@@ -82,3 +82,13 @@ def test_fit_pipeline_end_to_end(spark):
     assert r.date == "Aug 9, 2025"
     assert abs(float(r.human_pct) + float(r.ai_pct) - 100.0) < 0.011
     assert labelled.where(F.col("cluster").isNull()).count() == 0
+
+
+def test_naming_from_fit_pass_equals_separate_job(spark):
+    from penmark.plans.marked import marked_documents
+
+    res = pipeline.train(marked_documents(spark, "/root/testdata/sf0.001"), ["doc_id"], runs=3)
+    ai, stats = pipeline.name_clusters(res.points, res.model.centroids)
+    assert ai == res.model.ai_cluster
+    for a, b in zip(stats, res.stats):
+        assert a["n"] == b["n"] and abs(a["emoji_sum"] - b["emoji_sum"]) < 1e-9
