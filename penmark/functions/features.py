@@ -22,10 +22,6 @@ def with_features(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return df.select(*[F.col(c) for c in keep], *feature_columns())
 
 
-def feature_array(prefix: str = "f") -> Column:
-    return F.array(*[F.col(f"{prefix}{i}") for i in range(lexicon.N_FEATURES)])
-
-
 def linf_to_point(point: list[float], prefix: str = "f") -> Column:
     """L∞ distance from the feature columns to a literal point (codegen'd)."""
     return F.greatest(*[F.abs(F.col(f"{prefix}{i}") - F.lit(float(v))) for i, v in enumerate(point)])
@@ -34,7 +30,3 @@ def linf_to_point(point: list[float], prefix: str = "f") -> Column:
 def linf_arrays(a: Column, b: Column) -> Column:
     """L∞ distance between two array<double> columns."""
     return F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
-
-
-def linf_sql(point: list[float], prefix: str = "f") -> str:
-    return "greatest(" + ", ".join(f"abs({prefix}{i} - ({float(v)!r}))" for i, v in enumerate(point)) + ")"

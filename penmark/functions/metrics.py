@@ -164,10 +164,3 @@ def with_text_metrics(df: DataFrame, text: str = "text", keep_sentence_count: bo
     if not keep_sentence_count:
         drop.append("sentence_count")
     return out.drop(*drop)
-
-
-def metrics_sql(source: str, text: str = "text", keep: list[str] | None = None, extra: str = "") -> str:
-    """DuckDB twin of :func:`with_text_metrics` over ``source``."""
-    keep = keep or []
-    cols = ", ".join(keep + METRICS + ["sentence_count"])
-    return S.sql_steps(source, metric_steps(text), f"SELECT {cols} FROM {{src}} {extra}")

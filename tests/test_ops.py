@@ -92,3 +92,25 @@ def test_naming_from_fit_pass_equals_separate_job(spark):
     assert ai == res.model.ai_cluster
     for a, b in zip(stats, res.stats):
         assert a["n"] == b["n"] and abs(a["emoji_sum"] - b["emoji_sum"]) < 1e-9
+
+
+def test_public_column_helpers(spark):
+    from pyspark.sql import functions as F
+
+    from penmark.functions.emoji import emoji_count
+    from penmark.functions.features import with_features
+    from penmark.functions.metrics import with_text_metrics
+    from penmark.functions.normalize import t1, t2_from_t1
+    from penmark.functions.phrases import phrase_count, phrase_count_custom
+    from penmark.operators.kmeans import compact, seed_centres
+
+    df = _df(spark, ["Modern 🚀 app\n\nby   the app ✨", "plain"])
+    t = df.select("doc_id", t2_from_t1(t1(F.col("text"))).alias("t2"))
+    out = {r.doc_id: r for r in t.select(
+        "doc_id", emoji_count(F.col("t2")).alias("e"), phrase_count(F.col("t2"), "buzzword").alias("b"),
+        phrase_count_custom(F.col("t2"), ["app", "the app"]).alias("c")).collect()}
+    assert (out[0].e, out[0].b, out[0].c) == (2, 3, 2)  # modern, the app, ✨; "app" alone twice
+    feats = with_features(with_text_metrics(df), keep=["doc_id"])
+    assert feats.columns == ["doc_id"] + [f"f{i}" for i in range(15)]
+    seeds = seed_centres(compact(feats.drop("doc_id")), 2, 3, 7)
+    assert len(seeds) == 3 and all(len(s) == 2 and len(s[0]) == 15 for s in seeds)
