@@ -18,7 +18,7 @@ from . import markdown as md
 from . import spec as S
 from .charclass import DASH, HYPHEN_IN_GRAPHEME, QUOTE, WS, WS_CHARS, WSN
 from .normalize import SENTENCE_SEGMENT
-from .phrases import family_pattern, family_pattern_fast
+from .phrases import family_pattern, family_pattern_fast, reduce_family, trie_regex, validate_negative
 from ..session import balance
 
 METRICS = lexicon.METRIC_ORDER
@@ -82,10 +82,33 @@ def gated(cond: S.E, col: S.E, pattern: str) -> S.E:
     return S.when(cond, S.count(col, pattern), S.zero_or_null(col))
 
 
-def count_steps() -> S.Steps:
-    """Raw integer counts (prefixed ``_n_``) on T1/T2."""
+def _custom_patterns(lexicons: dict[str, list[str]] | None) -> dict[str, str]:
+    """Trie patterns for user-supplied phrase families (same counting rule)."""
+    if not lexicons:
+        return {}
+    unknown = set(lexicons) - set(lexicon.FAMILIES)
+    if unknown:
+        raise ValueError(f"unknown phrase families: {sorted(unknown)}")
+    if "buzzword" in lexicons or "negative" in lexicons:
+        validate_negative(lexicons.get("buzzword", lexicon.BUZZWORD), lexicons.get("negative", lexicon.NEGATIVE_BUZZWORD))
+    return {f: trie_regex(reduce_family(p)) for f, p in lexicons.items()}
+
+
+def count_steps(lexicons: dict[str, list[str]] | None = None) -> S.Steps:
+    """Raw integer counts (prefixed ``_n_``) on T1/T2. ``lexicons`` replaces
+    any of the phrase families (the fixed lists are the defaults)."""
     x = S.col
     t1, t2 = x("_t1"), x("_t2")
+    custom = _custom_patterns(lexicons)
+    steps = _default_count_steps(t1, t2)
+    fam_col = {"ellipsis": "_n_ellipsis", "devlog": "_n_devlog", "buzzword": "_n_buzz", "negative": "_n_negative",
+               "not_just": "_n_not_just", "backstory": "_n_backstory", "perspective": "_n_perspective",
+               "fancy": "_n_fancy"}
+    by_col = {fam_col[f]: pat for f, pat in custom.items()}
+    return [[(n, S.count(t2, by_col[n]) if n in by_col else e) for n, e in steps[0]]]
+
+
+def _default_count_steps(t1: S.E, t2: S.E) -> S.Steps:
     return [
         [
             ("_n_sent", S.greatest(S.lit(1), S.count(t1, SENTENCE_SEGMENT))),
@@ -134,8 +157,9 @@ def metric_exprs(md_total: str = "_md_total") -> list[tuple[str, S.E]]:
     ]
 
 
-def metric_steps(text: str = "text", with_markdown: bool = True) -> S.Steps:
-    steps = normalize_steps(text) + _emoji_steps() + count_steps()
+def metric_steps(text: str = "text", with_markdown: bool = True,
+                 lexicons: dict[str, list[str]] | None = None) -> S.Steps:
+    steps = normalize_steps(text) + _emoji_steps() + count_steps(lexicons)
     if with_markdown:
         steps = steps + md.markdown_steps(text)
         exprs = metric_exprs()
@@ -151,15 +175,18 @@ def helper_columns() -> list[str]:
 
 
 def with_text_metrics(df: DataFrame, text: str = "text", keep_sentence_count: bool = True,
-                      rebalance: bool = True) -> DataFrame:
+                      rebalance: bool = True, lexicons: dict[str, list[str]] | None = None) -> DataFrame:
     """``df`` plus the fifteen metric columns (``double``) in record order.
 
     A null text gives null metrics (the sentence count alone is 1). With
     ``rebalance`` a scan with fewer splits than cores is spread first (see
     :func:`penmark.session.balance`); pass False when ``df`` is the output
-    of a shuffle, where counting its partitions would run that stage."""
+    of a shuffle, where counting its partitions would run that stage.
+    ``lexicons`` maps phrase-family names (``buzzword``, ``negative``,
+    ``fancy``, ``not_just``, ``devlog``, ``ellipsis``, ``perspective``,
+    ``backstory``) to replacement phrase lists."""
     emoji_mod.emoji_table(df.sparkSession)
-    out = S.apply_steps(balance(df) if rebalance else df, metric_steps(text))
+    out = S.apply_steps(balance(df) if rebalance else df, metric_steps(text, lexicons=lexicons))
     drop = [c for c in helper_columns() if c in out.columns]
     if not keep_sentence_count:
         drop.append("sentence_count")

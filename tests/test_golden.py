@@ -112,3 +112,19 @@ def test_ascii_only_lowercase_and_unicode_trim(spark):
     r = df.select(t1(F.col("text")).alias("t1"), ascii_lower(F.col("text")).alias("lo")).collect()[0]
     assert r.t1 == "hi Àİa"
     assert "À" in r.lo and "İ" in r.lo
+
+
+def test_custom_lexicons(spark):
+    import pytest as _pytest
+
+    from penmark.functions.metrics import with_text_metrics
+
+    df = spark.createDataFrame([(0, "We shipped the widget. The widget rocks!")], "doc_id long, text string")
+    lex = {"buzzword": ["widget"], "negative": ["widget rocks"], "backstory": ["shipped"]}
+    r = with_text_metrics(df, lexicons=lex).collect()[0]
+    assert r.buzzword_rate == 2 * (2 - 1) / 2 and r.backstory_count == 1.0
+    # replacing the buzzwords alone leaves negatives that contain none of them
+    with _pytest.raises(ValueError):
+        with_text_metrics(df, lexicons={"buzzword": ["widget"]})
+    with _pytest.raises(ValueError):
+        with_text_metrics(df, lexicons={"nonsense": ["x"]})
