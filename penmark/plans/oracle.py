@@ -269,6 +269,18 @@ def oracle() -> dict[str, str]:
     )
     out["report_by_lang"] = ll + shares.format(g="lang", inner=by.format(g="lang", grp="lang"))
     out["report_by_source_rollup"] = ll + shares.format(g="source", inner=by.format(g="source", grp="ROLLUP (source)"))
+    union_src = (
+        f"(SELECT 'documents' AS kind, text FROM ({marked_sql(('doc_id', 'text'))}) d "
+        "UNION ALL SELECT 'conversations' AS kind, text FROM conversations) AS un"
+    )
+    ufs = ", ".join(f"{m} * {float(w)!r} AS f{i}" for i, (m, w) in enumerate(lexicon.FEATURE_WEIGHTS))
+    out["report_by_kind"] = (
+        ll.rstrip() + f",\num AS ({_metrics(union_src, 'text', ('kind',))}),\n"
+        f"uf AS (SELECT kind, {ufs} FROM um),\n"
+        f"ul AS (SELECT f.kind, CASE WHEN {_dist('a')} <= {_dist('b')} THEN 0 ELSE 1 END AS cluster "
+        f"FROM uf f CROSS JOIN c{LLOYD_ROUNDS} c)\n"
+        + shares.format(g="kind", inner=by.format(g="kind", grp="kind").replace("FROM lf CROSS JOIN ai", "FROM ul lf CROSS JOIN ai"))
+    )
     out["sample_per_cluster"] = (
         ll + "SELECT CAST(cluster AS BIGINT) AS cluster, doc_id, CAST(rk AS BIGINT) AS sample_rank FROM ("
         "SELECT cluster, doc_id, row_number() OVER (PARTITION BY cluster ORDER BY md5(CAST(doc_id AS VARCHAR) || '-42'), doc_id) AS rk "

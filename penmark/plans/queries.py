@@ -310,6 +310,17 @@ def q_report_by_source_rollup(spark, sf):
     return report.report_by(lab, ["source"], ai, rollup=True)
 
 
+def q_report_by_kind(spark, sf):
+    """Score the union of both feeds (marked documents, conversations) with
+    the model and report the shares per feed."""
+    _, _, centres, _, ai, _ = _lloyd_model(spark, sf)
+    docs = _marked(spark, sf, ("text",))
+    conv = corpus_src.table(spark, sf, "conversations", "text")
+    union = corpus_src.corpus_union([("documents", docs, "text"), ("conversations", conv, "text")])
+    feats = pipeline.feature_table(union, ["kind"])
+    return report.report_by(kmeans.predict(feats, centres), ["kind"], ai)
+
+
 def q_sample_per_cluster(spark, sf):
     lab, _, _ = _labelled(spark, sf)
     s = report.sample_per_cluster(lab, 5, "doc_id", 42)
@@ -451,6 +462,7 @@ QUERIES: dict[str, Query] = {
     "cluster_report": q_cluster_report,
     "report_by_lang": q_report_by_lang,
     "report_by_source_rollup": q_report_by_source_rollup,
+    "report_by_kind": q_report_by_kind,
     "sample_per_cluster": q_sample_per_cluster,
     "cluster_samples": q_cluster_samples,
     "corpus_union": q_corpus_union,
