@@ -121,8 +121,8 @@ def _default_count_steps(t1: S.E, t2: S.E) -> S.Steps:
             ("_n_html", gated(S.contains(t2, "&amp;"), t2, "&amp;")),
             ("_n_devlog", S.count(t2, family_pattern_fast("devlog"), family_pattern("devlog"))),
             ("_n_buzz", S.count(t2, family_pattern_fast("buzzword"), family_pattern("buzzword"))),
-            ("_n_negative", gated(S.any_of(S.contains(t2, "modern english"), S.contains(t2, "made the app")), t2,
-                                  family_pattern("negative"))),
+            ("_n_negative", gated(S.any_of(*[S.contains(t2, p) for p in reduce_family(lexicon.NEGATIVE_BUZZWORD)]),
+                                  t2, family_pattern("negative"))),
             ("_n_not_just", S.count(t2, family_pattern("not_just"))),
             ("_n_backstory", S.count(t2, family_pattern("backstory"))),
             ("_n_perspective", S.count(t2, family_pattern("perspective"))),
