@@ -389,8 +389,9 @@ def q_score_stream(spark, sf):
 
 def _landed(spark, sf) -> tuple[str, str]:
     """Land documents as devlog pages and conversations as project pages
-    (cache-aside: written once per session and scale)."""
-    base = os.path.join(ensure_checkpoint_dir(spark), "landed", os.path.basename(sf.rstrip("/")))
+    (cache-aside: written once per version of the two source tables)."""
+    key = corpus_src.fingerprint(spark, *[os.path.join(sf, f"{t}.parquet") for t in ("documents", "conversations")])
+    base = os.path.join(ensure_checkpoint_dir(spark), "landed", f"{os.path.basename(sf.rstrip('/'))}-{key}")
     dev = os.path.join(base, "devlogs")
     proj = os.path.join(base, "projects")
     if not corpus_src.is_complete(spark, dev):

@@ -33,6 +33,22 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
+def fingerprint(spark: SparkSession, *paths: str) -> str:
+    """A short key that changes when any of the given files or folders
+    changes (length and modification time, via the Hadoop file system)."""
+    import hashlib
+
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    parts = []
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        st = p.getFileSystem(conf).getContentSummary(p)
+        mt = p.getFileSystem(conf).getFileStatus(p).getModificationTime()
+        parts.append(f"{path}:{st.getLength()}:{st.getFileCount()}:{mt}")
+    return hashlib.sha1("|".join(parts).encode()).hexdigest()[:12]
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     """A folder written by a finished Spark job carries a ``_SUCCESS`` marker."""
     return _exists(spark, path.rstrip("/") + "/_SUCCESS")
