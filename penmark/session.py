@@ -46,11 +46,16 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the configured checkpoint folder; only when none is set (local
-    tests) make a fresh scratch folder for it."""
+    """The configured shared checkpoint folder. Only on a local master (tests,
+    a laptop) is a fresh scratch folder made when none is set; on a cluster a
+    machine-local folder would be invisible to the executors, so it is an
+    error to leave ``spark.checkpoint.dir`` unset there."""
     d = checkpoint_dir(spark)
     if d:
         return d
+    master = spark.sparkContext.master or ""
+    if not master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster (for example on HDFS or S3)")
     d = tempfile.mkdtemp(prefix="penmark-ckpt-", dir=os.environ.get("PENMARK_SCRATCH", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
