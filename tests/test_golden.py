@@ -128,3 +128,13 @@ def test_custom_lexicons(spark):
         with_text_metrics(df, lexicons={"buzzword": ["widget"]})
     with _pytest.raises(ValueError):
         with_text_metrics(df, lexicons={"nonsense": ["x"]})
+
+
+def test_metrics_do_not_depend_on_partitioning(spark):
+    from penmark.functions.metrics import with_text_metrics
+    from penmark.plans.marked import marked_documents
+
+    docs = marked_documents(spark, "/root/testdata/sf0.001")
+    one = with_text_metrics(docs.coalesce(1), rebalance=False)
+    many = with_text_metrics(docs.repartition(8, "doc_id"), rebalance=False)
+    assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
