@@ -85,11 +85,24 @@ def lookup_regex(table: frozenset[str]) -> str:
     return _lookup_cache[table]
 
 
+ZWJ_RUN = "\u200d\u200d"
+
+
+def _uax29_joiner_breaks(t2: Column) -> Column:
+    """Java's ``\\X`` joins a pictograph after two or more joiners to the
+    preceding grapheme; UAX #29 does not (a joiner only links a pictograph
+    to a pictograph directly before it). A control character after such a
+    run restores that break; nothing after the run can belong to an emoji
+    anyway, so no other count changes."""
+    fixed = F.regexp_replace(t2, F.lit("(\\x{200D}{2,})"), F.lit("$1\u0001"))
+    return F.when(t2.contains(ZWJ_RUN), fixed).otherwise(t2)
+
+
 def emoji_graphemes(t2: Column, table: frozenset[str] | None = None) -> Column:
     """The emoji graphemes of ``t2``, in order (an array; null for null)."""
     table = table if table is not None else emoji_table()
     rx = lookup_regex(table)
-    graph = F.regexp_extract_all(t2, F.lit(EXTRACT), F.lit(0))
+    graph = F.regexp_extract_all(_uax29_joiner_breaks(t2), F.lit(EXTRACT), F.lit(0))
     hits = F.filter(graph, lambda g: g.rlike(rx))
     empty = F.array().cast("array<string>")
     return F.when(t2.isNull(), F.lit(None).cast("array<string>")).when(t2.rlike(GATE), hits).otherwise(empty)

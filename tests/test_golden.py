@@ -138,3 +138,8 @@ def test_metrics_do_not_depend_on_partitioning(spark):
     one = with_text_metrics(docs.coalesce(1), rebalance=False)
     many = with_text_metrics(docs.repartition(8, "doc_id"), rebalance=False)
     assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
+
+
+def test_joiner_run_breaks_like_uax29(spark):
+    (r,) = metrics_of(spark, ["👍‍‍© and 👨‍👩‍👧"])
+    assert round(r.emoji_rate * r.sentence_count / 5) == 2  # © and the family; 👍 + two joiners is no emoji

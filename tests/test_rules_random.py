@@ -18,16 +18,10 @@ ALPHABET = (
 
 
 def _random_texts(n, seed=11):
-    """Random strings; two joiners in a row are avoided: Java's grapheme
-    matcher keeps ``👍`` + ZWJ + ZWJ + ``©`` together where UAX #29 breaks
-    before ``©`` (a known, documented deviation)."""
+    """Random strings (joiner runs included: the emoji pass restores the
+    UAX #29 break that Java's grapheme matcher misses after them)."""
     rng = random.Random(seed)
-    out = []
-    while len(out) < n:
-        t = "".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 40)))
-        if "‍‍" not in t:
-            out.append(t)
-    return out
+    return ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 40))) for _ in range(n)]
 
 
 @pytest.mark.parametrize("seed", [11, 12])
