@@ -10,6 +10,7 @@ from penmark.functions import lexicon
 
 WHITE = set("\t\n\x0b\x0c\r \x85\xa0 " + "".join(chr(c) for c in range(0x2000, 0x200B)) + "    　")
 GRAPHEME = regex.compile(r"\X")
+ALPHABETIC = regex.compile(r"\p{Alphabetic}")  # the derived property, not str.isalpha (misses Nl, Other_Alphabetic)
 
 
 def t1(text: str) -> str:
@@ -46,7 +47,7 @@ def labels(t: str) -> int:
         if ":" in line:
             head = line.split(":", 1)[0]
             stripped = "".join(c for c in head if c not in WHITE)
-            if stripped and all(c.isalpha() or c in WHITE for c in head):
+            if stripped and all(ALPHABETIC.match(c) or c in WHITE for c in head):
                 n += 1
     return n
 

@@ -14,6 +14,8 @@ ALPHABET = (
     + ["　", " ", "́", "‍", "️", "é", "À", "ß"]
     + ["🚀", "✨", "👍", "🏽", "🇺", "🇸", "©", "1️⃣", "\r"]
     + ["modern ", "the app ", " we ", "day", "as a ", "(e.g. ", "&amp;", "...", "it’s not just ", "devlog #", "made the app"]
+    # emoji sequences holding arrows, a tag flag, letter numbers and combining letters, odd separators
+    + ["↔️", "🙂‍↔️", "🏃‍➡️", "🏴󠁧󠁢󠁳󠁣󠁴󠁿", "#⃣", "*️⃣", "‑", "−", "ⅷ", "ͅ", "Ǆ", "\x0b", "\x85", "a:", "12:", "\n\n\n"]
 )
 
 
