@@ -114,3 +114,15 @@ def test_public_column_helpers(spark):
     assert feats.columns == ["doc_id"] + [f"f{i}" for i in range(15)]
     seeds = seed_centres(compact(feats.drop("doc_id")), 2, 3, 7)
     assert len(seeds) == 3 and all(len(s) == 2 and len(s[0]) == 15 for s in seeds)
+
+
+def test_command_line(spark, tmpdir_fresh, capsys):
+    from penmark.__main__ import main
+
+    src = "/root/testdata/sf0.001/documents.parquet"
+    model = os.path.join(tmpdir_fresh, "model")
+    assert main(["train", src, model, "--report", "2025-08-09", "--runs", "2"]) == 0
+    assert "ai_cluster=" in capsys.readouterr().out
+    out = os.path.join(tmpdir_fresh, "scores")
+    assert main(["score", src, model, out]) == 0
+    assert spark.read.parquet(out).count() == spark.read.parquet(src).count()
