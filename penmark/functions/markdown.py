@@ -16,10 +16,12 @@ fixed order (code spans masked first, not counted), each masked after it
 is counted. Each stage is gated by a cheap ``contains`` on its trigger
 characters.
 
+Backslash escapes of ASCII punctuation are honoured in inline text.
+
 Known gaps against a full CommonMark parser: emphasis across lines,
 markup inside link text, nested quotes and lists, reference links, lazy
-continuation lines, backslash escapes, indented text under list items,
-and HTML blocks counted per tag instead of per line.
+continuation lines, escapes in block markers, indented text under list
+items, and HTML blocks counted per tag instead of per line.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ RULE = r"\n {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})\n"
 QUOTE_RUN = r"\n {0,3}>[^\n]*\n(?:\n {0,3}>[^\n]*\n)*"
 INDENTED_RUN = r"(?:^|\n[ \t]*\n)(?:\n(?: {4}|\t)[ \t]*[^" + SP + r"][^\n]*\n)+"
 CODE_SPAN = r"`+[^`\n]+`+"
+ESCAPE = r"\\[!-/:-@\[-`{-~]"  # backslash + ASCII punctuation: a literal character
 IMAGE = r"!\[[^\]\n]*\]\([^()" + SP + r"]*(?:[ \t]+" + '"' + r'[^"\n]*' + '"' + r")?\)"
 LINK = r"\[[^\]\n]*\]\([^()" + SP + r"]*(?:[ \t]+" + '"' + r'[^"\n]*' + '"' + r")?\)"
 AUTOLINK = r"<[A-Za-z][A-Za-z0-9+.\-]{1,31}:[^" + SP + r"<>]*>"
@@ -116,7 +119,10 @@ def markdown_steps(t0: str = "text", prefix: str = "_md_") -> S.Steps:
             (f"{p}indented", S.count(x(f"{p}d2"), INDENTED_RUN)),
         ],
     ]
-    prev = f"{p}i0"
+    # backslash escapes make the next punctuation literal (after code spans,
+    # inside which a backslash is itself literal)
+    steps.append([(f"{p}ie", gated(S.contains(x(f"{p}i0"), "\\"), S.rreplace(x(f"{p}i0"), ESCAPE, "x"), x(f"{p}i0")))])
+    prev = f"{p}ie"
     for i, (name, pat, trig) in enumerate(inline, start=1):
         src = x(prev)
         if name in ("strong", "emphasis"):
@@ -142,7 +148,7 @@ def markdown_steps(t0: str = "text", prefix: str = "_md_") -> S.Steps:
 
 
 def markdown_columns(prefix: str = "_md_") -> list[str]:
-    names = ["fbt", "a1", "bullet", "ftl", "a", "blk", "i0", "d", "setext", "d2", "atx",
+    names = ["fbt", "a1", "bullet", "ftl", "a", "blk", "i0", "ie", "d", "setext", "d2", "atx",
              "rule", "quote", "indented", "image", "link", "autolink", "html", "strong",
              "emphasis", "total"] + [f"i{i}" for i in range(1, 7)]
     return [prefix + n for n in names]

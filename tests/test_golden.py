@@ -43,6 +43,7 @@ MARKDOWN = [
     ("Title\n===\ntext", 1), ("Title\n---\ntext", 1), ("# A\n# B\n## C", 3),
     ("p\n\n    code1\n    code2\n\nq", 1), ("> a\n\n> b", 2), ("a <b>c</b> <http://x.y>", 3),
     ("<!-- c -->", 1), ("* * *", 1),
+    ("\\*not emphasis\\* and \\[no](link)", 0), ("`a\\` *b*", 1),
 ]
 
 
