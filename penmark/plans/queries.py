@@ -418,6 +418,24 @@ def q_paged_json(spark, sf):
     return u.select("kind", _long(F.length("text")).alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+def q_train_from_feeds(spark, sf):
+    """The whole training job as the original runs it: landed feed pages →
+    typed rows → union of both feeds (cache-aside) → metrics → fit → report."""
+    dev, proj = _landed(spark, sf)
+
+    def build():
+        d = paged_json.read_pages(spark, dev, "devlogs")
+        p = paged_json.read_pages(spark, proj, "projects")
+        return corpus_src.corpus_union([("devlogs", d, "text"), ("projects", p, "text")]).select(
+            F.xxhash64("kind", "text").alias("row_key"), "kind", "text")
+
+    corpus = corpus_src.corpus_or_build(spark, os.path.join(os.path.dirname(dev), "corpus_keyed"), build)
+    res = pipeline.train(corpus, ["row_key", "kind"])
+    rep = pipeline.training_report(res, REPORT_DATE)
+    return rep.select(F.lit(res.model.ai_cluster).cast("long").alias("ai_cluster"), "*",
+                      F.lit(res.model.n_iter).cast("long").alias("rounds"))
+
+
 def q_page_audit(spark, sf):
     dev, _ = _landed(spark, sf)
     return paged_json.page_audit(spark, dev, "devlogs").select(
@@ -473,5 +491,6 @@ QUERIES: dict[str, Query] = {
     "score_fitted": q_score_fitted,
     "training_report": q_training_report,
     "score_stream": q_score_stream,
+    "train_from_feeds": q_train_from_feeds,
     "page_audit": q_page_audit,
 }
