@@ -72,9 +72,19 @@ _model_cache: dict = {}
 _model_lock = threading.Lock()
 
 
+def _cache_key(spark: SparkSession, sf: str) -> tuple:
+    """Per application (not per Python object id, which can be reused after
+    a session stops) and per input folder."""
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001
+        app = id(spark)
+    return (app, os.path.abspath(sf))
+
+
 def _lloyd_model(spark, sf):
     """(features, centres, counts, ai_cluster, stats) for the SQL-derivable model."""
-    key = (id(spark), sf)
+    key = _cache_key(spark, sf)
     with _model_lock:
         if key not in _model_cache:
             feats = materialize(_features(spark, sf))
@@ -351,7 +361,7 @@ _train_cache: dict = {}
 
 
 def _trained(spark, sf):
-    key = (id(spark), sf)
+    key = _cache_key(spark, sf)
     with _model_lock:
         if key not in _train_cache:
             _train_cache[key] = pipeline.train(_marked(spark, sf, ("doc_id", "text")), ["doc_id"])
