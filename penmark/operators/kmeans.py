@@ -8,10 +8,10 @@ written with DataFrame operations:
   such as all-zeros collapses inside each task before the shuffle). Means,
   assignments and inertia are the same as over the raw rows; every later
   pass scans the compact table, written once to the shared folder.
-* **centres as a table**: each round's centres are a tiny inline table
-  (one row per run, ``runs`` is capped) broadcast into a nested-loop join
-  with the points. Only its rows change between rounds, so Spark reuses
-  the compiled code and the lineage never grows.
+* **centres as a constant**: each round's centres (one struct per run,
+  ``runs`` is capped) are unnested next to every point, so each point is
+  scored once per run without any join. Only the constant changes between
+  rounds, so Spark reuses the compiled code and the lineage never grows.
 * **seeding** (k-means++, weight = distance to the nearest chosen centre):
   a weighted pick by exponential race, ``argmin(-ln(u) / (w·d))`` with
   ``u`` a hash of the point, the run and the seed, so the pick does not
@@ -41,7 +41,7 @@ from ..functions.features import linf_to_point
 FEATS = lexicon.FEATURE_NAMES
 DIM = len(FEATS)
 _TWO53 = 2**53
-MAX_RUNS = 1000  # the centre table is broadcast: keep it provably small
+MAX_RUNS = 1000  # each point is scored once per run: keep the constant small
 MAX_K = 256
 
 
@@ -118,8 +118,10 @@ def _num(v: float) -> str:
 
 class _Loop:
     """Holds the points view and the fixed SQL shapes of one fit. Centres
-    enter each statement as an inline ``VALUES`` table (a local relation:
-    broadcast without a job, never part of the generated code)."""
+    enter each statement as a constant array of structs unnested next to
+    every point (``LATERAL VIEW explode``; no join). Constant folding makes
+    the array one literal that generated code only references, so the code
+    compiled in the first round is reused by all later ones."""
 
     def __init__(self, points: DataFrame, k: int):
         if not 1 <= k <= MAX_K:
@@ -130,27 +132,28 @@ class _Loop:
         points.createOrReplaceTempView(self.pv)
         sums = ", ".join(f"sum(p.f{i} * p.w) AS f{i}" for i in range(DIM))
         self.step_sql = (
-            f"SELECT /*+ BROADCAST(c) */ c.run AS run, {_label_sql(k)} AS cluster, sum(p.w) AS n, {sums} "
-            f"FROM {self.pv} p CROSS JOIN {{centres}} GROUP BY 1, 2"
+            f"SELECT c.run AS run, {_label_sql(k)} AS cluster, sum(p.w) AS n, {sums} "
+            f"FROM {self.pv} p {{centres}} GROUP BY 1, 2"
         )
         self.inertia_sql = (
-            f"SELECT /*+ BROADCAST(c) */ c.run AS run, sum({_mindist_sql(k)} * p.w) / sum(p.w) AS inertia "
-            f"FROM {self.pv} p CROSS JOIN {{centres}} GROUP BY 1"
+            f"SELECT c.run AS run, sum({_mindist_sql(k)} * p.w) / sum(p.w) AS inertia "
+            f"FROM {self.pv} p {{centres}} GROUP BY 1"
         )
         self.final_sql = (
-            f"SELECT /*+ BROADCAST(c) */ c.run AS run, {_label_sql(k)} AS cluster, sum(p.w) AS n, "
+            f"SELECT c.run AS run, {_label_sql(k)} AS cluster, sum(p.w) AS n, "
             f"sum({_mindist_sql(k)} * p.w) AS dist_sum, sum(p.f0 * p.w) AS f0_sum "
-            f"FROM {self.pv} p CROSS JOIN {{centres}} GROUP BY 1, 2"
+            f"FROM {self.pv} p {{centres}} GROUP BY 1, 2"
         )
 
     def centres_sql(self, centres: dict[int, list[list[float]]], k: int | None = None) -> str:
         k = self.k if k is None else k
-        cols = ["run"] + [f"c{j}_{i}" for j in range(k) for i in range(DIM)]
-        rows = ", ".join(
-            "(" + ", ".join([str(int(r))] + [_num(v) for c in centres[r][:k] for v in c]) + ")"
+        structs = ", ".join(
+            "named_struct('run', " + str(int(r)) + ", "
+            + ", ".join(f"'c{j}_{i}', {_num(v)}" for j, c in enumerate(centres[r][:k]) for i, v in enumerate(c))
+            + ")"
             for r in sorted(centres)
         )
-        return f"(VALUES {rows}) AS c({', '.join(cols)})"
+        return f"LATERAL VIEW explode(array({structs})) t AS c"
 
     def step(self, centres: dict[int, list[list[float]]]):
         new = {r: [list(c) for c in centres[r]] for r in centres}
@@ -188,7 +191,7 @@ class _Loop:
         for j in range(self.k):
             if j == 0:
                 weight = "p.w"
-                rel = "(VALUES " + ", ".join(f"({r})" for r in range(runs)) + ") AS c(run)"
+                rel = "LATERAL VIEW explode(array(" + ", ".join(f"named_struct('run', {r})" for r in range(runs)) + ")) t AS c"
             else:
                 near = _dist_sql(0) if j == 1 else "least(" + ", ".join(_dist_sql(i) for i in range(j)) + ")"
                 weight = f"p.w * {near}"
@@ -196,8 +199,8 @@ class _Loop:
             u = f"((pmod(xxhash64({hvec}, c.run, {j}, {int(seed)}), {_TWO53}) + 1.0D) / {float(_TWO53)!r}D)"
             key = f"CASE WHEN {weight} > 0 THEN named_struct('k', -ln({u}) / ({weight}), 't', xxhash64({hvec})) END"
             sql = (
-                f"SELECT /*+ BROADCAST(c) */ c.run AS run, min_by({vec}, {key}) AS pick "
-                f"FROM {self.pv} p CROSS JOIN {rel} GROUP BY 1"
+                f"SELECT c.run AS run, min_by({vec}, {key}) AS pick "
+                f"FROM {self.pv} p {rel} GROUP BY 1"
             )
             picks = {row["run"]: row["pick"] for row in self.spark.sql(sql).collect()}
             if j == 0 and not any(v is not None for v in picks.values()):

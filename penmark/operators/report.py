@@ -95,14 +95,20 @@ def sample_per_cluster(labelled: DataFrame, n: int = 5, key: str = "doc_id", see
     return labelled.withColumn("sample_rank", F.row_number().over(w)).where(F.col("sample_rank") <= n)
 
 
-def corpus_report(counts: DataFrame, date: str | Column | None = None) -> DataFrame:
-    """The published summary line: date as ``MMM d, yyyy``, counts with
+def report_text_columns(date: str | Column | None = None, suffix: str = "") -> list[Column]:
+    """The published line's fields over a counts row (``ai``, ``human``,
+    ``human_pct``, ``ai_pct``): date as ``MMM d, yyyy``, counts with
     thousands separators, percentages with two decimals."""
     d = F.current_date() if date is None else (F.to_date(F.lit(date)) if isinstance(date, str) else date)
-    return counts.select(
+    return [
         F.date_format(d, "MMM d, yyyy").alias("date"),
-        F.format_number(F.col("human"), 0).alias("human"),
-        F.format_number(F.col("ai"), 0).alias("ai"),
-        F.format_string("%.2f", F.col("human_pct")).alias("human_pct"),
-        F.format_string("%.2f", F.col("ai_pct")).alias("ai_pct"),
-    )
+        F.format_number(F.col("human"), 0).alias(f"human{suffix}"),
+        F.format_number(F.col("ai"), 0).alias(f"ai{suffix}"),
+        F.format_string("%.2f", F.col("human_pct")).alias(f"human_pct{suffix}"),
+        F.format_string("%.2f", F.col("ai_pct")).alias(f"ai_pct{suffix}"),
+    ]
+
+
+def corpus_report(counts: DataFrame, date: str | Column | None = None) -> DataFrame:
+    """The published summary line (one row; see :func:`report_text_columns`)."""
+    return counts.select(*report_text_columns(date))

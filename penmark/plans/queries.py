@@ -302,12 +302,8 @@ def q_metrics_summary(spark, sf):
 def q_cluster_report(spark, sf):
     lab, centres, ai = _labelled(spark, sf)
     counts = report.cluster_counts(lab, ai, len(centres))
-    rep = report.corpus_report(counts, REPORT_DATE)
-    return counts.crossJoin(rep.select(
-        F.col("date"), F.col("human").alias("human_text"), F.col("ai").alias("ai_text"),
-        F.col("human_pct").alias("human_pct_text"), F.col("ai_pct").alias("ai_pct_text"),
-    )).select(F.lit(ai).cast("long").alias("ai_cluster"), "ai", "human", "total", "human_pct", "ai_pct",
-              "date", "human_text", "ai_text", "human_pct_text", "ai_pct_text")
+    return counts.select(F.lit(ai).cast("long").alias("ai_cluster"), "ai", "human", "total", "human_pct", "ai_pct",
+                         *report.report_text_columns(REPORT_DATE, suffix="_text"))
 
 
 def q_report_by_lang(spark, sf):

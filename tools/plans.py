@@ -52,7 +52,7 @@ def main() -> None:
         ("Metric projection over documents (reads 2 columns; rebalanced only because the file is one row group)",
          with_text_metrics(docs, "text").select("doc_id", "emoji_rate", "irregular_markdown")),
         ("Compaction of the feature table (partial aggregate before the shuffle)", points),
-        ("One Lloyd round, 10 runs (broadcast local centre table, partial aggregate on run × cluster)", step),
+        ("One Lloyd round, 10 runs (constant centres unnested per point, no join; partial aggregate on run × cluster)", step),
         ("Per-cluster sample (partial window group limit before the shuffle)", report.sample_per_cluster(lab, 5)),
         ("Report per language (partial aggregate)", report.report_by(lab, ["lang"], ai)),
         ("Cluster statistics over a fixed spine (k-row aggregate broadcast)", report.cluster_emoji_stats(lab, 2)),
