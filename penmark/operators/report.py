@@ -21,10 +21,11 @@ def cluster_emoji_stats(labelled: DataFrame, k: int = 2, cluster: str = "cluster
                         emoji: str = "emoji_rate") -> DataFrame:
     """(cluster, n, emoji_sum, emoji_mean) for every cluster 0..k-1; an empty
     cluster has n = 0 and mean 0 (sum / max(n, 1))."""
-    agg = labelled.groupBy(F.col(cluster).cast("int").alias("cluster")).agg(
+    in_range = F.col(cluster).between(0, k - 1)
+    agg = labelled.where(in_range).groupBy(F.col(cluster).cast("int").alias("cluster")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(emoji).alias("emoji_sum")
     )
-    # the aggregate has at most k rows: a bounded broadcast
+    # only clusters 0..k-1 pass: the aggregate has at most k rows, a proven bound
     out = cluster_spine(labelled, k).join(F.broadcast(agg), "cluster", "left")
     n = F.coalesce(F.col("n"), F.lit(0))
     s = F.coalesce(F.col("emoji_sum"), F.lit(0.0))

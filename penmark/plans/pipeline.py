@@ -127,7 +127,9 @@ def cluster_samples(labelled: DataFrame, texts: DataFrame, key: str = "doc_id",
     and metrics run only on the chosen rows."""
     from ..operators.scoring import metrics_summary
 
-    picked = report.sample_per_cluster(labelled.select(key, cluster), n, key, seed, cluster)
+    # cluster numbers are 0..MAX_K-1, so the sample has at most n × MAX_K rows
+    valid = labelled.select(key, cluster).where(F.col(cluster).between(0, kmeans.MAX_K - 1))
+    picked = report.sample_per_cluster(valid, n, key, seed, cluster)
     chosen = texts.select(key, text).join(F.broadcast(picked), key)
     summarized = metrics_summary(with_text_metrics(chosen, text, rebalance=False))
     return summarized.select(cluster, "sample_rank", key, "summary", text)
