@@ -11,6 +11,7 @@ from __future__ import annotations
 import string
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import emoji as emoji_mod
 from . import lexicon
@@ -186,8 +187,13 @@ def with_text_metrics(df: DataFrame, text: str = "text", keep_sentence_count: bo
     ``fancy``, ``not_just``, ``devlog``, ``ellipsis``, ``perspective``,
     ``backstory``) to replacement phrase lists."""
     emoji_mod.emoji_table(df.sparkSession)
-    out = S.apply_steps(balance(df) if rebalance else df, metric_steps(text, lexicons=lexicons))
-    drop = [c for c in helper_columns() if c in out.columns]
-    if not keep_sentence_count:
-        drop.append("sentence_count")
-    return out.drop(*drop)
+    src = balance(df) if rebalance else df
+    steps = metric_steps(text, lexicons=lexicons)
+    out = S.apply_steps(src, steps)
+    produced = METRICS + (["sentence_count"] if keep_sentence_count else [])
+    # A barrier: the metrics leave through a one-row generator, so a later
+    # filter on a metric stays above it. Pushed down, such a filter would be
+    # rewritten through every step of the chain (several references per
+    # step), which makes planning and generated code explode. Filters on
+    # the passed-through columns still reach the scan.
+    return out.select(*src.columns, F.inline(F.array(F.struct(*[F.col(c) for c in produced]))))

@@ -82,3 +82,17 @@ def test_balance_only_spreads_narrow_scans(spark):
     # one split per core but a tiny input: splits may be empty, spread anyway
     mid = spark.range(0, 1000, numPartitions=cores).select(F.col("id").alias("doc_id"))
     assert balance(mid).rdd.getNumPartitions() == 2 * cores
+
+
+def test_filters_on_metrics_stay_above_the_projection(spark):
+    """A filter on a metric column must not be pushed into the metric chain
+    (planning and generated code would explode); keys still push down."""
+    import time
+
+    docs = _docs(spark).select("doc_id", "text")
+    t = time.time()
+    df = with_text_metrics(docs).where((F.col("irregular_markdown") >= 0) & (F.col("emoji_rate") >= 0))
+    assert df.count() == docs.count()
+    assert time.time() - t < 60
+    plan = _executed(with_text_metrics(docs).where(F.col("doc_id") < 10).select("doc_id"))
+    assert "PushedFilters: [IsNotNull(doc_id), LessThan(doc_id,10)]" in plan
