@@ -176,7 +176,8 @@ def helper_columns() -> list[str]:
 
 
 def with_text_metrics(df: DataFrame, text: str = "text", keep_sentence_count: bool = True,
-                      rebalance: bool = True, lexicons: dict[str, list[str]] | None = None) -> DataFrame:
+                      rebalance: bool = True, lexicons: dict[str, list[str]] | None = None,
+                      metrics: list[str] | None = None) -> DataFrame:
     """``df`` plus the fifteen metric columns (``double``) in record order.
 
     A null text gives null metrics (the sentence count alone is 1). With
@@ -185,12 +186,17 @@ def with_text_metrics(df: DataFrame, text: str = "text", keep_sentence_count: bo
     of a shuffle, where counting its partitions would run that stage.
     ``lexicons`` maps phrase-family names (``buzzword``, ``negative``,
     ``fancy``, ``not_just``, ``devlog``, ``ellipsis``, ``perspective``,
-    ``backstory``) to replacement phrase lists."""
+    ``backstory``) to replacement phrase lists. ``metrics`` limits the
+    output to some of the fifteen (the passes they do not need are pruned)."""
     emoji_mod.emoji_table(df.sparkSession)
     src = balance(df) if rebalance else df
     steps = metric_steps(text, lexicons=lexicons)
     out = S.apply_steps(src, steps)
-    produced = METRICS + (["sentence_count"] if keep_sentence_count else [])
+    wanted = list(metrics) if metrics is not None else METRICS
+    unknown = set(wanted) - set(METRICS)
+    if unknown:
+        raise ValueError(f"unknown metrics: {sorted(unknown)}")
+    produced = wanted + (["sentence_count"] if keep_sentence_count else [])
     # A barrier: the metrics leave through a one-row generator, so a later
     # filter on a metric stays above it. Pushed down, such a filter would be
     # rewritten through every step of the chain (several references per

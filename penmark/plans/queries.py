@@ -60,8 +60,8 @@ def _normalized(spark, sf) -> DataFrame:
     return S.apply_steps(_marked(spark, sf), normalize_steps("text"))
 
 
-def _metrics(spark, sf, cols=("doc_id", "text")) -> DataFrame:
-    return with_text_metrics(_marked(spark, sf, cols), "text")
+def _metrics(spark, sf, cols=("doc_id", "text"), only: list[str] | None = None) -> DataFrame:
+    return with_text_metrics(_marked(spark, sf, cols), "text", metrics=only)
 
 
 def _features(spark, sf) -> DataFrame:
@@ -107,7 +107,7 @@ def q_normalize_text(spark, sf):
 
 
 def q_sentence_count(spark, sf):
-    return _metrics(spark, sf).select("doc_id", _long("sentence_count").alias("sentence_count"))
+    return _metrics(spark, sf, only=[]).select("doc_id", _long("sentence_count").alias("sentence_count"))
 
 
 def q_split_sentences(spark, sf):
@@ -131,11 +131,11 @@ def q_graphemes(spark, sf):
 
 
 def q_emoji_rate(spark, sf):
-    return _metrics(spark, sf).select("doc_id", _r("emoji_rate").alias("emoji_rate"))
+    return _metrics(spark, sf, only=["emoji_rate"]).select("doc_id", _r("emoji_rate").alias("emoji_rate"))
 
 
 def q_buzzword_rate(spark, sf):
-    return _metrics(spark, sf).select("doc_id", _r("buzzword_rate").alias("buzzword_rate"))
+    return _metrics(spark, sf, only=["buzzword_rate"]).select("doc_id", _r("buzzword_rate").alias("buzzword_rate"))
 
 
 def q_phrase_family_counts(spark, sf):
@@ -150,7 +150,7 @@ def q_phrase_hits(spark, sf):
 
 
 def q_char_marks(spark, sf):
-    df = _metrics(spark, sf)
+    df = _metrics(spark, sf, only=["irregular_dashes", "irregular_arrows", "irregular_quotations", "irregular_ellipsis"])
     return df.select(
         "doc_id", _long("irregular_dashes").alias("dashes"), _long("irregular_arrows").alias("arrows"),
         _long("irregular_quotations").alias("quotes"), _long("irregular_ellipsis").alias("ellipsis"),
@@ -158,7 +158,7 @@ def q_char_marks(spark, sf):
 
 
 def q_html_escapes(spark, sf):
-    return _metrics(spark, sf).select("doc_id", _long("html_escape_count").alias("html_escape_count"))
+    return _metrics(spark, sf, only=["html_escape_count"]).select("doc_id", _long("html_escape_count").alias("html_escape_count"))
 
 
 def _markdown_parts(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -175,11 +175,11 @@ def q_markdown_marked_docs(spark, sf):
 
 
 def q_labels(spark, sf):
-    return _metrics(spark, sf).select("doc_id", _long("labels").alias("labels"))
+    return _metrics(spark, sf, only=["labels"]).select("doc_id", _long("labels").alias("labels"))
 
 
 def q_hashtags(spark, sf):
-    return _metrics(spark, sf).select("doc_id", _long("hashtags").alias("hashtags"))
+    return _metrics(spark, sf, only=["hashtags"]).select("doc_id", _long("hashtags").alias("hashtags"))
 
 
 def _metrics_out(df: DataFrame, key: str) -> DataFrame:

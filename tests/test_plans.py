@@ -96,3 +96,11 @@ def test_filters_on_metrics_stay_above_the_projection(spark):
     assert time.time() - t < 60
     plan = _executed(with_text_metrics(docs).where(F.col("doc_id") < 10).select("doc_id"))
     assert "PushedFilters: [IsNotNull(doc_id), LessThan(doc_id,10)]" in plan
+
+
+def test_metric_subset_prunes_the_other_passes(spark):
+    docs = _docs(spark).select("doc_id", "text")
+    plan = _executed(with_text_metrics(docs, metrics=["emoji_rate"], keep_sentence_count=False))
+    assert "_md_" not in plan and "_n_buzz" not in plan
+    full = _executed(with_text_metrics(docs).select("doc_id", "emoji_rate"))
+    assert "_md_" in full  # without the argument every metric is computed (the barrier's price)
