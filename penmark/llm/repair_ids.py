@@ -27,13 +27,14 @@ and an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,54 +46,99 @@ ROUNDS = 5
 MIN_PAIRS = 16
 SYMBOLS = 1 << 16
 MARK = 1024
-CACHE = 400_000
+CACHE = 800_000
+BATCH = 2048
 BINS = 20
 SHARDS = "part long, seq long, file string, n_docs long, n_ids long"
 DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
-_SPACED = re.compile(r"\s ")
-_pieces: dict[str, list[int]] = {}
+_SPACED = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] "  # white space, then a space
 _tokenizer: dict[str, object] = {}
+_young: dict[str, bytes] = {}
+_old: dict[str, bytes] = {}
+
+
+def _byte_signs() -> dict[int, str]:
+    """Byte -> the character that stands for it in a byte-level vocabulary:
+    itself where printable, else the next character from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+
+
+_SIGNS = _byte_signs()
 
 
 def _encoder(path: str):
     if path not in _tokenizer:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        _pieces.clear()
-        _tokenizer.clear()
+        for kept in (_tokenizer, _young, _old):
+            kept.clear()
         _tokenizer[path] = Tokenizer.from_file(path)
     return _tokenizer[path]
 
 
-def encode(path: str, texts: list[str | None]) -> list[list[int]]:
-    """Ids of each text, as ``encode(text, add_special_tokens=False)``."""
+def _ids(ids: list[int]) -> bytes:
+    return array("H", ids).tobytes()
+
+
+def _word(word: str) -> bytes:
+    """Ids of a space and a word, remembered. Letters are one piece for the
+    tokenizer's splitting and go straight to its model; a sign behind them is
+    a piece of its own; all else is encoded as it is."""
+    found = _young.get(word)
+    if found is None:
+        found = _old.get(word)
+        if found is None:
+            if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+                said = word if word.isascii() else word.encode().decode("latin-1").translate(_SIGNS)
+                found = array("H", [t.id for t in _now[1].tokenize(_SIGNS[32] + said)]).tobytes()
+            elif word[-1:] in ",." and word[:-1].isalpha():
+                return _word(word[:-1]) + _now[2][word[-1]]
+            else:
+                found = _ids(_now[0].encode(" " + word, add_special_tokens=False).ids)
+        _young[word] = found
+    return found
+
+
+_now: tuple = ()
+
+
+def encode(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in one array, each text's as ``encode(text,
+    add_special_tokens=False)``, and the number of ids of each text."""
+    global _young, _old, _now
     tokenizer = _encoder(path)
-    cut: list[list[str]] = []
-    for text in texts:
-        if not text:
-            cut.append([])
-        elif _SPACED.search(text):
-            cut.append([text])
-        else:
-            head, *rest = text.split(" ")
-            cut.append([head, *[" " + x for x in rest]] if head else [" " + x for x in rest])
-    known = _pieces
-    new = list({p for pieces in cut for p in pieces if p not in known})
-    if len(known) + len(new) > CACHE:
-        known.clear()
-        new = list({p for pieces in cut for p in pieces})
-    for i in range(0, len(new), 4096):
-        part = new[i : i + 4096]
-        for piece, got in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-            known[piece] = got.ids
-    return [list(chain.from_iterable(map(known.__getitem__, pieces))) for pieces in cut]
+    plain = lambda x: _ids(tokenizer.encode(x, add_special_tokens=False).ids)
+    _now = (tokenizer, tokenizer.model, {c: plain(c) for c in ",."})
+    texts = pc.fill_null(texts, "")
+    whole = pc.match_substring_regex(texts, _SPACED).to_numpy(zero_copy_only=False)
+    # words behind single spaces; the first word of a text has none before it
+    words = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
+    coded = words.flatten().dictionary_encode()
+    names, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    if len(_young) + len(names) > CACHE:
+        _young, _old = {}, _young
+    first = words.offsets.to_numpy()[:-1] - words.offsets.to_numpy()[0]
+    heads = [x.partition(" ")[0] if not w else x for x, w in zip(texts.to_pylist(), whole)]
+    # the first words and whole texts stand behind the names in the table
+    index = index.astype(np.int64)
+    index[first] = len(names) + np.arange(len(first))
+    table = [*map(_word, names), *map(plain, heads)]
+    size = np.fromiter(map(len, table), np.int64, len(table)) // 2
+    begin = np.r_[0, np.cumsum(size)[:-1]]
+    each = size[index]
+    upto = np.cumsum(each)
+    flat = np.frombuffer(b"".join(table), np.uint16)
+    out = flat[np.repeat(begin[index] - upto + each, each) + np.arange(upto[-1] if len(upto) else 0)]
+    return out, np.add.reduceat(each, first) if len(first) else each
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: (rules, symbols, position of each document's first symbol and
     the end). ``ends`` holds the position after each document."""
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)
     last[ends - 1] = True
     rules: list[np.ndarray] = []
@@ -100,27 +146,30 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray,
     for _ in range(ROUNDS):
         if symbol >= SYMBOLS or len(seq) < 2:
             break
-        key = (seq[:-1] << 16) | seq[1:]
+        key = (seq[:-1] << np.uint32(16)) | seq[1:]
         # exact counts, but only of pairs in bins that reach the least count
-        where = (key * np.int64(-7046029254386353131)).view(np.uint64) >> np.uint64(64 - BINS)
-        where = where.astype(np.int32)
+        where = (key * np.uint32(2654435761)) >> np.uint32(32 - BINS)
         full = np.bincount(where, minlength=1 << BINS) >= MIN_PAIRS
         at = np.flatnonzero(full[where] & ~last[:-1])
-        pairs, counts = np.unique(key[at], return_counts=True)
+        key = key[at]
+        pairs, counts = np.unique(key, return_counts=True)
         room = (SYMBOLS - base) // ROUNDS if symbol + 2 * ((SYMBOLS - base) // ROUNDS) <= SYMBOLS else SYMBOLS - symbol
         pairs, counts = pairs[counts >= MIN_PAIRS], counts[counts >= MIN_PAIRS]
         if not len(pairs):
             break
         pairs = np.sort(pairs[np.lexsort((pairs, -counts))[:room]])
-        slot = np.minimum(np.searchsorted(pairs, key[at]), len(pairs) - 1)
-        hit = pairs[slot] == key[at]
+        # a pair's rule by its bin; where two chosen pairs share a bin, one waits for the next round
+        table = np.zeros(1 << BINS, np.int32)
+        table[(pairs * np.uint32(2654435761)) >> np.uint32(32 - BINS)] = np.arange(len(pairs))
+        slot = table[where[at]]
+        hit = pairs[slot] == key
         at, slot = at[hit], slot[hit]
         # in a run of overlapping pairs every second one is replaced
         begins = np.r_[True, np.diff(at) > 1]
         nth = np.arange(len(at)) - np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
         at, slot = at[nth % 2 == 0], slot[nth % 2 == 0]
         used, slot = np.unique(slot, return_inverse=True)
-        rules.append(np.stack([pairs[used] >> 16, pairs[used] & 0xFFFF], 1))
+        rules.append(np.stack([pairs[used] >> np.uint32(16), pairs[used] & np.uint32(0xFFFF)], 1))
         seq[at] = symbol + slot
         last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
@@ -128,20 +177,22 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray,
         seq, last = seq[keep], last[keep]
         symbol += len(used)
     firsts = np.r_[0, np.flatnonzero(last) + 1]
-    table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
+    table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     return table.astype(np.uint16), seq.astype(np.uint16), firsts.astype(np.uint32)
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    out = symbols.astype(np.int64)
-    while len(out) and out.max() >= base:
-        new = out >= base
-        at = np.arange(len(out)) + np.r_[0, np.cumsum(new)[:-1]]
-        wide = np.empty(len(out) + int(new.sum()), np.int64)
-        wide[at] = np.where(new, rules[np.where(new, out - base, 0), 0] if len(rules) else 0, out)
-        wide[at[new] + 1] = rules[out[new] - base, 1]
+    out = symbols.astype(np.uint16)
+    while len(new := np.flatnonzero(out >= base)):
+        pair = rules[out[new].astype(np.int32) - base]
+        wide = np.empty(len(out) + len(new), np.uint16)
+        first = new + np.arange(len(new))  # where each pair lands
+        rest = np.ones(len(wide), bool)
+        rest[first] = rest[first + 1] = False
+        wide[rest] = out[out < base]
+        wide[first], wide[first + 1] = pair[:, 0], pair[:, 1]
         out = wide
-    return out.astype(np.uint32)
+    return out
 
 
 def lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -192,7 +243,7 @@ class Shard:
     def read_ids(self, start: int, count: int) -> np.ndarray:
         """``count`` ids from the ``start``-th on, without the ids before."""
         if not len(self.symbols):
-            return np.zeros(0, np.uint32)
+            return np.zeros(0, np.uint16)
         mark = int(np.searchsorted(self.marks, start, "right")) - 1
         stop = int(np.searchsorted(self.marks, start + count, "left"))
         part = expand(self.symbols[mark * MARK : stop * MARK], self.rules, self.base)
@@ -215,27 +266,29 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
         part, seq = TaskContext.get().partitionId(), 0
         names: list[int | None] = []
         ids: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         total = 0
 
         def flush() -> pa.RecordBatch:
             name = f"part-{part:06d}-{seq:06d}.rpg"
             out = NewFile(folder, name)
-            out.write(pack(np.concatenate(ids), np.cumsum([len(x) for x in ids]), vocabulary))
+            out.write(pack(np.concatenate(ids), np.cumsum(np.concatenate(sizes)), vocabulary))
             out.close()
             row = {"part": part, "seq": seq, "file": f"{folder}/{name}", "n_docs": len(names), "n_ids": total, "doc_ids": names}
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                some = batch.slice(first, 256)
-                for name, got in zip(some.column("doc_id").to_pylist(), encode(tokenizer, some.column("text").to_pylist())):
-                    got.append(end_id)
-                    names.append(name)
-                    ids.append(np.array(got, np.uint16))
-                    total += len(got)
-                    if total >= SHARD_TOKENS:
-                        yield flush()
-                        names, ids, total, seq = [], [], 0, seq + 1
+            for first in range(0, batch.num_rows, BATCH):
+                some = batch.slice(first, BATCH)
+                got, n = encode(tokenizer, some.column("text"))
+                got = np.insert(got, np.cumsum(n), end_id)  # behind each document
+                names += some.column("doc_id").to_pylist()
+                ids.append(got)
+                sizes.append(n + 1)
+                total += len(got)
+                if total >= SHARD_TOKENS:
+                    yield flush()
+                    names, ids, sizes, total, seq = [], [], [], 0, seq + 1
         if names:
             yield flush()
 
@@ -269,4 +322,5 @@ def read_documents(shards: DataFrame) -> DataFrame:
                     out.append((name, start + int(at[k]), len(part), zlib.crc32(part.tobytes())))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    return shards.repartition("file").mapInArrow(read, DOCS)
+    tasks = max(1, shards.count() // 4)  # a task reads a few shards
+    return shards.repartition(tasks, "file").mapInArrow(read, DOCS)
