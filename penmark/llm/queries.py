@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, repair_ids, warc, winnowing
+from . import chat_format, html_main, mixing, repair_ids, secret_scan, warc, winnowing
 from .common import fresh_path, table
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
 
@@ -43,8 +47,15 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_ids.read_documents(shards)
 
 
+def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_mix_sources, op5_warc, op7_winnowing, op8_chat_windows, op9_token_shards)
+    f.__name__: f
+    for f in (
+        op2_secret_scan, op4_mix_sources, op5_warc, op7_winnowing, op8_chat_windows, op9_token_shards, op10_html_main_text,
+    )
 }
 
 ORACLE: dict[str, str] = {
