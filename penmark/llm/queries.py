@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_main, mixing, repair_ids, secret_scan, warc, winnowing
+from . import chat_format, html_main, mixing, ordinal, repair_ids, secret_scan, warc, winnowing
 from .common import fresh_path, table
 
 
@@ -15,6 +15,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ordinal.score(docs, ordinal.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
 
@@ -54,7 +59,7 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_secret_scan, op4_mix_sources, op5_warc, op7_winnowing, op8_chat_windows, op9_token_shards, op10_html_main_text,
+        op2_secret_scan, op3_quality_ordinal, op4_mix_sources, op5_warc, op7_winnowing, op8_chat_windows, op9_token_shards, op10_html_main_text,
     )
 }
 
