@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_main, mixing, ordinal, repair_ids, secret_scan, warc, winnowing
+from . import chat_format, html_main, mixing, ngram_join, ordinal, repair_ids, secret_scan, warc, winnowing
 from .common import fresh_path, table
 
 
@@ -29,6 +29,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
@@ -59,12 +63,13 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_secret_scan, op3_quality_ordinal, op4_mix_sources, op5_warc, op7_winnowing, op8_chat_windows, op9_token_shards, op10_html_main_text,
+        op2_secret_scan, op3_quality_ordinal, op4_mix_sources, op5_warc, op6_ngram_join, op7_winnowing, op8_chat_windows, op9_token_shards, op10_html_main_text,
     )
 }
 
 ORACLE: dict[str, str] = {
     "op4_mix_sources": mixing.ORACLE_SQL,
     "op5_warc": warc.ORACLE_SQL,
+    "op6_ngram_join": ngram_join.ORACLE_SQL,
     "op7_winnowing": winnowing.ORACLE_SQL,
 }
