@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_main, mixing, ngram_join, ordinal, repair_ids, secret_scan, warc, winnowing
+from . import chat_format, html_main, mixing, ngram_join, nn_descent, ordinal, repair_ids, secret_scan, warc, winnowing
 from .common import fresh_path, table
 
 
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -63,11 +67,12 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_secret_scan, op3_quality_ordinal, op4_mix_sources, op5_warc, op6_ngram_join, op7_winnowing, op8_chat_windows, op9_token_shards, op10_html_main_text,
+        op1_nn_descent, op2_secret_scan, op3_quality_ordinal, op4_mix_sources, op5_warc, op6_ngram_join, op7_winnowing, op8_chat_windows, op9_token_shards, op10_html_main_text,
     )
 }
 
 ORACLE: dict[str, str] = {
+    "op1_nn_descent": nn_descent.ORACLE_SQL,
     "op4_mix_sources": mixing.ORACLE_SQL,
     "op5_warc": warc.ORACLE_SQL,
     "op6_ngram_join": ngram_join.ORACLE_SQL,
