@@ -241,8 +241,11 @@ def near_duplicates(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) ->
     homes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "ngram-homes")
     entries = written(_index(docs, n, num, den, _levels(read.where("token IS NOT NULL"))), "ngram-index")
 
-    heads = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("value", "node", "size")).alias("h"))
-    heads = heads.where("n > 1").select("sig", F.col("h.node").alias("h_node"), F.col("h.value").alias("h_value"), F.col("h.size").alias("h_size"))
+    # most entries are of one node: those go first, by slim counts
+    several = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
+    entries = written(entries.join(several, "sig", "left_semi"), "ngram-shared")
+    heads = entries.groupBy("sig").agg(F.min(F.struct("value", "node", "size")).alias("h"))
+    heads = heads.select("sig", F.col("h.node").alias("h_node"), F.col("h.value").alias("h_value"), F.col("h.size").alias("h_size"))
     shared = entries.join(heads, "sig").where("node <> h_node")
     stars = shared.where(_may_link("", "h_", num, den)).select(F.least("node", "h_node").alias("a"), F.greatest("node", "h_node").alias("b"))
     stars = written(stars.distinct(), "ngram-pairs")
@@ -251,7 +254,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) ->
 
     # entries that still join different components
     named = comps.select(F.col("node").alias("c_node"), "comp")
-    left = entries.join(heads.select("sig"), "sig", "left_semi").join(named, F.col("node") == F.col("c_node"), "left")
+    left = entries.join(named, F.col("node") == F.col("c_node"), "left")
     left = left.select("sig", "node", "size", "value", F.coalesce("comp", "node").alias("comp"))
     left = written(left, "ngram-left")
     open_ = left.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
