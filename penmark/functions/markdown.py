@@ -37,6 +37,13 @@ ATX = r"\n {0,3}#{1,6}(?:[ \t][^\n]*)?\n"
 RULE = r"\n {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})\n"
 QUOTE_RUN = r"\n {0,3}>[^\n]*\n(?:\n {0,3}>[^\n]*\n)*"
 INDENTED_RUN = r"(?:^|\n[ \t]*\n)(?:\n(?: {4}|\t)[ \t]*[^" + SP + r"][^\n]*\n)+"
+# The same for Java, possessive: a repeated group would recurse once a line
+# there and overflow the stack on long runs.
+JAVA = {
+    RULE: r"\n {0,3}(?:(?:\*[ \t]*+){3,}+|(?:-[ \t]*+){3,}+|(?:_[ \t]*+){3,}+)\n",
+    QUOTE_RUN: r"\n {0,3}>[^\n]*\n(?:\n {0,3}>[^\n]*\n)*+",
+    INDENTED_RUN: r"(?:^|\n[ \t]*\n)(?:\n(?: {4}|\t)[ \t]*[^" + SP + r"][^\n]*\n)++",
+}
 CODE_SPAN = r"`+[^`\n]+`+"
 ESCAPE = r"\\[!-/:-@\[-`{-~]"  # backslash + ASCII punctuation: a literal character
 IMAGE = r"!\[[^\]\n]*\]\([^()" + SP + r"]*(?:[ \t]+" + '"' + r'[^"\n]*' + '"' + r")?\)"
@@ -114,9 +121,9 @@ def markdown_steps(t0: str = "text", prefix: str = "_md_") -> S.Steps:
         ],
         [
             (f"{p}atx", S.count(x(f"{p}d2"), ATX)),
-            (f"{p}rule", S.count(x(f"{p}d2"), RULE)),
-            (f"{p}quote", S.count(x(f"{p}d2"), QUOTE_RUN)),
-            (f"{p}indented", S.count(x(f"{p}d2"), INDENTED_RUN)),
+            (f"{p}rule", S.count(x(f"{p}d2"), JAVA[RULE], RULE)),
+            (f"{p}quote", S.count(x(f"{p}d2"), JAVA[QUOTE_RUN], QUOTE_RUN)),
+            (f"{p}indented", S.count(x(f"{p}d2"), JAVA[INDENTED_RUN], INDENTED_RUN)),
         ],
     ]
     # backslash escapes make the next punctuation literal (after code spans,

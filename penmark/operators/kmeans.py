@@ -71,12 +71,12 @@ def compact(features: DataFrame, weight: str | None = None) -> DataFrame:
 
 
 def assign_expr(centres: list[list[float]]) -> Column:
-    """Index of the nearest centre (literal centres); ties go to the lower index."""
+    """Index of the nearest centre (literal centres); ties go to the lower index; null without features."""
     ds = [linf_to_point(c) for c in centres]
     if len(ds) == 1:
         return F.lit(0)
     if len(ds) == 2:
-        return F.when(ds[0] <= ds[1], F.lit(0)).otherwise(F.lit(1))
+        return F.when(ds[0] <= ds[1], F.lit(0)).when(ds[0] > ds[1], F.lit(1))
     arr = F.array(*ds)
     return F.array_position(arr, F.array_min(arr)).cast("int") - 1
 

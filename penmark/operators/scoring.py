@@ -32,14 +32,15 @@ def point_confidence(df: DataFrame, centroids: list[list[float]]) -> DataFrame:
 
 
 def chance_columns(ai_cluster: int) -> list[Column]:
-    """``chance_ai`` = (s_ai / Σs)·100 (0 when the index is missing) and its complement."""
-    ai = F.coalesce(F.element_at("sims", ai_cluster + 1), F.lit(0.0)) * F.lit(100.0)
+    """``chance_ai`` = (s_ai / Σs)·100 (0 when the index is missing; null for
+    a null text) and its complement."""
+    ai = F.when(F.size("sims") > ai_cluster, F.get("sims", F.lit(ai_cluster))).otherwise(F.lit(0.0)) * F.lit(100.0)
     return [ai.alias("chance_ai"), (F.lit(100.0) - ai).alias("chance_human")]
 
 
 def verdict_column(ai: str = "chance_ai", human: str = "chance_human") -> Column:
-    """"AI" when chance_ai ≥ chance_human (a tie goes to AI), else "Human"."""
-    return F.when(F.col(ai) >= F.col(human), F.lit("AI")).otherwise(F.lit("Human"))
+    """"AI" when chance_ai ≥ chance_human (a tie goes to AI), "Human" when it is less, else null."""
+    return F.when(F.col(ai) >= F.col(human), F.lit("AI")).when(F.col(ai) < F.col(human), F.lit("Human"))
 
 
 def score_features(df: DataFrame, centroids: list[list[float]], ai_cluster: int, keep: list[str]) -> DataFrame:

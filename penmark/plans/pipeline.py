@@ -122,14 +122,12 @@ def cluster_samples(labelled: DataFrame, texts: DataFrame, key: str = "doc_id",
     text: (cluster, sample_rank, key, summary, text).
 
     The sample is drawn on the narrow (key, cluster) table (a partial top-n
-    per task before the shuffle), so at most ``n × k`` rows result; that
-    bounded set is broadcast into the text table, so no text is shuffled,
+    per task before the shuffle), so at most ``n`` rows per cluster result,
     and metrics run only on the chosen rows."""
     from ..operators.scoring import metrics_summary
 
-    # cluster numbers are 0..MAX_K-1, so the sample has at most n × MAX_K rows
-    valid = labelled.select(key, cluster).where(F.col(cluster).between(0, kmeans.MAX_K - 1))
-    picked = report.sample_per_cluster(valid, n, key, seed, cluster)
-    chosen = texts.select(key, text).join(F.broadcast(picked), key)
+    picked = report.sample_per_cluster(labelled.select(key, cluster), n, key, seed, cluster)
+    # n rows per cluster: Spark broadcasts them when they are few, and shuffles otherwise
+    chosen = texts.select(key, text).join(picked, key)
     summarized = metrics_summary(with_text_metrics(chosen, text, rebalance=False))
     return summarized.select(cluster, "sample_rank", key, "summary", text)

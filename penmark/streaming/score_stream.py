@@ -7,14 +7,11 @@ shared checkpoint folder, so a restarted query resumes exactly once.
 
 from __future__ import annotations
 
-import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.scoring import score
-from ..session import ensure_checkpoint_dir
 
 
 def score_stream(stream_df: DataFrame, model, text: str = "text", keep: list[str] | None = None,
@@ -34,9 +31,9 @@ def read_text_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet
 def start_scoring(stream_df: DataFrame, model, sink_path: str, text: str = "text",
                   keep: list[str] | None = None, checkpoint: str | None = None,
                   available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
-    """Score a stream into Parquet files at ``sink_path`` (append)."""
-    spark = stream_df.sparkSession
-    checkpoint = checkpoint or os.path.join(ensure_checkpoint_dir(spark), f"score-stream-{uuid.uuid4().hex}")
+    """Score a stream into Parquet files at ``sink_path`` (append). The
+    checkpoint lies beside the sink unless given, so a restart resumes."""
+    checkpoint = checkpoint or f"{sink_path.rstrip('/')}-checkpoint"
     scored = score_stream(stream_df, model, text=text, keep=keep)
     writer = scored.writeStream.format("parquet").option("path", sink_path).option(
         "checkpointLocation", checkpoint
