@@ -17,8 +17,10 @@ of fixed size.
 Links without all pairs: in each index entry the most central node (fewest
 earlier prefix tokens) is compared with the others; linked nodes become
 components; then only pairs of different components that still share an entry
-are compared. Every comparison is exact, on whole sets. So all linked nodes
-end in one component, and no link between different components is lost.
+are compared. Every comparison is exact, on whole sets; pairs that differ in
+more token bins than linked sets can are ruled out before, by small sketches of
+bin parities. So all linked nodes end in one component, and no link between
+different components is lost.
 
 Defined cases: lower-casing is A-Z only; words are runs of characters other
 than ASCII white space; a text with fewer than ``n`` words is one n-gram; a
@@ -193,9 +195,27 @@ def _may_link(a: str, b: str, num: int, den: int):
     return (F.col(f"{a}value") <= F.col(f"{a}size") - least) & (F.col(f"{b}value") <= F.col(f"{b}size") - least)
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """Parities of the tokens per bin, about one bit for one to two tokens."""
+    bins = 1 << max(6, len(h).bit_length() - 1)
+    return np.packbits((np.bincount((h & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1).astype(np.uint8)).tobytes()
+
+
+def sketches_allow(x: bytes, y: bytes, sizes: int, num: int, den: int) -> bool:
+    """False only where the sketches prove that the sets, of ``sizes`` tokens
+    together, are not linked: every bin of unequal parity holds a token that
+    one of the sets lacks. A longer sketch folds to the shorter one's bins."""
+    x, y = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    apart = int(np.bitwise_count(x ^ y).sum())
+    return (num + den) * (sizes - apart) >= 2 * num * sizes
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, homes: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that are linked, compared on whole sets. Only the
-    texts of nodes in pairs are read again, one document of each."""
+    texts of nodes in pairs are read again, one document of each; whole sets
+    are shuffled only for pairs that their sketches don't rule out."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = written(wanted.join(homes, "node").select("node", F.col("doc_id").alias("w_id")), "ngram-wanted")
     if wanted.count() <= BROADCAST_IDS:
@@ -208,17 +228,33 @@ def _verify(pairs: DataFrame, docs: DataFrame, homes: DataFrame, n: int, num: in
                 for want, text in zip(some.column("node").to_pylist(), some.column("text")):
                     node, h = tokens(text.as_py(), n)
                     if node == want:
-                        out.append((node, h.tobytes()))
+                        out.append((node, len(h), sketch(h), h.tobytes()))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["node", "grams"])
+                    node, size, bits, grams = zip(*out)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(bits, pa.binary()), pa.array(grams, pa.binary())],
+                        names=["node", "size", "bits", "grams"],
+                    )
+
+    def with_both(pairs: DataFrame, found: DataFrame, *named: str) -> DataFrame:
+        found = found.select("node", *named).dropDuplicates(["node"])
+        for side in ("a", "b"):
+            pairs = pairs.join(found.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in named]), side)
+        return pairs.select("a", "b", *[f"{side}_{c}" for side in ("a", "b") for c in named])
 
     found = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id"))).select("node", "text")
-    found = written(found.mapInArrow(sets, "node long, grams binary"), "ngram-sets").dropDuplicates(["node"])
+    found = written(found.mapInArrow(sets, "node long, size long, bits binary, grams binary"), "ngram-sets")
+
+    def rule_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [x + y for x, y in zip(batch.column("a_size").to_pylist(), batch.column("b_size").to_pylist())]
+            keep = [sketches_allow(x.as_py(), y.as_py(), size, num, den) for x, y, size in zip(batch.column("a_bits"), batch.column("b_bits"), sizes)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
+            for x, y in zip(batch.column("a_grams"), batch.column("b_grams")):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
@@ -226,9 +262,10 @@ def _verify(pairs: DataFrame, docs: DataFrame, homes: DataFrame, n: int, num: in
                 keep.append(den * shared >= num * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    rows = pairs.join(found.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
-    rows = rows.join(found.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-    return written(rows.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "ngram-links")
+    near = written(with_both(pairs, found, "size", "bits").mapInArrow(rule_out, "a long, b long"), "ngram-near")
+    nodes = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    found = found.join(nodes, "node", "left_semi")
+    return written(with_both(near, found, "grams").mapInArrow(compare, "a long, b long"), "ngram-links")
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) -> DataFrame:

@@ -89,3 +89,23 @@ def test_prefixes_hide_no_link():
                 a, b = (dict(zip(*(c.tolist() for c in ngram_join.signatures(s, levels, 9, 10)))) for s in (x, y))
                 least = -(-9 * (len(x) + len(y)) // 19)
                 assert any(a[s] <= len(x) - least and b[s] <= len(y) - least for s in a.keys() & b.keys())
+
+
+@pytest.mark.parametrize("num,den", [(9, 10), (4, 5)])
+def test_sketches_rule_out_no_link(num, den):
+    rng = np.random.default_rng(2)
+    allow = lambda x, y: ngram_join.sketches_allow(ngram_join.sketch(x), ngram_join.sketch(y), len(x) + len(y), num, den)
+    ruled_out = 0
+    for size in (1, 2, 9, 63, 64, 127, 128, 500, 5000):
+        whole = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        for lost in range(0, len(whole) // 2 + 1, max(1, size // 40)):
+            for new in (0, lost // 2, lost):
+                y = np.unique(np.r_[rng.permutation(whole)[lost:], rng.integers(0, 1 << 63, new).astype(np.uint64)])
+                shared = len(np.intersect1d(whole, y))
+                if den * shared >= num * (len(whole) + len(y) - shared):
+                    assert allow(whole, y) and allow(y, whole)
+                else:
+                    ruled_out += not allow(whole, y)
+    assert ruled_out
+    far = np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64))
+    assert not allow(whole[:300], far)
