@@ -183,39 +183,40 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     part = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(PARTS)).cast("int")
     dealt = written(dealt.withColumn("part", part).repartition(PARTS, "part"), "ordinal-features")
     dealt = dealt.repartition(PARTS, "part").sortWithinPartitions("part", "doc_id", "grade", F.xxhash64("at"))
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, total = np.zeros((GRADES, BUCKETS), np.int32), np.zeros(GRADES, np.int64)
-        for batch in batches:
-            for grade, at in zip(batch.column("grade").to_pylist(), batch.column("at")):
-                found[grade, at.values.to_numpy()] += 1
-                total[grade] += 1
-        yield pa.RecordBatch.from_pylist([{"found": found.tobytes(), "total": total.tobytes()}])
-
-    # PARTS rows of fixed size each, here and in each round
-    got = dealt.mapInArrow(count, "found binary, total binary").collect()
-    found = sum(np.frombuffer(r.found, np.int32).reshape(GRADES, BUCKETS) for r in got)
-    scale = scales(found, sum(np.frombuffer(r.total, np.int64) for r in got))
-    weights, cuts = np.zeros(BUCKETS, np.float32), np.linspace(-2.0, 2.0, GRADES - 1)
+
+    # one row per grade, and one per bucket that enough rated documents are in
+    total = {r["grade"]: r["count"] for r in dealt.groupBy("grade").count().collect()}
+    totals = np.array([total.get(g, 0) for g in range(GRADES)], np.int64)
+    found = dealt.select("grade", F.explode("at").alias("bucket")).groupBy("bucket")
+    found = found.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("grade") == g).alias(f"n{g}") for g in range(GRADES)])
+    found = found.where(F.col("n") >= max(MIN_DOCS, MIN_SHARE * float(totals.sum()))).orderBy("bucket").toArrow()
+    scale = scales(np.array([found.column(f"n{g}").to_numpy() for g in range(GRADES)]), totals)
+    # only buckets that say something about the grade take part
+    active, scale = found.column("bucket").to_numpy()[scale > 0], scale[scale > 0]
+    weights, cuts = np.zeros(len(active), np.float32), np.linspace(-2.0, 2.0, GRADES - 1)
     for turn in range(ROUNDS):
-        held = spark.sparkContext.broadcast((weights, scale, cuts))
+        held = spark.sparkContext.broadcast((active, weights, scale, cuts))
 
         def train(batches: Iterator[pa.RecordBatch], held=held, turn=turn) -> Iterator[pa.RecordBatch]:
-            w, scale, c = held.value
+            active, w, scale, c = held.value
             w, c, docs = w.copy(), c.copy(), []
             for batch in batches:
                 for grade, at in zip(batch.column("grade").to_pylist(), batch.column("at")):
                     at = at.values.to_numpy()
-                    docs.append((grade, at[scale[at] > 0], len(at)))
+                    docs.append((grade, np.searchsorted(active, at[np.isin(at, active, assume_unique=True)]), len(at)))
             if docs:
                 passes(w, scale, c, docs, PASSES, turn)
                 yield pa.RecordBatch.from_pylist([{"n": len(docs), "w": w.tobytes(), "c": c.tobytes()}])
 
+        # PARTS rows, of at most BUCKETS weights each
         got = sorted(dealt.mapInArrow(train, "n long, w binary, c binary").collect())
-        total = sum(r.n for r in got)
-        weights = sum(np.frombuffer(r.w, np.float32) * np.float32(r.n / total) for r in got)
-        cuts = sum(np.frombuffer(r.c) * (r.n / total) for r in got)
-        held.unpersist()
-    return Model((weights * scale).astype(np.float32), cuts)
+        seen = sum(r.n for r in got)
+        weights = sum(np.frombuffer(r.w, np.float32) * np.float32(r.n / seen) for r in got)
+        cuts = sum(np.frombuffer(r.c) * (r.n / seen) for r in got)
+        held.destroy()
+    whole = np.zeros(BUCKETS, np.float32)
+    whole[active] = weights * scale
+    return Model(whole, cuts)
 
 
 SCORE = "doc_id long, expected_grade double, p_tail double, kept boolean"
