@@ -133,13 +133,15 @@ def _read(docs: DataFrame, n: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("token", pa.int64()), ("times", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total, seen = [], 0, set()
+        held, total, seen = np.empty(CHUNK, np.uint64), 0, set()
 
         def count() -> pa.RecordBatch:
-            token, times = np.unique(np.concatenate(held), return_counts=True)
-            token, times = token[times > 1].view(np.int64), times[times > 1]
+            """Tokens that occur again, sorted and compared in place."""
+            held[:total].sort()
+            again = held[1:total][held[1:total] == held[: max(0, total - 1)]]
+            token, times = np.unique(again, return_counts=True)
             none = pa.nulls(len(token), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(token), pa.array(times, pa.int64())], schema=schema)
+            return pa.RecordBatch.from_arrays([none, none, none, pa.array(token.view(np.int64)), pa.array(times + 1, pa.int64())], schema=schema)
 
         for batch in batches:
             for first in range(0, batch.num_rows, 1024):
@@ -150,15 +152,15 @@ def _read(docs: DataFrame, n: int) -> DataFrame:
                     nodes.append(node)
                     sizes.append(len(h))
                     if node is not None and node not in seen:
+                        if total + len(h) > len(held):
+                            yield count()
+                            held, total, seen = held if len(h) <= len(held) else np.empty(len(h), np.uint64), 0, set()
                         seen.add(node)
-                        held.append(h)
+                        held[total : total + len(h)] = h
                         total += len(h)
                 none = pa.nulls(len(nodes), pa.int64())
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), none, none], schema=schema)
-                if total >= CHUNK:
-                    yield count()
-                    held, total, seen = [], 0, set()
-        if held:
+        if total:
             yield count()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, size long, token long, times long")
