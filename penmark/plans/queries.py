@@ -74,12 +74,9 @@ _model_lock = threading.Lock()
 
 def _cache_key(spark: SparkSession, sf: str) -> tuple:
     """Per application (not per Python object id, which can be reused after
-    a session stops) and per input folder."""
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001
-        app = id(spark)
-    return (app, os.path.abspath(sf))
+    a session stops), input folder and version of the table in it: a changed
+    table is computed anew."""
+    return (spark.sparkContext.applicationId, sf, corpus_src.fingerprint(spark, os.path.join(sf, "documents.parquet")))
 
 
 def _lloyd_model(spark, sf):
@@ -409,15 +406,21 @@ def _landed(spark, sf) -> tuple[str, str]:
     return dev, proj
 
 
+def _feeds(spark, dev: str, proj: str) -> list[tuple[str, DataFrame, str]]:
+    """Both landed feeds; an incomplete one is refused."""
+    feeds = (("devlogs", dev), ("projects", proj))
+    for kind, path in feeds:
+        paged_json.require_complete(spark, path, kind)
+    return [(kind, paged_json.read_pages(spark, path, kind), "text") for kind, path in feeds]
+
+
 def q_paged_json(spark, sf):
     """Landed pages → typed rows → union of both feeds, kept as a cache-aside
     corpus table (built and written once, then read)."""
     dev, proj = _landed(spark, sf)
 
     def build():
-        d = paged_json.read_pages(spark, dev, "devlogs")
-        p = paged_json.read_pages(spark, proj, "projects")
-        return corpus_src.corpus_union([("devlogs", d, "text"), ("projects", p, "text")])
+        return corpus_src.corpus_union(_feeds(spark, dev, proj))
 
     path = os.path.join(os.path.dirname(dev), "corpus")
     u = corpus_src.corpus_or_build(spark, path, build)
@@ -430,9 +433,7 @@ def q_train_from_feeds(spark, sf):
     dev, proj = _landed(spark, sf)
 
     def build():
-        d = paged_json.read_pages(spark, dev, "devlogs")
-        p = paged_json.read_pages(spark, proj, "projects")
-        return corpus_src.corpus_union([("devlogs", d, "text"), ("projects", p, "text")]).select(
+        return corpus_src.corpus_union(_feeds(spark, dev, proj)).select(
             F.xxhash64("kind", "text").alias("row_key"), "kind", "text")
 
     corpus = corpus_src.corpus_or_build(spark, os.path.join(os.path.dirname(dev), "corpus_keyed"), build)

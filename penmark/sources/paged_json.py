@@ -54,12 +54,25 @@ def read_envelopes(spark: SparkSession, path: str, kind: str = "devlogs", strict
     )
 
 
+def _enveloped() -> Column:
+    return F.col("items").isNotNull() & F.col("pages").isNotNull() & F.col("count").isNotNull()
+
+
+def _decoded(kind: str) -> Column:
+    """The page decodes as strict mode asks: list, pagination, no null text."""
+    return _enveloped() & ~F.exists("items", lambda x: x[FEEDS[kind]].isNull())
+
+
 def read_pages(spark: SparkSession, path: str, kind: str = "devlogs", strict: bool = True) -> DataFrame:
     """Flatten landed pages to rows (kind, page, pos, text). An empty page
-    yields no rows; with ``strict`` a null text raises."""
+    yields no rows; with ``strict`` a page without its list or pagination
+    raises, and so does a null text."""
     field = FEEDS[kind]
     env = read_envelopes(spark, path, kind, strict)
-    rows = env.select("page", F.posexplode("items").alias("pos", "item"))
+    items = F.col("items")
+    if strict:
+        items = F.when(_enveloped(), items).otherwise(F.raise_error(F.concat(F.lit(f"{kind}: page without list or pagination: "), "file")))
+    rows = env.select("page", F.posexplode(items).alias("pos", "item"))
     text = F.col("item").getField(field)
     if strict:
         text = F.coalesce(text, F.raise_error(F.lit(f"{kind}: item without {field}")))
@@ -67,19 +80,23 @@ def read_pages(spark: SparkSession, path: str, kind: str = "devlogs", strict: bo
 
 
 def page_audit(spark: SparkSession, path: str, kind: str = "devlogs") -> DataFrame:
-    """One row: pages announced, pages found, items, and whether 1..pages
-    are all present (the reference aborts on any missing page)."""
-    env = read_envelopes(spark, path, kind, strict=False)
+    """One row: pages announced, pages found, items, files that don't decode
+    (``n_corrupt``), and whether 1..pages are all present and decode. Only
+    decoded pages count as found; a corrupt one makes the feed incomplete."""
+    env = read_envelopes(spark, path, kind, strict=False).withColumn("ok", F.coalesce(_decoded(kind), F.lit(False)))
+    found = F.when(F.col("ok"), F.col("page"))
     agg = env.agg(
-        F.count_distinct("page").alias("pages_found"),
+        F.count_distinct(found).alias("pages_found"),
         F.max("pages").alias("pages_expected"),
         F.max("count").alias("count_hint"),
-        F.sum(F.coalesce(F.size("items"), F.lit(0))).alias("items"),
-        F.min("page").alias("min_page"),
-        F.max("page").alias("max_page"),
+        F.sum(F.when(F.col("items").isNull(), 0).otherwise(F.size("items"))).alias("items"),
+        F.min(found).alias("min_page"),
+        F.max(found).alias("max_page"),
+        F.count_if(~F.col("ok")).alias("n_corrupt"),
     )
     complete = (
-        (F.col("pages_found") == F.col("pages_expected"))
+        (F.col("n_corrupt") == 0)
+        & (F.col("pages_found") == F.col("pages_expected"))
         & (F.col("min_page") == 1)
         & (F.col("max_page") == F.col("pages_expected"))
     )
@@ -87,16 +104,26 @@ def page_audit(spark: SparkSession, path: str, kind: str = "devlogs") -> DataFra
 
 
 def missing_pages(spark: SparkSession, path: str, kind: str = "devlogs") -> DataFrame:
-    """Page numbers in 1..pages that have no landed file: a distributed
-    range anti-joined with the pages found (only the single number
-    ``pages`` reaches the driver)."""
+    """Page numbers in 1..pages that have no landed file that decodes: a
+    distributed range anti-joined with the pages found (only the single
+    number ``pages`` reaches the driver)."""
     env = read_envelopes(spark, path, kind, strict=False)
     n = env.agg(F.max("pages")).collect()[0][0] or 0
     spine = spark.range(1, int(n) + 1).select(F.col("id").cast("int").alias("page"))
-    found = env.select("page").distinct()
+    found = env.where(_decoded(kind)).select("page").distinct()
     return spine.join(found, "page", "left_anti")
 
 
+def require_complete(spark: SparkSession, path: str, kind: str = "devlogs") -> None:
+    """Raise unless every announced page is landed and decodes: a model is
+    never trained on part of a feed."""
+    audit = page_audit(spark, path, kind).first()
+    if not audit["complete"]:
+        raise ValueError(
+            f"{kind} feed incomplete: {audit['pages_found']} of {audit['pages_expected']} pages decoded, {audit['n_corrupt']} corrupt"
+        )
+
+
 def write_pages(df: DataFrame, path: str, kind: str = "devlogs", text: str = "text",
                 page_size: int = 100, mode: str = "errorifexists") -> None:
     """Land a table as feed pages (one JSON document per page folder).
@@ -118,4 +145,5 @@ def write_pages(df: DataFrame, path: str, kind: str = "devlogs", text: str = "te
         "page", kind,
         F.struct(F.lit(n_pages).alias("pages"), F.lit(total).alias("count")).alias("pagination"),
     )
-    out.repartition(n_pages, "page").write.mode(mode).partitionBy("page").json(path)
+    # the grouping has dealt the pages by hash: each task writes its pages one after the other
+    out.write.mode(mode).partitionBy("page").json(path)

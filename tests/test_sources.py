@@ -88,3 +88,21 @@ def test_cache_aside(spark, tmpdir_fresh):
     assert corpus.corpus_or_build(spark, p, build).count() == 1
     assert corpus.corpus_or_build(spark, p, build).count() == 1
     assert len(calls) == 1
+
+
+@pytest.mark.parametrize("body", ['{"pagination": {"pages": 2, "count": 1}}', '{"devlogs": [{"text": "b"}]}', '{"devlogs": [{"text": "b"}',
+                                  '{"devlogs": [{"text": null}], "pagination": {"pages": 2, "count": 1}}'])
+def test_page_that_does_not_decode(spark, tmpdir_fresh, body):
+    """No list, no pagination, cut off, a null text: each raises in strict
+    mode, makes the audit incomplete and stops a training job."""
+    d = os.path.join(tmpdir_fresh, "dev")
+    _land(d, "devlogs", {1: ["a"]}, total_pages=2)
+    with open(os.path.join(d, "devlogs_page_2.json"), "w") as f:
+        f.write(body)
+    with pytest.raises(Exception):
+        paged_json.read_pages(spark, d, "devlogs").collect()
+    audit = paged_json.page_audit(spark, d, "devlogs").first()
+    assert (audit.complete, audit.n_corrupt, audit.pages_found) == (False, 1, 1)
+    assert [r.page for r in paged_json.missing_pages(spark, d, "devlogs").collect()] == [2]
+    with pytest.raises(ValueError):
+        paged_json.require_complete(spark, d, "devlogs")
