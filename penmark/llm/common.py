@@ -53,16 +53,21 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return out.withColumn("rank", rank).drop("_part", "_first", "_at")
 
 
+ARROW_ROWS = 1024
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers (once per application), so
-    that they can import it wherever the driver was started."""
+    that they can import it wherever the driver was started. Whole texts go
+    to them in batches of ``ARROW_ROWS`` rows, unless the session names
+    another number than Spark's default; results don't depend on it."""
     import tempfile
     import zipfile
     from pathlib import Path
 
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
