@@ -20,7 +20,6 @@ from . import spec as S
 from .charclass import DASH, HYPHEN_IN_GRAPHEME, QUOTE, WS, WS_CHARS, WSN
 from .normalize import SENTENCE_SEGMENT
 from .phrases import family_pattern, family_pattern_fast, reduce_family, trie_regex, validate_negative
-from ..session import balance
 
 METRICS = lexicon.METRIC_ORDER
 
@@ -176,20 +175,20 @@ def helper_columns() -> list[str]:
 
 
 def with_text_metrics(df: DataFrame, text: str = "text", keep_sentence_count: bool = True,
-                      rebalance: bool = True, lexicons: dict[str, list[str]] | None = None,
+                      rebalance: int = 0, lexicons: dict[str, list[str]] | None = None,
                       metrics: list[str] | None = None) -> DataFrame:
     """``df`` plus the fifteen metric columns (``double``) in record order.
 
-    A null text gives null metrics (the sentence count alone is 1). With
-    ``rebalance`` a scan with fewer splits than cores is spread first (see
-    :func:`penmark.session.balance`); pass False when ``df`` is the output
-    of a shuffle, where counting its partitions would run that stage.
+    A null text gives null metrics (the sentence count alone is 1). The rows
+    are measured where they are read; only with ``rebalance`` are they first
+    spread round-robin over that many partitions (for a scan of one big row
+    group, which is read by one task: this shuffles the text).
     ``lexicons`` maps phrase-family names (``buzzword``, ``negative``,
     ``fancy``, ``not_just``, ``devlog``, ``ellipsis``, ``perspective``,
     ``backstory``) to replacement phrase lists. ``metrics`` limits the
     output to some of the fifteen (the passes they do not need are pruned)."""
     emoji_mod.emoji_table(df.sparkSession)
-    src = balance(df) if rebalance else df
+    src = df.repartition(rebalance) if rebalance else df
     steps = metric_steps(text, lexicons=lexicons)
     out = S.apply_steps(src, steps)
     wanted = list(metrics) if metrics is not None else METRICS

@@ -51,11 +51,12 @@ def ai_cluster_of(stats_rows: list) -> int:
 
 def cluster_counts(labelled: DataFrame, ai_cluster: int | Column, k: int = 2,
                    cluster: str = "cluster") -> DataFrame:
-    """One row: ai, human, total and both percentages (2 decimals)."""
+    """One row: ai, human, total and both percentages (2 decimals). Rows
+    without a cluster are neither, and not in the total."""
     is_ai = F.col(cluster) == (ai_cluster if isinstance(ai_cluster, Column) else F.lit(ai_cluster))
     row = labelled.agg(
         F.sum(F.when(is_ai, 1).otherwise(0)).cast("long").alias("ai"),
-        F.sum(F.when(is_ai, 0).otherwise(1)).cast("long").alias("human"),
+        F.sum(F.when(~is_ai, 1).otherwise(0)).cast("long").alias("human"),
     )
     total = F.col("ai") + F.col("human")
     return row.select(
@@ -68,12 +69,13 @@ def cluster_counts(labelled: DataFrame, ai_cluster: int | Column, k: int = 2,
 def report_by(labelled: DataFrame, cols: list[str], ai_cluster: int, cluster: str = "cluster",
               rollup: bool = False) -> DataFrame:
     """The same shares per group (for example per language or source);
-    with ``rollup`` a grand-total row (group columns null) is added."""
+    with ``rollup`` a grand-total row (group columns null) is added. Rows
+    without a cluster are neither, and not in the total."""
     is_ai = F.col(cluster) == F.lit(ai_cluster)
     grouped = labelled.rollup(*cols) if rollup else labelled.groupBy(*cols)
     out = grouped.agg(
         F.sum(F.when(is_ai, 1).otherwise(0)).cast("long").alias("ai"),
-        F.sum(F.when(is_ai, 0).otherwise(1)).cast("long").alias("human"),
+        F.sum(F.when(~is_ai, 1).otherwise(0)).cast("long").alias("human"),
     )
     total = F.col("ai") + F.col("human")
     return out.select(

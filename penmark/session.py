@@ -62,37 +62,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-SMALL_INPUT_BYTES_PER_CORE = 64 * 1024 * 1024
-
-
-def balance(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Spread a scan over ``factor × cores`` partitions (round-robin) before
-    CPU-heavy per-row work when it would leave cores idle.
-
-    Byte-range splits can be empty: a file with one big row group yields as
-    many splits as cores, but only one of them holds rows. So a scan is
-    left alone only when it has at least ``factor × cores`` partitions, or
-    at least one per core *and* an input too large for a cheap shuffle
-    (more than 64 MB per core by Catalyst's size estimate). A scan of a
-    large table has far more splits than cores and is returned unchanged:
-    no shuffle at scale. Meant for scans: on a DataFrame that already
-    shuffles, counting partitions runs the earlier stages."""
-    if df.isStreaming:
-        return df
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-        if parts >= cores * factor:
-            return df
-        if parts >= cores:
-            size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-            if size > cores * SMALL_INPUT_BYTES_PER_CORE:
-                return df
-    except Exception:  # noqa: BLE001 - partitions not inspectable: leave the plan as is
-        return df
-    return df.repartition(cores * factor)
-
-
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Cut lineage reliably: write the rows once as a Parquet table in the
     shared checkpoint folder and read it back (one computation; a lost

@@ -136,8 +136,8 @@ def test_metrics_do_not_depend_on_partitioning(spark):
     from penmark.plans.marked import marked_documents
 
     docs = marked_documents(spark, "/root/testdata/sf0.001")
-    one = with_text_metrics(docs.coalesce(1), rebalance=False)
-    many = with_text_metrics(docs.repartition(8, "doc_id"), rebalance=False)
+    one = with_text_metrics(docs.coalesce(1))
+    many = with_text_metrics(docs.repartition(8, "doc_id"))
     assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
 
 

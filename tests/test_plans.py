@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from penmark.functions.metrics import with_text_metrics
-from penmark.operators import kmeans, report
+from penmark.operators import kmeans, report, scoring
 from penmark.plans import pipeline
-from penmark.session import balance
 from penmark.sources.corpus import table
+from penmark.sources.model_io import Model
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,16 +72,22 @@ def test_cluster_samples_never_shuffle_text(spark):
             assert "cluster" in line
 
 
-def test_balance_only_spreads_narrow_scans(spark):
-    one = _docs(spark)
-    assert one.rdd.getNumPartitions() == 1
-    assert balance(one).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
-    cores = spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 1000, numPartitions=4 * cores).select(F.col("id").alias("doc_id"))
-    assert balance(wide) is wide
-    # one split per core but a tiny input: splits may be empty, spread anyway
-    mid = spark.range(0, 1000, numPartitions=cores).select(F.col("id").alias("doc_id"))
-    assert balance(mid).rdd.getNumPartitions() == 2 * cores
+def test_no_exchange_between_scan_and_metrics(spark):
+    docs = _docs(spark).select("doc_id", "text")
+    assert "Exchange" not in _executed(with_text_metrics(docs))
+    assert "Exchange" not in _executed(scoring.score(docs, Model([[0.0] * 15, [1.0] * 15], 1), keep=["doc_id"]))
+    assert with_text_metrics(docs, rebalance=6).rdd.getNumPartitions() == 6
+
+
+def test_defining_a_score_runs_no_job(spark):
+    docs = _docs(spark).select("doc_id", "text")
+    both = docs.join(docs.select("doc_id").distinct(), "doc_id")
+    spark.sparkContext.setJobGroup("defining", "")
+    try:
+        scoring.score(both, Model([[0.0] * 15, [1.0] * 15], 1), keep=["doc_id"])
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("defining")
+    finally:
+        spark.sparkContext.setJobGroup("", "")
 
 
 def test_filters_on_metrics_stay_above_the_projection(spark):

@@ -49,7 +49,7 @@ def main() -> None:
     loop = kmeans._Loop(points, 2)
     step = spark.sql(loop.step_sql.format(centres=loop.centres_sql({r: centres for r in range(10)})))
     sections = [
-        ("Metric projection over documents (reads 2 columns; rebalanced only because the file is one row group)",
+        ("Metric projection over documents (reads 2 columns, no shuffle)",
          with_text_metrics(docs, "text").select("doc_id", "emoji_rate", "irregular_markdown")),
         ("Compaction of the feature table (partial aggregate before the shuffle)", points),
         ("One Lloyd round, 10 runs (constant centres unnested per point, no join; partial aggregate on run × cluster)", step),
@@ -58,7 +58,7 @@ def main() -> None:
         ("Cluster statistics over a fixed spine (k-row aggregate broadcast)", report.cluster_emoji_stats(lab, 2)),
         ("Cluster samples with summaries (bounded sample broadcast into the texts; no text shuffle)",
          pipeline.cluster_samples(lab, Q._marked(spark, sf), "doc_id", "text", 5, 42)),
-        ("Scoring texts (a projection: no shuffle beyond the single-row-group rebalance)",
+        ("Scoring texts (a projection: no shuffle)",
          scoring.score(docs, Model(centres, ai), keep=["doc_id"])),
     ]
     loop.close()
