@@ -3,16 +3,21 @@
 Vectors of one label are compared by cosine, in double precision. Rows with
 the same label and vector form one node. The neighbour graph starts from
 random orders: nodes sorted by the signs of random projections, each compared
-with the few before it. A round then joins the lists of neighbours and of those
-that have the node in their list: neighbours of a neighbour are compared, and
-every node keeps its best. A list that is full of links (saturated) is
-enlarged, twice as long each time, up to ``LONGEST``. Rounds end when few lists
-change. Links (cosine of at least the threshold) found at any time are kept.
-
-Audit: a hash sample of at most about ``AUDIT`` nodes is compared with all
-nodes. Links that it finds and the graph lacks are added, and while some are
-lacking the descent is run again from new random orders (up to ``TRIES``). The
-recall is reported by ``audit``.
+with the few before it; the number of orders grows with the largest label as
+the chance of a linked pair to share a prefix falls. A round then joins the
+lists of neighbours and of those that have the node in their list: neighbours
+of a neighbour are compared, if the two did not meet there the round before,
+and every node keeps its best, whatever their cosine, so the descent can walk
+to links from afar. A list that is full of links (saturated) is enlarged, twice
+as long each time, up to ``LONGEST``. Rounds end when few lists change. Links
+(cosine of at least the threshold) found at any time are kept.
+
+Audit: hash samples of nodes are compared with all nodes, and the sample grows
+until ``LINKED`` of its nodes have a link, or it holds all nodes. The recall is
+the share of its links that lie within a component of the graph. Links lacking
+are added. While the recall is below ``RECALL`` the descent is run again from
+new random orders and audited on a fresh sample; after ``TRIES`` all nodes are
+compared with all of their label. ``linked_components`` returns the recalls.
 
 Counts: a link lies within one component, so each component's members are
 compared in blocks of ``BLOCK``, by matrix products that yield counts, never
@@ -29,6 +34,8 @@ other columns are not read.
 
 from __future__ import annotations
 
+import logging
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,27 +50,31 @@ THRESHOLD = 0.93
 ORDERS = 8
 BITS = 62
 BEFORE = 4
-FOLLOW = 0.5  # neighbours below are not followed
+FEW = 1000  # nodes of a label that ORDERS is meant for
 LIST = 8
 LONGEST = 32
-ROUNDS = 5
 CHANGED = 0.01
-AUDIT = 1000
+AUDIT = 1000  # nodes of an audit's first sample
+LARGEST = 16_000  # nodes of a sample that is held at once
+LINKED = 500
+RECALL = 0.999
 TRIES = 3
 BLOCK = 1024
 
 
 def _units(column: pa.Array, dim: int | None = None) -> np.ndarray:
-    """Binary float64 vectors as unit rows."""
-    rows = [np.frombuffer(x.as_buffer(), np.float64) for x in column]
-    x = np.array(rows) if rows else np.zeros((0, dim or 1))
+    """Binary vectors as unit rows, in double precision."""
+    rows = [np.frombuffer(b, np.float32, len(b) // 4) if len(b) % 4 else np.frombuffer(b, np.float64) for b in (x.as_buffer() for x in column)]
+    x = np.array(rows, np.float64) if rows else np.zeros((0, dim or 1))
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _nodes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows: vec_id, node or null; nodes: node, place, vec, copies). The
-    vector is binary float64; ``place`` names the label and length."""
+    vector is binary float64, or float32 and one byte more if the input holds
+    floats; ``place`` names the label and length."""
     ship(vectors.sparkSession)
+    short = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
     e = F.col("embedding").cast("array<double>")
     good = F.col("label").isNotNull() & e.isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
     rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), e.alias("e"), F.coalesce(good, F.lit(False)).alias("good"))
@@ -74,7 +85,7 @@ def _nodes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vec = pa.array([np.array(x, np.float64).tobytes() for x in batch.column("e").to_pylist()], pa.binary())
+            vec = pa.array([np.array(x, np.float32).tobytes() + b"f" if short else np.array(x, np.float64).tobytes() for x in batch.column("e").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("node", "place", "least", "copies")] + [vec], names=["node", "place", "least", "copies", "vec"])
 
     place = F.xxhash64("label", F.size("e"))
@@ -83,7 +94,15 @@ def _nodes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("vec_id", F.when(F.col("key").isNotNull(), F.xxhash64("key")).alias("node")), nodes
 
 
-def _first_lists(nodes: DataFrame, seed: int) -> DataFrame:
+def _orders(nodes: DataFrame, threshold: float) -> int:
+    """A linked pair shares the log2(n) bits that tell n nodes apart with a
+    chance of n to the power of log2(1 - angle / pi); orders make up for it."""
+    most = nodes.groupBy("place").count().agg(F.max("count")).first()[0] or 0
+    power = -math.log2(1 - math.acos(max(-0.9, min(1.0, threshold))) / math.pi)
+    return math.ceil(ORDERS * max(1.0, most / FEW) ** power)
+
+
+def _first_lists(nodes: DataFrame, seed: int, orders: int) -> DataFrame:
     """Pairs (a, b, cos) of nodes near each other in a random order."""
 
     def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +113,7 @@ def _first_lists(nodes: DataFrame, seed: int) -> DataFrame:
                 for size in {len(x.as_buffer()) for x in vecs}:
                     own = some.filter(pa.array([len(x.as_buffer()) == size for x in vecs]))
                     x = _units(own.column("vec"))
-                    for order in range(ORDERS):
+                    for order in range(orders):
                         planes = np.random.default_rng([seed, order, size]).standard_normal((x.shape[1], BITS))
                         key = ((x @ planes) > 0) @ (np.int64(1) << np.arange(BITS, dtype=np.int64))
                         yield pa.RecordBatch.from_arrays(
@@ -111,18 +130,14 @@ def _first_lists(nodes: DataFrame, seed: int) -> DataFrame:
                     some = pa.Table.from_batches([held, some]).combine_chunks().to_batches()[0]
                 held = some.slice(max(0, some.num_rows - BEFORE))
                 order, place, node = (some.column(c).to_numpy() for c in ("ord", "place", "node"))
-                vecs = [np.frombuffer(x.as_buffer(), np.float64) for x in some.column("vec")]
-                vecs = [x / np.linalg.norm(x) for x in vecs]
-                out = []
-                for back in range(1, BEFORE + 1):
-                    at = np.flatnonzero((order[back:] == order[:-back]) & (place[back:] == place[:-back])) if len(order) > back else []
-                    for i in at:
-                        c = float(vecs[i] @ vecs[i + back])
-                        if c >= FOLLOW:
-                            out.append((int(node[i]), int(node[i + back]), c))
-                if out:
-                    a, b, c = zip(*out)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c)], names=["a", "b", "cos"])
+                size = np.array([len(x.as_buffer()) for x in some.column("vec")])
+                for one in np.unique(size):
+                    own = np.flatnonzero(size == one)
+                    units, row = _units(some.column("vec").take(pa.array(own))), np.cumsum(size == one) - 1
+                    for back in range(1, BEFORE + 1):
+                        at = np.flatnonzero((order[back:] == order[:-back]) & (place[back:] == place[:-back]) & (size[back:] == one)) if len(order) > back else np.zeros(0, int)
+                        cos = np.einsum("ij,ij->i", units[row[at]], units[row[at + back]])
+                        yield pa.RecordBatch.from_arrays([pa.array(node[at], pa.int64()), pa.array(node[at + back], pa.int64()), pa.array(cos)], names=["a", "b", "cos"])
 
     rows = nodes.select("node", "place", "vec").mapInArrow(signs, "ord int, place long, key long, node long, vec binary")
     rows = rows.repartitionByRange("ord", "place", "key", "node").sortWithinPartitions("ord", "place", "key", "node")
@@ -148,29 +163,44 @@ def _both(pairs: DataFrame) -> DataFrame:
 
 def _descend(nodes: DataFrame, seed: int, threshold: float) -> DataFrame:
     """All links found: a, b with a < b."""
-    pairs = written(_both(_first_lists(nodes, seed).where("a <> b")).distinct(), "nn-pairs")
+    pairs = _first_lists(nodes, seed, _orders(nodes, threshold)).where("a <> b")
+    pairs = written(_both(pairs).groupBy("a", "b").agg(F.max("cos").alias("cos")), "nn-pairs")
     links = [pairs.where((F.col("cos") >= threshold) & (F.col("a") < F.col("b"))).select("a", "b")]
     lists = written(_best(pairs, None), "nn-lists")
-    for _ in range(ROUNDS):
+    met_before = None
+    while True:  # lists only get better or longer, up to LONGEST
         # a list full of links is saturated
         full = lists.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("cos").alias("worst"), F.max("limit").alias("limit"))
-        limit = F.when((F.col("n") >= F.col("limit")) & (F.col("worst") >= threshold), F.least(2 * F.col("limit"), F.lit(LONGEST))).otherwise(F.col("limit"))
-        limits = full.select("node", limit.cast("int").alias("limit"))
+        saturated = (F.col("n") >= F.col("limit")) & (F.col("worst") >= threshold) & (F.col("limit") < LONGEST)
+        full = full.select("node", "n", "worst", "limit", F.when(saturated, F.least(2 * F.col("limit"), F.lit(LONGEST))).otherwise(F.col("limit")).cast("int").alias("next"))
+        limits = full.select("node", F.col("next").alias("limit"))
+        # a pair that betters neither list need not be told
+        worst = full.select(F.col("node").alias("w_node"), F.when(F.col("n") >= F.col("next"), F.col("worst")).otherwise(-2.0).alias("worst"))
         # both directions; the reverse list is cut to as many
         back = lists.select(F.col("near").alias("node"), F.col("node").alias("near"), "cos")
         order = Window.partitionBy("node").orderBy(F.col("cos").desc(), "near")
         back = back.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= LIST).drop("nth")
-        around = lists.select("node", "near", "cos").unionByName(back).select("node", "near").distinct()
+        around = written(lists.select("node", "near").unionByName(back.select("node", "near")).distinct(), "nn-around")
+        if met_before is None:
+            flagged = around.withColumn("old", F.lit(False))
+        else:
+            flagged = around.join(met_before.withColumn("was", F.lit(True)), ["node", "near"], "left").select("node", "near", F.coalesce("was", F.lit(False)).alias("old"))
+            fresh = around.join(met_before, ["node", "near"], "left_anti").select("node").distinct()
+            flagged = flagged.join(fresh, "node", "left_semi")
+        met_before = around
         vecs = nodes.select(F.col("node").alias("v_node"), "vec")
-        around = around.join(vecs, F.col("near") == F.col("v_node")).groupBy("node").agg(F.collect_list(F.struct("near", "vec")).alias("all"))
+        asked = flagged.join(worst, F.col("near") == F.col("w_node"), "left").join(vecs, F.col("near") == F.col("v_node"))
+        asked = asked.groupBy("node").agg(F.collect_list(F.struct("near", "old", F.coalesce("worst", F.lit(-2.0)).alias("worst"), "vec")).alias("all"))
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = []
                 for row in batch.column("all"):
                     near, vec = row.values.field("near").to_numpy(), _units(row.values.field("vec"))
-                    cos = np.triu(vec @ vec.T, 1)
-                    i, j = np.nonzero(cos >= FOLLOW)
+                    old, least = row.values.field("old").to_numpy(zero_copy_only=False), row.values.field("worst").to_numpy()
+                    cos = vec @ vec.T
+                    told = (cos >= threshold) | (cos > np.minimum(least[:, None], least[None, :]))
+                    i, j = np.nonzero(np.triu(told & ~(old[:, None] & old[None, :]), 1))
                     found.append((near[i], near[j], cos[i, j]))
                 if found:
                     a, b, c = (np.concatenate(x) for x in zip(*found))
@@ -178,7 +208,7 @@ def _descend(nodes: DataFrame, seed: int, threshold: float) -> DataFrame:
                     keep = np.unique(np.stack([low, high], 1), axis=0, return_index=True)[1]
                     yield pa.RecordBatch.from_arrays([pa.array(low[keep]), pa.array(high[keep]), pa.array(c[keep])], names=["a", "b", "cos"])
 
-        met = written(around.select("all").mapInArrow(meet, "a long, b long, cos double").groupBy("a", "b").agg(F.max("cos").alias("cos")), "nn-pairs")
+        met = written(asked.select("all").mapInArrow(meet, "a long, b long, cos double").groupBy("a", "b").agg(F.max("cos").alias("cos")), "nn-pairs")
         links.append(met.where(F.col("cos") >= threshold).select("a", "b"))
         known = lists.select(F.col("node").alias("a"), F.col("near").alias("b"), "cos")
         pool = known.unionByName(_both(met)).groupBy("a", "b").agg(F.max("cos").alias("cos"))
@@ -192,23 +222,27 @@ def _descend(nodes: DataFrame, seed: int, threshold: float) -> DataFrame:
     return written(out.distinct(), "nn-links")
 
 
-def audit(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The true links (a, b) of a bounded hash sample of nodes, by comparing
-    the sample with all nodes."""
-    total = nodes.count()
-    share = min(1.0, AUDIT / max(1, total))
-    chosen = nodes.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20))).select("node", "place", "vec")
-    rows = sorted((r.place, len(r.vec), r.node, bytes(r.vec)) for r in chosen.collect())  # about AUDIT rows
+SPREAD = 1 << 40
+
+
+def _true_links(nodes: DataFrame, threshold: float, seed: int, first: int, after: int) -> DataFrame:
+    """The true links (a, b, asked: the one of the sample) of the nodes whose
+    hash lies in [first, after) of ``SPREAD``, by comparing them with all."""
+    at = F.pmod(F.xxhash64("node", F.lit(seed + 3)), F.lit(SPREAD))
+    chosen = nodes.where((at >= first) & (at < after)).select("node", "place", "vec")
+    rows = sorted((r.place, len(r.vec), r.node, bytes(r.vec)) for r in chosen.collect())  # about LARGEST rows at most
     asked: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-    for place, size in {r[:2] for r in rows}:
-        own = [r for r in rows if r[:2] == (place, size)]
-        asked[place, size] = np.array([r[2] for r in own]), _units(pa.array([r[3] for r in own], pa.binary()))
+    by_key: dict[tuple[int, int], list[tuple]] = {}
+    for r in rows:
+        by_key.setdefault(r[:2], []).append(r)
+    for key, own in by_key.items():
+        asked[key] = np.array([r[2] for r in own]), _units(pa.array([r[3] for r in own], pa.binary()))
     held = nodes.sparkSession.sparkContext.broadcast(asked)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 2048):
-                some = batch.slice(first, 2048)
+            for start in range(0, batch.num_rows, 2048):
+                some = batch.slice(start, 2048)
                 where = [(p, len(v.as_buffer())) for p, v in zip(some.column("place").to_pylist(), some.column("vec"))]
                 for key in set(where) & held.value.keys():
                     own = some.filter(pa.array([w == key for w in where]))
@@ -216,9 +250,58 @@ def audit(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                     i, j = np.nonzero(_units(own.column("vec")) @ units.T >= threshold)
                     a, b = own.column("node").to_numpy()[i], names[j]
                     keep = a != b
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], names=["a", "b"])
+                    a, b = a[keep], b[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(b)], names=["a", "b", "asked"])
+
+    return written(nodes.select("node", "place", "vec").mapInArrow(compare, "a long, b long, asked long"), "nn-audit")
+
+
+def _audited(nodes: DataFrame, threshold: float, seed: int, wanted: float) -> tuple[DataFrame, int, bool]:
+    """(true links of a sample, its linked nodes, whether it holds all nodes).
+    The sample grows until ``wanted`` of its nodes are linked."""
+    total = max(1, nodes.count())
+    first, size, linked, found = 0, AUDIT, 0, []
+    while first < SPREAD and (not found or linked < wanted):
+        after = min(SPREAD, first + max(1, SPREAD * size // total))
+        found.append(_true_links(nodes, threshold, seed, first, after))
+        linked += found[-1].select("asked").distinct().count()
+        first, size = after, min(2 * size, LARGEST)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.select("a", "b").distinct(), linked, first >= SPREAD
+
 
-    return written(nodes.select("node", "place", "vec").mapInArrow(compare, "a long, b long").distinct(), "nn-audit")
+def audit(nodes: DataFrame, threshold: float = THRESHOLD, seed: int = 0) -> DataFrame:
+    """The true links (a, b) of a hash sample with enough linked nodes, by
+    comparing the sample with all nodes."""
+    return _audited(nodes, threshold, seed, LINKED)[0]
+
+
+def linked_components(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, list[dict]]:
+    """(node, comp of all linked nodes; one report per audit: linked nodes,
+    links and recall of the sample, and whether the links are now all)."""
+    links = _descend(nodes, 0, threshold)
+    reports: list[dict] = []
+    for seed in range(TRIES):
+        comps = components(links)
+        true, linked, whole = _audited(nodes, threshold, seed, LINKED)
+        lacking = true.join(comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left")
+        lacking = lacking.join(comps.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
+        # a link that is not listed but lies within a component is counted later
+        n, lost = lacking.agg(F.count(F.lit(1)), F.count(F.when(F.expr("ca IS NULL OR cb IS NULL OR ca <> cb"), 1))).first()
+        reports.append({"linked": linked, "links": n, "recall": 1 - lost / n if n else 1.0, "exact": whole})
+        logging.getLogger(__name__).info("audit %d: %s", seed, reports[-1])
+        if not lost:
+            return comps, reports
+        links = links.unionByName(true)
+        if whole or reports[-1]["recall"] >= RECALL:
+            return components(links), reports
+        if seed + 1 < TRIES:
+            links = written(links.unionByName(_descend(nodes, seed + 1, threshold)).distinct(), "nn-links")
+    links = links.unionByName(_audited(nodes, threshold, TRIES, math.inf)[0])
+    reports[-1]["exact"] = True
+    return components(links), reports
 
 
 def _counts(nodes: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
@@ -255,18 +338,7 @@ def _counts(nodes: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept."""
     rows, nodes = _nodes(vectors)
-    links = _descend(nodes, 0, threshold)
-    true = audit(nodes, threshold)
-    for seed in range(1, TRIES + 1):
-        comps = components(links)
-        lacking = true.join(comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left")
-        lacking = lacking.join(comps.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
-        # a link that is not listed but lies within a component is counted later
-        if not lacking.where("ca IS NULL OR cb IS NULL OR ca <> cb").limit(1).count():
-            break
-        links = written(links.unionByName(true).unionByName(_descend(nodes, seed, threshold)).distinct(), "nn-links")
-    else:
-        comps = components(links)
+    comps, _ = linked_components(nodes, threshold)
     linked = _counts(nodes, comps, threshold)
     found = nodes.join(comps, "node", "left").join(linked, "node", "left")
     found = found.select("node", "least", F.coalesce("comp", "node").alias("comp"), (F.coalesce("linked", "copies") - 1).alias("n"))

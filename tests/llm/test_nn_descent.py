@@ -76,3 +76,26 @@ def test_recall_before_the_audit(spark):
 
 def test_empty(spark):
     assert nn_descent.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rare_pairs_with_few_orders(spark, same, monkeypatch):
+    rng = np.random.default_rng(21)
+    base = rng.standard_normal((2000, 64))
+    for i in range(0, 80, 2):  # pairs of cosine of about 0.94, and nothing else near
+        base[i + 1] = base[i] + rng.standard_normal(64) * np.linalg.norm(base[i]) / 8 * 0.36
+    rows = [(i, [float(v) for v in np.asarray(x, np.float32)], 0, 1, "v") for i, x in enumerate(base)]
+    expected = brute([r[:3] for r in rows])
+    assert 40 < sum(e["n_links"] for e in expected) <= 80
+    monkeypatch.setattr(nn_descent, "ORDERS", 1)
+    monkeypatch.setattr(nn_descent, "AUDIT", 50)
+    same(nn_descent.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4)), expected)
+
+
+def test_all_are_compared_after_the_last_try(spark, same, monkeypatch):
+    rows = data()
+    df = spark.createDataFrame([(*r, 1, "v") for r in rows], SCHEMA)
+    monkeypatch.setattr(nn_descent, "_descend", lambda nodes, seed, threshold: nodes.selectExpr("node a", "node b").limit(0))
+    monkeypatch.setattr(nn_descent, "AUDIT", 20)
+    monkeypatch.setattr(nn_descent, "LARGEST", 100, raising=False)
+    monkeypatch.setattr(nn_descent, "LINKED", 5, raising=False)
+    same(nn_descent.near_duplicates(df), brute(rows))
