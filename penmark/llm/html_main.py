@@ -6,15 +6,18 @@ text between two block boundaries (block tags, their ends, line breaks) with
 the number of tags met in it, its words, the words inside links, and what
 encloses it. A line inside a part that is never content (navigation, header or
 footer of the page, aside, form, script, style, adverts, notices, comments of
-readers, recognised by tag, role, class or id) has ratio 0.
+readers, recognised by tag, or on containers by role, class or id) has ratio 0.
+A name says nothing after "has", "no" or "with", nor on an element that holds
+most of the page's text; a name that an article's section may have as well
+(related, search, share) counts only where the element's own text-to-tag ratio
+is low.
 
 The ratio of a line is its words outside links over its tags (at least 1).
 Ratios are smoothed along the page with a Gaussian of ``SIGMA`` lines. Lines
 whose smoothed ratio is above the threshold (a share of the page's deviation)
-are content seeds; neighbouring seeds cluster to regions, and the region's
-enclosing element (the article, main part, or the innermost element that holds
-the region with the most words) gives the text: its lines outside the parts
-that are never content. So a short heading or closing sentence of the article
+are content seeds; neighbouring seeds cluster to regions, and the element
+that encloses all regions (the article, else the main part, else the innermost
+element) gives the text: its lines outside the parts that are never content. So a short heading or closing sentence of the article
 stays, and a long sentence in a footer does not enter.
 
 Defined cases: a null or empty page has an empty text; a page without words
@@ -63,6 +66,13 @@ MARKS = frozenset(
     "navigation newsletter notice notices notification pager pagination popup promo promos promoted promotion related reply replies "
     "respond search sharing share sidebar sidebars signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+#: Marks that a section of an article may have too: they need a low ratio.
+UNSURE = frozenset("byline menu menubar related reply replies respond search share sharing social".split())
+LOW = 0.5  # of the page's ratio
+#: Tags that the marks switch off; headings, paragraphs and inline tags never are.
+MARKED = frozenset("center dd details div dl dt fieldset figure hgroup li ol section table tbody td tfoot th thead tr ul".split())
+#: Words after which a name tells of another part.
+ABOUT = frozenset("has have no not with without".split())
 #: Parts that the marks don't switch off: they hold the page, not a part of it.
 WHOLE = frozenset("html body main article".split())
 NAMES = re.compile(r"[A-Za-z]+")
@@ -78,20 +88,36 @@ def _is_off(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool
         return tag not in WHOLE
     if "display:none" in (named.get("style") or "").replace(" ", "").lower():
         return tag not in WHOLE
-    if tag in WHOLE:
-        return False
-    said = " ".join(named.get(k) or "" for k in ("class", "id", "role"))
-    return any(w.lower() in MARKS for w in NAMES.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", said)))
+    return False
+
+
+def _mark(tag: str, attrs: list[tuple[str, str | None]]) -> str | None:
+    """"sure", "unsure" or None: what the names of an element say of it."""
+    if tag not in MARKED:
+        return None
+    named, found = dict(attrs), None
+    for name in " ".join(named.get(k) or "" for k in ("class", "id", "role")).split():
+        for word in NAMES.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name)):
+            if word.lower() in ABOUT:
+                break
+            if word.lower() in UNSURE:
+                found = "unsure"
+            elif word.lower() in MARKS:
+                return "sure"
+    return found
 
 
 class Lines(HTMLParser):
-    """Collects lines: (text, tags, words, linked words, path of open elements, off)."""
+    """Collects lines: (text, tags, words, linked words, path of open elements, off),
+    and for each line the marked elements around it: (number, mark)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int, tuple, bool]] = []
-        self.open: list[tuple[str, int, bool]] = []  # name, number, off
+        self.marked: list[tuple] = []
+        self.open: list[tuple[str, int, bool, bool]] = []  # name, number, off, marked
         self.path: tuple = ()
+        self.marks: tuple = ()
         self.number = 0
         self.off = 0
         self.links = 0
@@ -105,12 +131,15 @@ class Lines(HTMLParser):
             text = SPACE.sub(" ", "".join(self.text)).strip()
             if text:
                 self.lines.append((text, self.tags, text.count(" ") + 1, self.linked, self.path, self.off > 0))
+                self.marked.append(self.marks)
             self.text = []
         self.tags = self.linked = 0
 
-    def _push(self, tag: str, off: bool) -> None:
+    def _push(self, tag: str, off: bool, mark: str | None) -> None:
         self.number += 1
-        self.open.append((tag, self.number, off))
+        self.open.append((tag, self.number, off, mark is not None))
+        if mark:
+            self.marks = (*self.marks, (self.number, mark))
         self.off += off
         self.links += tag == "a"
         self.inside += tag in ("article", "main")
@@ -118,7 +147,9 @@ class Lines(HTMLParser):
             self.path = (*self.path, (tag, self.number))
 
     def _pop(self) -> None:
-        tag, number, off = self.open.pop()
+        tag, number, off, marked = self.open.pop()
+        if marked:
+            self.marks = self.marks[:-1]
         self.off -= off
         self.links -= tag == "a"
         self.inside -= tag in ("article", "main")
@@ -144,7 +175,7 @@ class Lines(HTMLParser):
         elif tag in BOUNDS:
             self._close(("p",), BOUNDS)
         if tag not in VOID:
-            self._push(tag, _is_off(tag, attrs, self.inside > 0))
+            self._push(tag, _is_off(tag, attrs, self.inside > 0), _mark(tag, attrs))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # HTML knows no empty elements but the void ones
@@ -166,7 +197,26 @@ class Lines(HTMLParser):
             self.rawdata = ""  # a tag or comment that the page's end cuts off
         self.close()
         self._end_line()
-        return self.lines
+        return judged(self.lines, self.marked)
+
+
+def judged(lines: list[tuple[str, int, int, int, tuple, bool]], marked: list[tuple]) -> list[tuple[str, int, int, int, tuple, bool]]:
+    """The lines, off as well where a marked element's own text doesn't speak against the mark."""
+    own: dict[tuple[int, str], list[int]] = {}  # free words, tags, linked words
+    page = [0, 0, 0]
+    for (_, tags, words, linked, _, off), marks in zip(lines, marked):
+        if not off:
+            linked = min(linked, words)
+            for sums in (page, *(own.setdefault(m, [0, 0, 0]) for m in marks)):
+                sums[0] += words - linked
+                sums[1] += tags
+                sums[2] += linked
+    drop = set()
+    for mark, (free, tags, linked) in own.items():
+        low = free <= linked or free * max(1, page[1]) < LOW * page[0] * max(1, tags)
+        if 2 * free <= page[0] and (mark[1] == "sure" or low):
+            drop.add(mark)
+    return [(*line[:5], line[5] or not drop.isdisjoint(marks)) for line, marks in zip(lines, marked)]
 
 
 def smooth(ratios: list[float], sigma: float = SIGMA) -> list[float]:
@@ -201,23 +251,12 @@ def main_text(html: str | None) -> str:
     lines = parser.finish()
     if not any(words > linked and not off for _, _, words, linked, _, off in lines):
         return "\n".join(line[0] for line in lines if not line[5])
-    # words of the regions, per enclosing element
-    weight: dict[tuple, int] = {}
-    total = 0
-    for first, after in regions(lines):
-        for text, tags, words, linked, path, off in lines[first:after]:
-            if not off:
-                total += words - min(linked, words)
-                for element in path:
-                    weight[element] = weight.get(element, 0) + words - min(linked, words)
-    order = {element: len(line[4][: line[4].index(element)]) for line in lines for element in line[4]}
-    # an article or main part that holds most of it, else the innermost element that does
-    kept = [e for e, n in weight.items() if 2 * n > total]
-    named = [e for e in kept if e[0] in ("article", "main")]
-    within = max(named, key=lambda e: (e[0] == "article", order[e])) if named else None
+    # the elements around all regions: what the first and the last path in order share
+    paths = [line[4] for first, after in regions(lines) for line in lines[first:after] if not line[5]]
+    around = [a for a, b in zip(min(paths), max(paths)) if a == b] if paths else []
+    within = next((e for name in ("article", "main") for e in around if e[0] == name), None)
     if within is None:
-        most = [e for e, n in weight.items() if 10 * n >= 9 * total and e[0] not in ("td", "th")]
-        within = max(most, key=lambda e: order[e]) if most else None
+        within = next((e for e in reversed(around) if e[0] not in ("td", "th")), None)
     return "\n".join(line[0] for line in lines if not line[5] and (within is None or within in line[4]))
 
 

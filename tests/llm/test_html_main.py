@@ -39,6 +39,42 @@ def test_odd_pages():
     assert main_text("<div>" * 3000 + "deep words in it" + "</div>" * 3000) == "deep words in it"
 
 
+def words(n, start=0):
+    return " ".join(f"w{i}" for i in range(start, start + n))
+
+
+def test_all_regions_are_kept():
+    body = "".join(f"<p>{words(20, 20 * i)}</p>" for i in range(10))
+    texts = [words(20, 20 * i) for i in range(10)]
+    post = f"<div class=post><h1>Title of three</h1><p>{words(10, 900)}</p><div class=body>{body}</div></div>"
+    for html in (post, f"<body>{NAV}{post}{FOOT}</body>"):
+        assert main_text(html) == "\n".join(["Title of three", words(10, 900), *texts])
+    items = "".join(f"<li>{words(20, 20 * i)}</li>" for i in range(10))
+    listed = f"<body>{NAV}<div><h1>Ten things to know</h1><p>{words(6, 900)}</p><ul>{items}</ul><p>{words(5, 950)}</p></div>{FOOT}</body>"
+    assert main_text(listed) == "\n".join(["Ten things to know", words(6, 900), *texts, words(5, 950)])
+    two = f"<body>{NAV}<main><article>{body}</article><article><p>{words(60, 500)}</p><p>{words(60, 600)}</p></article></main>{FOOT}</body>"
+    assert main_text(two) == "\n".join([*texts, words(60, 500), words(60, 600)])
+    nested = f"<body><article><p>{words(40, 500)}</p><article>{body}</article><p>{words(40, 600)}</p></article></body>"
+    assert main_text(nested) == "\n".join([words(40, 500), *texts, words(40, 600)])
+    many = f"<body><div><div>{'<p>' + words(20) + '</p>'}{body * 95}</div><section>{body * 5}</section></div></body>"
+    assert main_text(many).count("\n") == 1000
+
+
+def test_names_that_say_nothing():
+    body = "".join(f"<p>{words(20, 20 * i)}</p>" for i in range(10))
+    texts = [words(20, 20 * i) for i in range(10)]
+    for wrap in ("content has-sidebar", "no-sidebar", "with-comments", "hasSidebar", "page sidebar", "comments-open"):
+        assert main_text(f'<body>{NAV}<div class="{wrap}">{body}</div>{FOOT}</body>') == "\n".join(texts)
+    inner = f'<h2 id="related-work">Related work</h2>{body}<h2 id="search">Search</h2><p class="byline">By one of us</p><h3 id="menu-design">Menus</h3>'
+    inner += f'<section id="sharing-results"><p>{words(18, 500)}</p><p>{words(18, 600)}</p></section>'
+    expected = ["Related work", *texts, "Search", "By one of us", "Menus", words(18, 500), words(18, 600)]
+    assert main_text(f"<body>{NAV}<article>{inner}</article>{FOOT}</body>") == "\n".join(expected)
+    boxes = '<div class="related"><ul><li><a href="/a">Another one to read</a></li><li><a href="/b">And one more</a></li></ul></div>'
+    boxes += '<div class="share-this"><span>Share</span><b>now</b></div><ul id="menu"><li><a href="/c">Home</a></li></ul>'
+    assert main_text(f"<body><article>{body}{boxes}</article></body>") == "\n".join(texts)
+    assert main_text(f"<body><article>{body}{AD}{NOTICE}{TALK}</article></body>") == "\n".join(texts)
+
+
 def test_frame(spark, same):
     rows = [(1, "u", page(NAV, FOOT)), (1, "u", page(NAV, FOOT)), (2, None, None), (None, "v", "")]
     df = spark.createDataFrame([(*r, "x", 3) for r in rows], "page_id long, url string, html string, text string, n_chars int")
