@@ -64,7 +64,7 @@ MORE = (
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
     Rule("web_key", r"AIza[A-Za-z0-9_-]+", 0, 39),
     Rule("signed_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
-    Rule("url_login", r"://[A-Za-z0-9._%+-]{1,64}:[^\s/@:]{1,128}@[A-Za-z0-9.-]+"),
+    Rule("url_login", r"://[A-Za-z0-9._%+-]++:[^\s/@:]++@[A-Za-z0-9.-]+"),
 )
 RULES = BASE + MORE
 

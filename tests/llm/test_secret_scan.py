@@ -62,3 +62,12 @@ def test_trigram_queries():
             for m in rule.regex.finditer(text or ""):
                 said = secret_scan._fold(m[0])
                 assert q(rule.pattern) is None or any(all(t in said for t in c) for c in q(rule.pattern))
+
+
+def test_long_logins():
+    k = next(k for k, r in enumerate(secret_scan.RULES) if r.kind == "url_login")
+    compiled = [r.regex for r in secret_scan.RULES]
+    for user, token in (("u", "t" * 129), ("u" * 65, "pw"), ("u" * 3000, "a%2B.-" * 5000), ("u", "p")):
+        text = f"see https://{user}:{token}@host.example, and more"
+        assert secret_scan.find(text, [k], compiled) == [(9, k, text.index(","))]
+    assert secret_scan.find("://a:" * 100_000 + "x" * 1_000_000, [k], compiled) == []  # linear, or it would not end
