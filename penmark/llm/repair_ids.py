@@ -3,8 +3,9 @@
 Documents are range-partitioned and sorted by doc_id. Each task encodes its
 documents with the tokenizers library, appends the end id to each, and writes
 shards of about ``SHARD_TOKENS`` ids (documents are never cut). In a shard the
-most frequent id pairs are replaced by new symbols, round after round; pairs
-never span two documents. Symbols stay below 65,536, so they are written in
+most frequent id pairs are replaced by new symbols, round after round, until
+no pair occurs ``MIN_PAIRS`` times or the symbols run out (a round takes counts
+once and at most a ``SHARE``-th of the symbols); pairs never span two documents. Symbols stay below 65,536, so they are written in
 two bytes.
 
 Shard file (little endian): ``RPG1``, then as uint32 the numbers of base ids,
@@ -42,7 +43,7 @@ from .common import fresh_path, ship, written
 from .files import NewFile, make_folder, open_fs
 
 SHARD_TOKENS = 2_000_000
-ROUNDS = 5
+SHARE = 5
 MIN_PAIRS = 16
 SYMBOLS = 1 << 16
 MARK = 1024
@@ -143,9 +144,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray,
     last[ends - 1] = True
     rules: list[np.ndarray] = []
     symbol = base
-    for _ in range(ROUNDS):
-        if symbol >= SYMBOLS or len(seq) < 2:
-            break
+    while symbol < SYMBOLS and len(seq) >= 2:
         key = (seq[:-1] << np.uint32(16)) | seq[1:]
         # exact counts, but only of pairs in bins that reach the least count
         where = (key * np.uint32(2654435761)) >> np.uint32(32 - BINS)
@@ -153,7 +152,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray,
         at = np.flatnonzero(full[where] & ~last[:-1])
         key = key[at]
         pairs, counts = np.unique(key, return_counts=True)
-        room = (SYMBOLS - base) // ROUNDS if symbol + 2 * ((SYMBOLS - base) // ROUNDS) <= SYMBOLS else SYMBOLS - symbol
+        room = max(1, (SYMBOLS - base) // SHARE)
+        room = room if symbol + 2 * room <= SYMBOLS else SYMBOLS - symbol
         pairs, counts = pairs[counts >= MIN_PAIRS], counts[counts >= MIN_PAIRS]
         if not len(pairs):
             break

@@ -58,3 +58,20 @@ def test_grammar_and_random_access():
         assert (shard.document(k) == ids[starts[k] : ends[k]]).all()
     for at, n in ((0, 1), (1, 5000), (len(ids) - 1, 1), (31_000, 77), (12_345, 0)):
         assert (shard.read_ids(at, n) == ids[at : at + n]).all()
+
+
+def test_rules_until_no_pair_is_frequent():
+    rng = np.random.default_rng(4)
+    ids = np.tile(rng.integers(0, 50_000, 1_000), 64).astype(np.uint16)
+    ends = np.arange(4_000, len(ids) + 1, 4_000)
+    rules, symbols, firsts = repair_ids.compress(ids, ends, 50257)
+    last = np.zeros(len(symbols), bool)
+    last[firsts[1:].astype(int) - 1] = True
+    pairs = np.stack([symbols[:-1], symbols[1:]], 1)[~last[:-1]]
+    assert len(rules) < repair_ids.SYMBOLS - 50257 and np.unique(pairs, axis=0, return_counts=True)[1].max(initial=0) < repair_ids.MIN_PAIRS
+    shard = repair_ids.Shard(repair_ids.pack(ids, ends, 50257))
+    assert (repair_ids.expand(shard.symbols, shard.rules, 50257) == ids).all() and len(symbols) <= 64
+    for k in (0, 7, len(ends) - 1):
+        assert (shard.document(k) == ids[4_000 * k : 4_000 * (k + 1)]).all()
+    for at, n in ((0, 1), (3_999, 2), (31_234, 5_000), (len(ids) - 1, 1)):
+        assert (shard.read_ids(at, n) == ids[at : at + n]).all()
