@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_main, mixing, ngram_join, nn_descent, ordinal, repair_ids, secret_scan, warc, winnowing
+from . import chat_format, collocations, html_main, mixing, ngram_join, nn_descent, ordinal, packing, repair_ids, secret_scan, spelling, warc, winnowing
 from .common import fresh_path, table
 
 
@@ -64,10 +64,25 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_nn_descent, op2_secret_scan, op3_quality_ordinal, op4_mix_sources, op5_warc, op6_ngram_join, op7_winnowing, op8_chat_windows, op9_token_shards, op10_html_main_text,
+        op11_collocations, op12_packing, op13_spelling_variants,
     )
 }
 
@@ -77,4 +92,6 @@ ORACLE: dict[str, str] = {
     "op5_warc": warc.ORACLE_SQL,
     "op6_ngram_join": ngram_join.ORACLE_SQL,
     "op7_winnowing": winnowing.ORACLE_SQL,
+    "op11_collocations": collocations.ORACLE_SQL,
+    "op13_spelling_variants": spelling.ORACLE_SQL,
 }
