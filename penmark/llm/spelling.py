@@ -44,7 +44,7 @@ LEAST = 6
 OCCURS = 5
 TIMES = 5
 CHUNK = 16 << 20
-SYMBOLS = 500_000
+SYMBOLS = 100_000
 BLOCK = 20_000
 WIDE = 96
 LONG = 64
