@@ -3,18 +3,20 @@
 In chunks of whole texts, words are numbered, each word's bytes and each
 n-gram's words are hashed by prefix polynomials (mod 2**64, an odd base, so
 that the hash of any range is a difference of two prefixes times a power), and
-equal fingerprints are counted, each with a pointer to its first occurrence
-(text, byte range). Within the chunk all occurrences are compared with that
-one, word by word; those of a collision become an entry of their own. The
-shuffle adds up fingerprints; entries whose sum stays below the least count
-are dropped. The pointers of the others are read from the texts, and phrases
-are counted again by language and text, so collisions between chunks fall
-apart too: every count is exact.
+equal fingerprints are counted. Within the chunk all occurrences are compared
+with the first one, word by word; those of a collision become an entry of
+their own. The shuffle adds up fingerprints, and only those that reach the
+least count go on.
 
 Lengths go one by one: an n-gram can only be frequent if both (n-1)-grams in it
 are, so only those are counted whose parts are set in a table of ``BITS`` bits'
 width made from the frequent fingerprints of the length before. The table has
-a fixed size; where it fills up, more n-grams are shuffled, none is lost.
+a fixed size; where it fills up, more n-grams are shuffled, none is lost. The
+pass over the texts that counts length n also gives the pointers (text, byte
+range) of the frequent (n-1)-grams, with a second fingerprint from another
+base: phrases that share one fingerprint but not the other fall apart there.
+One pointer per phrase is read from its text, and counts are added up by
+language and text. Across chunks, phrases of equal 128 bits are the same.
 
 Defined cases: the words of a null or empty text are none; a null language is
 ``und``; a piece of any length is counted; repeated rows count repeatedly; ties
@@ -41,9 +43,9 @@ TOP = 2000
 CHUNK = 16 << 20
 BITS = 26
 SLOT_BITS = 19  # bits of the table that one row holds
-ENTRIES = "n int, fp long, cnt long, row long, at int, len int"
+ENTRIES = "n int, fp long, cnt long, chk long, row long, at int, len int"
 _BASE = 0x9E3779B97F4A7C15
-_BACK = pow(_BASE, -1, 1 << 64)
+_CHECK = 0xD6E8FEB86659FD93
 _BREAKS = np.zeros(256, bool)
 _BREAKS[list(b".,;:!?\x0a\x0b\x0c\x0d")] = True
 
@@ -60,9 +62,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def prefixes(values: np.ndarray) -> np.ndarray:
+def prefixes(values: np.ndarray, base: int = _BASE) -> np.ndarray:
     """Prefix polynomials: sums of ``values[j] * base**-j``, mod 2**64."""
-    return np.r_[np.uint64(0), np.cumsum(values * _powers(_BACK, len(values)), dtype=np.uint64)]
+    return np.r_[np.uint64(0), np.cumsum(values * _powers(pow(base, -1, 1 << 64), len(values)), dtype=np.uint64)]
 
 
 def fingerprints(sums: np.ndarray, powers: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -94,37 +96,29 @@ class Chunk:
         self.lang = np.array([tongue[x] for x in langs], np.int64)[self.row] if len(starts) else starts
         seeds = [np.frombuffer(x.encode() + b"\0", np.uint8).astype(np.uint64) for x in tongue]
         self.seed = _mix(np.array([prefixes(s)[-1] for s in seeds], np.uint64))
-        self.sums, self.powers = prefixes(self.hash), _powers(_BASE, len(self.hash) + 1)
+        self.sums = {base: (prefixes(self.hash, base), _powers(base, len(self.hash) + 1)) for base in (_BASE, _CHECK)}
 
-    def grams(self, n: int, narrow: int = 0) -> np.ndarray:
-        """Fingerprints of the n-grams that start at each word (language
-        included); those that leave their piece are meant to be masked."""
-        last = max(len(self.word) - n + 1, 0)
-        at = np.arange(last)
-        fp = _mix(fingerprints(self.sums, self.powers, at, at + n) + self.seed[self.lang[:last]] * np.uint64(2 * n + 1))
-        return fp & np.uint64(-1 << narrow & (1 << 64) - 1)
+    def codes(self, at: np.ndarray, n: int, base: int = _BASE) -> np.ndarray:
+        """Fingerprints of the n-grams that start at these words, language included."""
+        sums, powers = self.sums[base]
+        return _mix(fingerprints(sums, powers, at, at + n) + self.seed[self.lang[at]] * np.uint64(2 * n + 1))
 
     def inside(self, n: int) -> np.ndarray:
+        """Whether the n-gram that starts at a word stays in its piece."""
         last = max(len(self.word) - n + 1, 0)
         return self.piece[:last] == self.piece[n - 1 : n - 1 + last]
 
-    def entries(self, n: int, table: np.ndarray | None, narrow: int = 0) -> pa.RecordBatch:
-        """Counts of the n-grams whose parts may be frequent, with pointers."""
-        keep = self.inside(n)
-        if table is not None:
-            slot = self.grams(n - 1, narrow) >> np.uint64(64 - BITS)
-            maybe = (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
-            keep &= maybe[: len(keep)] & maybe[1 : len(keep) + 1]
-        at = np.flatnonzero(keep)
-        fp = self.grams(n, narrow)[at]
+    def count(self, n: int, at: np.ndarray, fp: np.ndarray, pointers: bool) -> pa.RecordBatch:
+        """Counts of the n-grams that start at these words, with pointers or without."""
         order = np.argsort(fp, kind="stable")
         at, fp = at[order], fp[order]
         new = np.r_[True, fp[1:] != fp[:-1]][: len(fp)]
-        first = at[new][np.cumsum(new) - 1] if len(at) else at
+        group = np.cumsum(new) - 1
+        first = at[new][group] if len(at) else at
         other = self.lang[at] != self.lang[first]
         for k in range(n):
             other |= self.word[at + k] != self.word[first + k]
-        count = np.bincount(np.cumsum(new)[~other] - 1, minlength=int(new.sum()))
+        count = np.bincount(group[~other], minlength=int(new.sum()))
         pointer, code = at[new], fp[new]
         if other.any():  # collisions: entries by language and words
             same: dict[tuple, list[int]] = {}
@@ -134,13 +128,35 @@ class Chunk:
             pointer = np.r_[pointer, np.array([p for p, _ in same.values()], np.int64)]
             count = np.r_[count, np.array([c for _, c in same.values()], np.int64)]
             code = np.r_[code, np.array([k[0] for k in same], np.uint64)]
-        begin, end = self.at[pointer], self.end[pointer + n - 1]
-        values = (np.full(len(pointer), n), code.view(np.int64), count, self.keys[self.row[pointer]], begin, end - begin)
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=[c.split()[0] for c in ENTRIES.split(", ")])
+        values = [pa.array(np.full(len(pointer), n), pa.int32()), pa.array(code.view(np.int64), pa.int64()), pa.array(count, pa.int64())]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        if pointers:
+            begin, end = self.at[pointer], self.end[pointer + n - 1]
+            more = (self.codes(pointer, n, _CHECK).view(np.int64), self.keys[self.row[pointer]], begin, end - begin)
+            values += [pa.array(v, k) for v, k in zip(more, kinds)]
+        else:
+            values += [pa.nulls(len(pointer), k) for k in kinds]
+        return pa.RecordBatch.from_arrays(values, names=[c.split()[0] for c in ENTRIES.split(", ")])
+
+    def entries(self, n: int, table: np.ndarray | None, longest: int, narrow: int = 0) -> Iterator[pa.RecordBatch]:
+        """The n-grams whose parts may be frequent, and the (n-1)-grams that
+        may be, with pointers (so have those of the longest length)."""
+        clear = np.uint64(-1 << narrow & (1 << 64) - 1)
+        keep = self.inside(n)
+        if table is not None:
+            part = np.flatnonzero(self.inside(n - 1))
+            fp = self.codes(part, n - 1) & clear
+            slot = fp >> np.uint64(64 - BITS)
+            known = (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+            yield self.count(n - 1, part[known], fp[known], True)
+            maybe = np.zeros(len(self.word) + 1, bool)
+            maybe[part[known]] = True
+            keep &= maybe[: len(keep)] & maybe[1 : len(keep) + 1]
+        at = np.flatnonzero(keep)
+        yield self.count(n, at, self.codes(at, n) & clear, n == longest)
 
 
-def _count(rows: DataFrame, n: int, shared, narrow: int) -> DataFrame:
+def _count(rows: DataFrame, n: int, shared, longest: int, narrow: int) -> DataFrame:
     """Entries of all chunks for one length."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,15 +168,15 @@ def _count(rows: DataFrame, n: int, shared, narrow: int) -> DataFrame:
                 kept.append(batch.slice(a, b - a))
                 size += kept[-1].nbytes
                 if size >= CHUNK:
-                    yield chunk(kept, table)
+                    yield from chunk(kept).entries(n, table, longest, narrow)
                     kept, size = [], 0
         if kept:
-            yield chunk(kept, table)
+            yield from chunk(kept).entries(n, table, longest, narrow)
 
-    def chunk(kept: list[pa.RecordBatch], table: np.ndarray | None) -> pa.RecordBatch:
+    def chunk(kept: list[pa.RecordBatch]) -> Chunk:
         whole = pa.Table.from_batches(kept)
         one = lambda c: whole.column(c).combine_chunks()
-        return Chunk(one("row").to_numpy(), one("lang").to_pylist(), one("text")).entries(n, table, narrow)
+        return Chunk(one("row").to_numpy(), one("lang").to_pylist(), one("text"))
 
     return rows.mapInArrow(count, ENTRIES)
 
@@ -191,9 +207,8 @@ def _table(frequent: DataFrame):
 
 def _read(rows: DataFrame, entries: DataFrame) -> DataFrame:
     """lang, phrase, n, cnt: the pointers' texts, words joined by one space."""
-    pointers = entries.groupBy("row", "n", "at", "len").agg(F.sum("cnt").alias("cnt"))
     # as many pointers as the text has n-grams, at most
-    pointers = pointers.groupBy(F.col("row").alias("p_row")).agg(F.collect_list(F.struct("n", "at", "len", "cnt")).alias("ps"))
+    pointers = entries.groupBy(F.col("row").alias("p_row")).agg(F.collect_list(F.struct("n", "at", "len", "cnt")).alias("ps"))
     texts = rows.join(pointers.select("p_row"), F.col("row") == F.col("p_row"), "left_semi").dropDuplicates(["row"])
     both = texts.join(pointers, F.col("row") == F.col("p_row")).select("lang", "text", "ps")
 
@@ -222,17 +237,21 @@ def frequencies(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, nar
     lang = F.coalesce("lang", F.lit("und"))
     rows = docs.select(F.xxhash64("doc_id", lang, "text").alias("row"), lang.alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     found, shared = None, None
+    same = Window.partitionBy("n", "fp", "chk")
     for n in range(1, longest + 1):
-        entries = _count(rows, n, shared, narrow)
-        # one entry per chunk and fingerprint at most, but for collisions
-        total = F.sum("cnt").over(Window.partitionBy("fp"))
-        frequent = written(entries.withColumn("total", total).where(F.col("total") >= least).drop("total"), f"phrases-{n}")
-        found = frequent if found is None else found.unionByName(frequent)
+        entries = _count(rows, n, shared, longest, narrow)
+        # one entry per chunk and fingerprint at most, but for collisions; of each the smallest pointer stays
+        entries = entries.withColumn("total", F.sum("cnt").over(same)).withColumn("nth", F.row_number().over(same.orderBy("row", "at")))
+        frequent = entries.where((F.col("total") >= least) & (F.col("nth") == 1)).withColumn("cnt", F.col("total")).drop("total", "nth")
+        frequent = written(frequent, f"phrases-{n}")
+        pointers = frequent.where("row is not null")
+        found = pointers if found is None else found.unionByName(pointers)
         if n < longest:
-            if frequent.isEmpty():
+            candidates = frequent.where(F.col("n") == n)
+            if candidates.isEmpty():
                 break
-            shared = _table(frequent)
-    phrases = _read(rows, found).groupBy("lang", "phrase", "n").agg(F.sum("cnt").alias("f")).where(F.col("f") >= least)
+            shared = _table(candidates)
+    phrases = _read(rows, found).groupBy("lang", "phrase", "n").agg(F.sum("cnt").alias("f"))
     return written(phrases, "phrases"), written(_words(rows), "words")
 
 
