@@ -21,11 +21,3 @@ def spark():
 @pytest.fixture()
 def tmpdir_fresh():
     return tempfile.mkdtemp(prefix="penmark-test-", dir="/tmp")
-
-
-def metrics_of(spark, texts):
-    from penmark.functions.metrics import with_text_metrics
-
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    rows = {r.doc_id: r for r in with_text_metrics(df).collect()}
-    return [rows[i] for i in range(len(texts))]

@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import metrics_of
+from metric_rows import metrics_of
 from penmark.functions.lexicon import METRIC_ORDER
 
 CASES = [

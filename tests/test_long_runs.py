@@ -2,7 +2,7 @@
 
 import time
 
-from conftest import metrics_of
+from metric_rows import metrics_of
 
 from penmark.operators import kmeans, report, scoring
 

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import rules_scan as rs
-from conftest import metrics_of
+from metric_rows import metrics_of
 from penmark.functions import lexicon
 from penmark.functions.emoji import emoji_table
 
