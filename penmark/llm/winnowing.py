@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, written
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # all that is in no word, in either case
 SPAN = 13
 K = 6
 WINNOW = SPAN - K + 1  # 8: a power of two, see _minima
@@ -38,9 +38,16 @@ POS_BITS = 10  # a position in a block
 BROADCAST_ROWS = 500_000
 
 
+def _words(text: Column) -> Column:
+    # splitting at what lies between is several times faster than finding words
+    return F.array_remove(F.split(text, BETWEEN), "")
+
+
 def _word_hashes(text: Column) -> Column:
-    words = F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
-    return F.transform(words, lambda w: F.xxhash64(w))
+    text = F.coalesce(text, F.lit(""))
+    plain = F.length(text) == F.octet_length(text)
+    lower = F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.transform(_words(lower), lambda w: F.xxhash64(w))
 
 
 def _gram(words: Column, at: Column, k: int) -> Column:
@@ -60,60 +67,100 @@ def _blocks(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     overlap = SPAN - 1
     hashed = df.select(*keys, _word_hashes(F.col(text)).alias("all"))
     cuts = F.sequence(F.lit(0), F.greatest(F.size("all") - 1 - overlap, F.lit(0)), F.lit(STRIDE))
-    hashed = hashed.where(F.size("all") > 0).select(*keys, "all", F.explode(cuts).alias("base"))
+    # explode_outer: for explode, Spark infers a filter on the array and computes it a second time
+    hashed = hashed.select(*keys, "all", F.explode_outer(cuts).alias("base"))
     return hashed.select(*keys, "base", F.slice("all", F.col("base") + 1, STRIDE + overlap).alias("w"))
 
 
+def _with_next(values: str, other: str, step: int, how) -> Column:
+    """``how(values[i], other[i + step])``; null beyond the end."""
+    return F.zip_with(values, F.slice(other, step + 1, F.greatest(F.size(other) - step, F.lit(0))), how)
+
+
+def _both(x: Column, y: Column) -> Column:
+    return F.xxhash64(x, y)
+
+
+def _less(x: Column, y: Column) -> Column:
+    return F.least(x, y)
+
+
 def _minima(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """Winnowed fingerprints: ``keys``, ``base``, ``pos``, ``fp``, ``ctx``."""
+    """Winnowed fingerprints: ``keys``, ``base``, ``pos``, ``fp``."""
     low = (1 << POS_BITS) - 1
     n = F.size("w") - (K - 1)
-    grams = F.transform("w", lambda w, i: _gram(F.col("w"), i, K).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long")))
-    df = blocks.where(n >= WINNOW).withColumn("m", _head(grams, n))
+    df = blocks.where(n >= WINNOW).select(*keys, "base", n.alias("n"), "w")
+    # hashes of 2, 4 and K = 4 + 2 words
+    df = df.withColumn("two", _with_next("w", "w", 1, _both))
+    df = df.withColumn("four", _with_next("two", "two", 2, _both))
+    df = df.withColumn("m", _head(_with_next("four", "two", 4, _both), F.col("n")))
+    df = df.withColumn("m", F.transform("m", lambda x, i: x.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))))
     # minima over 2, 4, 8 neighbours; null beyond the end, which least() skips
     for step in (1, 2, 4):
-        df = df.withColumn("m", F.transform("m", lambda x, i: F.least(x, F.get(F.col("m"), i + step))))  # noqa: B023 - used at once
-    df = df.withColumn("m", F.array_distinct(_head(F.col("m"), n - (WINNOW - 1))))
-    pos = lambda x: x.bitwiseAND(F.lit(low)).cast("int")
-    kept = F.transform("m", lambda x: F.struct(pos(x).alias("pos"), x.bitwiseAND(F.lit(~low)).alias("fp"), _around(F.col("w"), pos(x)).alias("ctx")))
-    return df.select(*keys, "base", F.explode(kept).alias("k")).select(*keys, "base", "k.*")
-
-
-def _long_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Starts of windows of SPAN words: key, item, start, length."""
-    found = _minima(_blocks(items, ["item", "n_item"], "text"), ["item", "n_item"])
-    found = found.select("item", F.col("fp").alias("i_fp"), F.col("ctx").alias("i_ctx")).distinct()
-    found = written(found, "winnow-items")
-    if found.count() <= BROADCAST_ROWS:
-        found = F.broadcast(found)
+        df = df.withColumn("m", _with_next("m", "m", step, _less))
+    df = df.withColumn("m", F.array_distinct(_head(F.col("m"), F.col("n") - (WINNOW - 1))))
+    df = df.select(*keys, "base", F.explode_outer("m").alias("m")).where("m IS NOT NULL")
+    return df.select(*keys, "base", F.col("m").bitwiseAND(F.lit(low)).cast("int").alias("pos"), F.col("m").bitwiseAND(F.lit(~low)).alias("fp"))
+
+
+def _contexts(found: DataFrame, blocks: DataFrame, keys: list[str], more: list[str]) -> DataFrame:
+    """``found`` (with ``keys``, ``base``, ``pos``) and the words around it."""
+    words = blocks.select(*[F.col(k).alias(f"b_{k}") for k in keys], F.col("base").alias("b_base"), "w")
+    same = F.col("base") == F.col("b_base")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"b_{k}"))
+    return found.join(words, same).select(*keys, "base", "pos", *more, _around(F.col("w"), F.col("pos")).alias("ctx"))
+
+
+def _long_hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(starts of windows of SPAN words: key, class, start, len; and the items
+    of each class, an item being in many). A class is a fingerprint of the
+    items with the words around it, so a passage that many items share is
+    compared once."""
+    theirs = _blocks(items, ["item"], "text")
+    found = _contexts(_minima(theirs, ["item"]), theirs, ["item"], ["fp"]).select("item", F.col("fp").alias("i_fp"), F.col("ctx").alias("i_ctx"))
+    found = written(found.distinct(), "winnow-items")
+    classes = found.select("i_fp", "i_ctx").distinct().withColumn("class", F.monotonically_increasing_id())
+    classes = written(classes, "winnow-classes")
+    members = found.join(classes, ["i_fp", "i_ctx"]).select("class", "item").distinct()
+    prints = classes.select("i_fp").distinct()
+    small = classes.count() <= BROADCAST_ROWS
     mine = _minima(_blocks(docs, ["key"], "text"), ["key"])
-    hits = mine.join(found, F.col("fp") == F.col("i_fp"))
+    hits = written(mine.join(F.broadcast(prints) if small else prints, F.col("fp") == F.col("i_fp")).select("key", "base", "pos", "fp"), "winnow-prints")
+    # the words around them, of the documents with hits only
+    some = hits.select(F.col("key").alias("h_key")).distinct()
+    some = F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
+    again = _blocks(docs.join(some, F.col("key") == F.col("h_key"), "left_semi").dropDuplicates(["key"]), ["key"], "text")
+    hits = _contexts(hits.distinct(), again, ["key"], ["fp"])
+    hits = hits.join(F.broadcast(classes) if small else classes, F.col("fp") == F.col("i_fp"))
     same = F.zip_with("ctx", "i_ctx", lambda a, b: F.when(a == b, F.lit("1")).otherwise(F.lit("0")))
     # '1' where the words along the diagonal agree; a window starts where SPAN of them follow
     bits = F.array_join(same, "")
-    runs = hits.select("key", "item", (F.col("base") + F.col("pos") - (SPAN - K)).alias("left"), bits.alias("bits"))
+    runs = hits.select("key", "class", (F.col("base") + F.col("pos") - (SPAN - K)).alias("left"), bits.alias("bits"))
     starts = F.filter(F.sequence(F.lit(0), F.lit(SPAN - K)), lambda s: F.col("bits").substr(s + 1, F.lit(SPAN)) == "1" * SPAN)
-    runs = runs.where(F.col("bits").contains("1" * SPAN)).select("key", "item", "left", F.explode(starts).alias("s"))
-    return runs.select("key", "item", (F.col("left") + F.col("s")).alias("start"), F.lit(SPAN).alias("len"))
+    runs = runs.where(F.col("bits").contains("1" * SPAN)).select("key", "class", "left", F.explode(starts).alias("s"))
+    return runs.select("key", "class", (F.col("left") + F.col("s")).alias("start"), F.lit(SPAN).alias("len")), members
 
 
-def _short_hits(docs: DataFrame, items: DataFrame, length: int) -> DataFrame:
-    """Occurrences of whole items of ``length`` words (fewer than SPAN)."""
+def _short_hits(docs: DataFrame, items: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Occurrences of whole items of ``length`` words (fewer than SPAN), and
+    the items of each class, which are those of one fingerprint."""
     i_words = _word_hashes(F.col("text"))
     mine = items.where(F.col("n_item") == length).select("item", i_words.alias("iw"))
-    mine = mine.select("item", _gram(F.col("iw"), F.lit(0), length).alias("i_fp")).distinct()
+    members = written(mine.select(_gram(F.col("iw"), F.lit(0), length).alias("class"), "item").distinct(), "winnow-short")
+    mine = members.select(F.col("class").alias("i_fp")).distinct()
     if mine.count() <= BROADCAST_ROWS:
         mine = F.broadcast(mine)
     blocks = _blocks(docs, ["key"], "text")
     n = F.size("w") - (length - 1)
     grams = F.transform("w", lambda w, i: _gram(F.col("w"), i, length))
-    rows = blocks.select("key", "base", F.posexplode(_head(grams, n)).alias("pos", "fp"))
+    rows = blocks.select("key", "base", F.posexplode_outer(_head(grams, n)).alias("pos", "fp")).where("fp IS NOT NULL")
     hits = rows.join(mine, F.col("fp") == F.col("i_fp"))
-    return hits.select("key", "item", (F.col("base") + F.col("pos")).alias("start"), F.lit(length).alias("len"))
+    return hits.select("key", F.col("fp").alias("class"), (F.col("base") + F.col("pos")).alias("start"), F.lit(length).alias("len")), members
 
 
 def _word_count(text: str) -> Column:
-    return F.coalesce(F.regexp_count(F.translate(F.col(text), UPPER, LOWER), F.lit(WORD)), F.lit(0)).cast("long")
+    return F.size(_words(F.coalesce(F.col(text), F.lit("")))).cast("long")
 
 
 def _key(doc_id: str, text: str) -> Column:
@@ -130,9 +177,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = written(items.where("n_item > 0"), "winnow-benchmark")
     lengths = [r[0] for r in items.where(F.col("n_item") < SPAN).select("n_item").distinct().collect()]  # at most SPAN - 1
     keyed = docs.select(_key("doc_id", "text").alias("key"), "text")
-    hits = _long_hits(keyed, items.where(F.col("n_item") >= SPAN))
+    hits, members = _long_hits(keyed, items.where(F.col("n_item") >= SPAN))
+    members = members.withColumn("len", F.lit(SPAN))
     for length in sorted(lengths):
-        hits = hits.unionByName(_short_hits(keyed, items, int(length)))
+        more, names = _short_hits(keyed, items, int(length))
+        hits, members = hits.unionByName(more), members.unionByName(names.withColumn("len", F.lit(length)))
     # overlapping blocks and repeated rows find a window again; once is enough
     hits = written(hits.distinct(), "winnow-hits")
     spans = hits.groupBy("key", "start").agg(F.max("len").alias("len"))
@@ -145,7 +194,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         ),
     )
     spans = spans.select("key", covered["n"].cast("long").alias("hit"))
-    names = hits.select("key", "item").distinct().groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("names"))
+    # items only now, once for each class that a document meets
+    names = hits.select("key", "class", "len").distinct().join(members, ["class", "len"]).select("key", "item").distinct().groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("names"))
     per = spans.join(names, "key").select(F.col("key").alias("h_key"), "hit", "names")
 
     rows = docs.select(_key("doc_id", "text").alias("key"), "doc_id", _word_count("text").alias("n_words"))
