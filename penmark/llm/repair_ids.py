@@ -2,7 +2,8 @@
 
 Documents are range-partitioned and sorted by doc_id. Each task encodes its
 documents with the tokenizers library, appends the end id to each, and writes
-shards of about ``SHARD_TOKENS`` ids (documents are never cut). In a shard the
+shards of at most ``SHARD_TOKENS`` ids, or of one longer document (documents
+are never cut). In a shard the
 most frequent id pairs are replaced by new symbols, round after round, until
 no pair occurs ``MIN_PAIRS`` times or the symbols run out (a round takes counts
 once and at most a ``SHARE``-th of the symbols); pairs never span two documents. Symbols stay below 65,536, so they are written in
@@ -15,11 +16,10 @@ expansion length (uint32), the symbols (uint16), each document's first symbol
 of ids before it (uint32). Any range of ids is decoded from the last mark
 before it (``read_ids``).
 
-Encoding: a text is cut before every single space that follows a character
-other than white space. The tokenizer's own splitting always begins a new
-piece there, so the pieces' ids joined are the text's ids; pieces are
-remembered in a cache of bounded size. Texts where this cannot be said (a
-space after white space) are encoded whole.
+Texts are encoded as ``encoding`` says. Rows are sorted by id and text, so the
+bytes of a shard don't depend on the order in which a shuffle brought them;
+every attempt of a task writes files under names of its own, which the index
+rows of that attempt name.
 
 Defined cases: a null or empty text has only the end id; repeated rows are
 documents of their own; null ids come first; an empty table gives no shard
@@ -28,18 +28,17 @@ and an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import os
+import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, ship, written
+from .encoding import encode
 from .files import NewFile, make_folder, open_fs
 
 SHARD_TOKENS = 2_000_000
@@ -47,94 +46,11 @@ SHARE = 5
 MIN_PAIRS = 16
 SYMBOLS = 1 << 16
 MARK = 1024
-CACHE = 800_000
 BATCH = 2048
 BINS = 20
 SHARDS = "part long, seq long, file string, n_docs long, n_ids long"
 DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
-_SPACED = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] "  # white space, then a space
-_tokenizer: dict[str, object] = {}
-_young: dict[str, bytes] = {}
-_old: dict[str, bytes] = {}
-
-
-def _byte_signs() -> dict[int, str]:
-    """Byte -> the character that stands for it in a byte-level vocabulary:
-    itself where printable, else the next character from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
-
-
-_SIGNS = _byte_signs()
-
-
-def _encoder(path: str):
-    if path not in _tokenizer:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
-
-        for kept in (_tokenizer, _young, _old):
-            kept.clear()
-        _tokenizer[path] = Tokenizer.from_file(path)
-    return _tokenizer[path]
-
-
-def _ids(ids: list[int]) -> bytes:
-    return array("H", ids).tobytes()
-
-
-def _word(word: str) -> bytes:
-    """Ids of a space and a word, remembered. Letters are one piece for the
-    tokenizer's splitting and go straight to its model; a sign behind them is
-    a piece of its own; all else is encoded as it is."""
-    found = _young.get(word)
-    if found is None:
-        found = _old.get(word)
-        if found is None:
-            if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
-                said = word if word.isascii() else word.encode().decode("latin-1").translate(_SIGNS)
-                found = array("H", [t.id for t in _now[1].tokenize(_SIGNS[32] + said)]).tobytes()
-            elif word[-1:] in ",." and word[:-1].isalpha():
-                return _word(word[:-1]) + _now[2][word[-1]]
-            else:
-                found = _ids(_now[0].encode(" " + word, add_special_tokens=False).ids)
-        _young[word] = found
-    return found
-
-
-_now: tuple = ()
-
-
-def encode(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts in one array, each text's as ``encode(text,
-    add_special_tokens=False)``, and the number of ids of each text."""
-    global _young, _old, _now
-    tokenizer = _encoder(path)
-    plain = lambda x: _ids(tokenizer.encode(x, add_special_tokens=False).ids)
-    _now = (tokenizer, tokenizer.model, {c: plain(c) for c in ",."})
-    texts = pc.fill_null(texts, "")
-    whole = pc.match_substring_regex(texts, _SPACED).to_numpy(zero_copy_only=False)
-    # words behind single spaces; the first word of a text has none before it
-    words = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
-    coded = words.flatten().dictionary_encode()
-    names, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-    if len(_young) + len(names) > CACHE:
-        _young, _old = {}, _young
-    first = words.offsets.to_numpy()[:-1] - words.offsets.to_numpy()[0]
-    heads = [x.partition(" ")[0] if not w else x for x, w in zip(texts.to_pylist(), whole)]
-    # the first words and whole texts stand behind the names in the table
-    index = index.astype(np.int64)
-    index[first] = len(names) + np.arange(len(first))
-    table = [*map(_word, names), *map(plain, heads)]
-    size = np.fromiter(map(len, table), np.int64, len(table)) // 2
-    begin = np.r_[0, np.cumsum(size)[:-1]]
-    each = size[index]
-    upto = np.cumsum(each)
-    flat = np.frombuffer(b"".join(table), np.uint16)
-    out = flat[np.repeat(begin[index] - upto + each, each) + np.arange(upto[-1] if len(upto) else 0)]
-    return out, np.add.reduceat(each, first) if len(first) else each
-
 
 def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: (rules, symbols, position of each document's first symbol and
@@ -257,20 +173,20 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
     spark = docs.sparkSession
     ship(spark)
     folder = make_folder(folder or fresh_path(spark, "token-shards"))
-    rows = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
+    rows = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64()))])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, attempt = TaskContext.get().partitionId(), 0, uuid.uuid4().hex
         names: list[int | None] = []
         ids: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
         total = 0
 
         def flush() -> pa.RecordBatch:
-            name = f"part-{part:06d}-{seq:06d}.rpg"
+            name = f"part-{part:06d}-{seq:06d}-{attempt}.rpg"
             out = NewFile(folder, name)
             out.write(pack(np.concatenate(ids), np.cumsum(np.concatenate(sizes)), vocabulary))
             out.close()
@@ -282,13 +198,22 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
                 some = batch.slice(first, BATCH)
                 got, n = encode(tokenizer, some.column("text"))
                 got = np.insert(got, np.cumsum(n), end_id)  # behind each document
-                names += some.column("doc_id").to_pylist()
-                ids.append(got)
-                sizes.append(n + 1)
-                total += len(got)
-                if total >= SHARD_TOKENS:
-                    yield flush()
-                    names, ids, sizes, total, seq = [], [], [], 0, seq + 1
+                named, n = some.column("doc_id").to_pylist(), n + 1
+                ends, at = np.cumsum(n), 0
+                while at < len(n):
+                    # as many documents as the shard has room for, one at least
+                    before = int(ends[at - 1]) if at else 0
+                    to = int(np.searchsorted(ends, before + SHARD_TOKENS - total, "right"))
+                    to = max(to, at + (not names))
+                    if to > at:
+                        names += named[at:to]
+                        ids.append(got[before : ends[to - 1]])
+                        sizes.append(n[at:to])
+                        total += int(ends[to - 1]) - before
+                        at = to
+                    if at < len(n):
+                        yield flush()
+                        names, ids, sizes, total, seq = [], [], [], 0, seq + 1
         if names:
             yield flush()
 

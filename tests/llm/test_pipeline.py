@@ -6,7 +6,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_stages_and_run(spark):
-    docs = table(spark, SF, "documents").cache()
+    docs = table(spark, SF, "documents")
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality", "near_duplicates", "decontaminate", "mix", "tokens"] and corpus_pipeline.ORACLE_SQL is None
     model = ordinal.fit(docs, table(spark, SF, "labels"))

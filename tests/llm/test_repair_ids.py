@@ -45,6 +45,27 @@ def test_pieces_give_the_same_ids(texts):
     assert [x.tolist() for x in np.split(ids, np.cumsum(sizes))[:-1]] == expected
 
 
+def test_shards_are_cut_inside_a_batch(spark, same, monkeypatch):
+    rows = [(i, "word " * (i % 90)) for i in range(300)] + [(300, "long " * 900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(repair_ids, "SHARD_TOKENS", 500)
+    shards = repair_ids.write_shards(df, PATH)
+    sizes = [(r.n_ids, r.n_docs) for r in shards.collect()]
+    assert len(sizes) > 20 and all(n <= 500 or docs == 1 for n, docs in sizes)
+    same(repair_ids.read_documents(shards), brute(rows))
+
+
+def test_attempts_write_the_same_bytes_under_their_own_names(spark, monkeypatch):
+    rows = [(5, "b"), (5, "a"), (None, "c"), (None, None), (5, "a"), (None, "a")]
+    got = []
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        files = [r.file for r in repair_ids.write_shards(df, PATH).orderBy("part", "seq").collect()]
+        places = [repair_ids.open_fs(f) for f in files]
+        got.append((files, [fs.open_input_file(path).read() for fs, path in places]))
+    assert got[0][1] == got[1][1] and not {f.rsplit("/")[-1] for f in got[0][0]} & {f.rsplit("/")[-1] for f in got[1][0]}
+
+
 def test_grammar_and_random_access():
     rng = np.random.default_rng(3)
     ids = np.concatenate([rng.integers(0, 40, 30_000), np.zeros(5_000, int), np.tile([7, 8, 9, 9, 9], 4_000), [50256]])
