@@ -40,7 +40,8 @@ from .common import ship, written
 LONGEST = 5
 LEAST = 100
 TOP = 2000
-CHUNK = 16 << 20
+CHUNK = 8 << 20
+SLICE = 1 << 20
 BITS = 26
 SLOT_BITS = 19  # bits of the table that one row holds
 ENTRIES = "n int, fp long, cnt long, chk long, row long, at int, len int"
@@ -76,32 +77,39 @@ class Chunk:
     """Words of some rows: number, piece, byte range, row, language."""
 
     def __init__(self, rows: np.ndarray, langs: list[str], texts: pa.Array):
-        data, offsets = textbytes.joined(texts)
-        breaks = _BREAKS[data]
-        starts, ends = textbytes.runs(~breaks & (data != 32) & (data != 9))
-        self.row = np.searchsorted(offsets, starts, "right") - 1
-        self.at = (starts - offsets[self.row]).astype(np.int64)
-        self.end = (ends - offsets[self.row]).astype(np.int64)
+        parts, pieces = [], 0
+        for a, b in textbytes.slices(texts, SLICE):
+            data, offsets = textbytes.joined(texts.slice(a, b - a))
+            breaks = _BREAKS[data]
+            starts, ends = textbytes.runs(~breaks & (data != 32) & (data != 9))
+            row = np.searchsorted(offsets, starts, "right") - 1
+            piece = np.cumsum(breaks, dtype=np.int32)[starts] + pieces
+            pieces += int(breaks.sum())
+            some = (row + a, starts - offsets[row], ends - offsets[row], piece)
+            parts.append((*(x.astype(np.int32) for x in some), textbytes.words(data, starts, ends)))
+        self.row, self.at, self.end, self.piece = (np.concatenate([p[k] for p in parts]) for k in range(4))
         self.keys = rows
-        self.piece = np.cumsum(breaks)[starts] if len(starts) else starts
-        self.word, names = textbytes.coded(data, starts, ends)
+        coded = pa.concat_arrays([p[4] for p in parts]).dictionary_encode()
+        del parts
         # equal names get equal hashes; a name's bytes are hashed once
+        self.word, names = coded.indices.to_numpy(), coded.dictionary
         raw = np.frombuffer(names.buffers()[2] or b"", np.uint8)
         bounds = np.frombuffer(names.buffers()[1], np.int64)[names.offset : names.offset + len(names) + 1] if len(names) else np.zeros(1, np.int64)
         low, raw = bounds[0], raw[bounds[0] : bounds[-1]]
         hashes = fingerprints(prefixes(raw.astype(np.uint64) + np.uint64(1)), _powers(_BASE, len(raw) + 1), bounds[:-1] - low, bounds[1:] - low)
-        self.hash = _mix(hashes)[self.word] if len(names) else np.zeros(0, np.uint64)
-        self.names = names
+        self.hash = _mix(hashes)
         tongue = {x: i for i, x in enumerate(dict.fromkeys(langs))}
-        self.lang = np.array([tongue[x] for x in langs], np.int64)[self.row] if len(starts) else starts
+        self.lang = np.array([tongue[x] for x in langs], np.int32)[self.row]
         seeds = [np.frombuffer(x.encode() + b"\0", np.uint8).astype(np.uint64) for x in tongue]
         self.seed = _mix(np.array([prefixes(s)[-1] for s in seeds], np.uint64))
-        self.sums = {base: (prefixes(self.hash, base), _powers(base, len(self.hash) + 1)) for base in (_BASE, _CHECK)}
+        self.base = None
 
     def codes(self, at: np.ndarray, n: int, base: int = _BASE) -> np.ndarray:
         """Fingerprints of the n-grams that start at these words, language included."""
-        sums, powers = self.sums[base]
-        return _mix(fingerprints(sums, powers, at, at + n) + self.seed[self.lang[at]] * np.uint64(2 * n + 1))
+        if self.base != base:  # of one base at a time
+            self.base, self.sums, self.powers = base, None, None
+            self.sums, self.powers = prefixes(self.hash[self.word], base), _powers(base, len(self.word) + 1)
+        return _mix(fingerprints(self.sums, self.powers, at, at + n) + self.seed[self.lang[at]] * np.uint64(2 * n + 1))
 
     def inside(self, n: int) -> np.ndarray:
         """Whether the n-gram that starts at a word stays in its piece."""
@@ -148,9 +156,11 @@ class Chunk:
             fp = self.codes(part, n - 1) & clear
             slot = fp >> np.uint64(64 - BITS)
             known = (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
-            yield self.count(n - 1, part[known], fp[known], True)
+            part, fp = part[known], fp[known]
             maybe = np.zeros(len(self.word) + 1, bool)
-            maybe[part[known]] = True
+            maybe[part] = True
+            yield self.count(n - 1, part, fp, True)
+            del part, fp, slot, known
             keep &= maybe[: len(keep)] & maybe[1 : len(keep) + 1]
         at = np.flatnonzero(keep)
         yield self.count(n, at, self.codes(at, n) & clear, n == longest)
@@ -259,7 +269,7 @@ def _words(rows: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch.column("lang").to_pylist()
-            for a, b in textbytes.slices(batch.column("text"), CHUNK // 2):
+            for a, b in textbytes.slices(batch.column("text"), SLICE):
                 data, offsets = textbytes.joined(batch.column("text").slice(a, b - a))
                 starts, _ = textbytes.runs(~_BREAKS[data] & (data != 32) & (data != 9))
                 n = np.bincount(np.searchsorted(offsets, starts, "right") - 1, minlength=b - a)

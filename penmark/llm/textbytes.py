@@ -43,11 +43,14 @@ def spans(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def coded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """(entry of each range, distinct byte strings)."""
+def words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The byte strings of the ranges."""
     size = ends - starts
     offsets = np.r_[0, np.cumsum(size)].astype(np.int64)
-    at = spans(starts, size)
-    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[at])])
-    found = words.dictionary_encode()
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[spans(starts, size)])])
+
+
+def coded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(entry of each range, distinct byte strings)."""
+    found = words(data, starts, ends).dictionary_encode()
     return found.indices.to_numpy(), found.dictionary
