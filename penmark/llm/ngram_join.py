@@ -47,7 +47,7 @@ from .components import components
 LEVEL_BITS = 24
 LEVELS_KEPT = 1 << 18
 FREQUENT = 8
-CHUNK = 4_000_000  # n-grams counted together
+CHUNK = 1 << 20  # n-grams counted together
 SMALL = 5  # nodes of fewer than 2**SMALL tokens index frequent tokens singly, too
 PAIRS = 6  # about this many prefix tokens a sub-class
 BROADCAST_IDS = 1_000_000
@@ -128,9 +128,9 @@ def signatures(h: np.ndarray, levels: np.ndarray, num: int, den: int) -> tuple[n
 
 
 def _read(docs: DataFrame, n: int) -> DataFrame:
-    """Rows of documents (doc_id, node, size) and, without a doc row, of
-    n-grams that repeat in a chunk (token, times)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("token", pa.int64()), ("times", pa.int64())])
+    """Rows of documents (doc_id, key: hash of the text, node, size) and,
+    without a doc row, of n-grams that repeat in a chunk (token, times)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("token", pa.int64()), ("times", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total, seen = np.empty(CHUNK, np.uint64), 0, set()
@@ -141,7 +141,7 @@ def _read(docs: DataFrame, n: int) -> DataFrame:
             again = held[1:total][held[1:total] == held[: max(0, total - 1)]]
             token, times = np.unique(again, return_counts=True)
             none = pa.nulls(len(token), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(token.view(np.int64)), pa.array(times + 1, pa.int64())], schema=schema)
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(token.view(np.int64)), pa.array(times + 1, pa.int64())], schema=schema)
 
         for batch in batches:
             for first in range(0, batch.num_rows, 1024):
@@ -159,11 +159,12 @@ def _read(docs: DataFrame, n: int) -> DataFrame:
                         held[total : total + len(h)] = h
                         total += len(h)
                 none = pa.nulls(len(nodes), pa.int64())
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), none, none], schema=schema)
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("key"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), none, none], schema=schema)
         if total:
             yield count()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, size long, token long, times long")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    return rows.mapInArrow(run, "doc_id long, key long, node long, size long, token long, times long")
 
 
 def _index(docs: DataFrame, n: int, num: int, den: int, levels: np.ndarray) -> DataFrame:
@@ -270,12 +271,11 @@ def _verify(pairs: DataFrame, docs: DataFrame, homes: DataFrame, n: int, num: in
     return written(with_both(near, found, "grams").mapInArrow(compare, "a long, b long"), "ngram-links")
 
 
-def near_duplicates(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id. Linked:
-    ``den * intersection >= num * union``."""
+def _groups(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, node, size of every row; node, doc_id, comp of every node)."""
     ship(docs.sparkSession)
     read = written(_read(docs, n), "ngram-read")
-    rows = read.where("size IS NOT NULL").select("doc_id", "node", "size")
+    rows = read.where("size IS NOT NULL").select("doc_id", "key", "node", "size")
     # a class's home is one of its documents; minima and counts are combined map-side
     homes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "ngram-homes")
     entries = written(_index(docs, n, num, den, _levels(read.where("token IS NOT NULL"))), "ngram-index")
@@ -305,7 +305,13 @@ def near_duplicates(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) ->
     second = _verify(cross, docs, homes, n, num, den)
     comps = components(first.unionByName(second))
 
-    nodes = homes.join(comps, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
+    return rows, homes.join(comps, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
+
+
+def near_duplicates(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id. Linked:
+    ``den * intersection >= num * union``."""
+    rows, nodes = _groups(docs, n, num, den)
     least = nodes.groupBy("comp").agg(F.min("doc_id").alias("least"))
     nodes = nodes.join(least, "comp").select(F.col("node").alias("m_node"), "least")
     out = rows.join(nodes, F.col("node") == F.col("m_node"), "left")
@@ -314,19 +320,27 @@ def near_duplicates(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) ->
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of ``docs``, all columns, less all but one of each component:
-    the one with the smallest doc_id. Rows that share an id stay or go by
-    their own texts, and of rows equal in id and component one stays."""
-    found = written(near_duplicates(docs.select("doc_id", "text"), n, num, den), "ngram-components")
-    per = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("n_shingles") > 0).alias("words"), F.max(F.col("doc_id") == F.col("component_id")).alias("own"))
-    gone = written(per.where("doc_id IS NOT NULL AND words AND NOT own").select("doc_id"), "ngram-gone")
+    the one with the smallest doc_id (null last), then the smallest hash of
+    its text. A row stays or goes by its own id and text, so null and repeated
+    ids are told apart, and of rows equal in both one stays. Rows without
+    words all stay."""
+    rows, nodes = _groups(docs, n, num, den)
+    nodes = nodes.select(F.col("node").alias("m_node"), "comp")
+    rows = rows.join(nodes, F.col("node") == F.col("m_node")).groupBy("doc_id", "key", "comp").agg(F.count(F.lit(1)).alias("rows"))
+    rows = written(rows, "ngram-rows")
+    best = rows.groupBy(F.col("comp").alias("b_comp")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("b"))
+    stays = F.col("doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("key") == F.col("b.key"))
+    rows = rows.join(best, F.col("comp") == F.col("b_comp")).select(F.col("doc_id").alias("g_id"), F.col("key").alias("g_key"), "rows", stays.alias("stays"))
+    rows = written(rows.where("NOT stays OR rows > 1"), "ngram-gone")
+    gone, twice = rows.where("NOT stays").select("g_id", "g_key"), rows.where("stays").select("g_id", "g_key")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = per.where("doc_id IS NOT NULL AND own AND rows > 1").select("doc_id")
+    same = docs["doc_id"].eqNullSafe(F.col("g_id")) & (F.xxhash64(docs["text"]) == F.col("g_key"))
+    kept = docs.join(gone, same, "left_anti")
     if not twice.limit(1).count():
         return kept
-    twice = written(twice, "ngram-twice")
-    single, repeated = kept.join(twice, "doc_id", "left_anti"), kept.join(twice, "doc_id", "left_semi")
-    return single.select(*docs.columns).unionByName(repeated.dropDuplicates(["doc_id", "text"]).select(*docs.columns))
+    twice = F.broadcast(twice) if twice.count() <= BROADCAST_IDS else twice
+    repeated = kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, same, "left_anti").unionByName(repeated)
 
 
 ORACLE_SQL = r"""
