@@ -6,15 +6,15 @@ and each document is emitted ``floor(rate)`` times plus one hash-seeded
 Bernoulli copy whose probability is the fraction of the rate.
 
 Defined cases: a null text has 0 words; a null source is a source of its own
-and comes last; a source without words has target 0 and rate 0; repeated
-rows draw the same copies (the draw depends on the id and the seed only); an
-empty table gives an empty result; columns of the input are never read other
+and comes last; a source without words has target 0 and rate 0; a draw depends on the
+seed, the id, the text and, where rows are equal in both, their number among
+them, so rows of null or equal ids draw on their own; an empty table gives an empty result; columns of the input are never read other
 than the named three, and all of them are kept by ``mix``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import numbered, written
@@ -35,6 +35,10 @@ def uniform(key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def _text_md5() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")))
+
+
 def water_fill(caps: DataFrame, total: float) -> float:
     """The level L for which sum(min(cap, L * weight)) = total, with capped
     sources' excess reshared by weight until none is above its cap. Each
@@ -74,9 +78,25 @@ def source_rates(
     return per.select("source", "source_size", target.alias("target"), rate.alias("rate"))
 
 
-def with_copies(docs: DataFrame, rates: DataFrame, seed: int = 7, id_col: str = "doc_id") -> DataFrame:
-    """Every row of ``docs`` with its source's ``_source_size``, ``_target``,
-    and ``_copies``. The rates are broadcast when their number is checked to
+def with_draws(docs: DataFrame, text_md5: Column) -> DataFrame:
+    """``docs`` with ``_draw``, what a row's draw depends on: id, text and the
+    number among the rows that are equal in both. Only those are numbered
+    (within their source); a window's rows are streamed, not held."""
+    draw = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text_md5)
+    docs = docs.withColumn("_draw", draw)
+    twice = docs.groupBy(F.col("_draw").alias("_twice")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_twice")
+    twice = written(twice, "mix-twice")
+    if twice.isEmpty():
+        return docs.withColumn("_draw", F.concat("_draw", F.lit(":1")))
+    same = F.col("_draw") == F.col("_twice")
+    nth = F.row_number().over(Window.partitionBy("_draw", "source").orderBy("_draw"))
+    rest = docs.join(twice, same, "left_semi").withColumn("_draw", F.concat_ws(":", "_draw", nth.cast("string")))
+    return docs.join(twice, same, "left_anti").withColumn("_draw", F.concat("_draw", F.lit(":1"))).unionByName(rest)
+
+
+def with_copies(docs: DataFrame, rates: DataFrame, seed: int = 7, id_col: str = "_draw") -> DataFrame:
+    """Every row of ``docs`` (with ``_draw``) with its source's
+    ``_source_size``, ``_target``, and ``_copies``. The rates are broadcast when their number is checked to
     be small; otherwise a salted join splits the rows of hot sources."""
     named = rates.select(
         F.col("source").alias("_source"), F.col("source_size").alias("_source_size"),
@@ -99,16 +119,17 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (5, 2, 1), sh
     """The mixed corpus: the rows of ``docs`` with all their columns, each as
     often as its source's rate asks for."""
     sizes = written(docs.select("source", word_count(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("size")), "mix-sizes")
-    out = with_copies(docs, source_rates(sizes, weights, share, most), seed)
-    out = out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))))
-    return out.select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", _text_md5().alias("md5"))
+    out = with_copies(with_draws(rows, F.col("md5")), source_rates(sizes, weights, share, most), seed)
+    out = out.withColumn("_copy", F.explode_outer(F.array_repeat(F.lit(1), F.col("_copies")))).where("_copy IS NOT NULL")
+    return out.select("row.*")
 
 
 def plan(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
     """What ``mix`` does, per document and without the texts: doc_id, size,
     source_size, target, taken. The texts are read once."""
-    sizes = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    out = with_copies(sizes, source_rates(sizes, weights, share, most), seed)
+    sizes = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _text_md5().alias("md5")), "mix-sizes")
+    out = with_copies(with_draws(sizes, F.col("md5")), source_rates(sizes, weights, share, most), seed)
     return out.select(
         "doc_id", "size", F.col("_source_size").alias("source_size"),
         F.col("_target").alias("target"), (F.col("_copies") * F.col("size")).alias("taken"),
@@ -117,7 +138,8 @@ def plan(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (5, 2, 1), s
 
 ORACLE_SQL = r"""
 WITH s AS (
-  SELECT doc_id, source,
+  SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, '')) || ':'
+           || row_number() OVER (PARTITION BY doc_id, coalesce(text, ''), source) AS draw,
          CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size
   FROM documents
 ), per AS (
@@ -140,7 +162,7 @@ WITH s AS (
   FROM r, l
 ), c AS (
   SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0.0 ELSE target / source_size END AS rate,
-         CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':7'), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u
+         CAST(('0x' || substr(md5(draw || ':7'), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u
   FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, CAST(target AS DOUBLE) AS target,

@@ -40,6 +40,24 @@ def test_many_sources_by_the_salted_join(spark, monkeypatch):
     assert sorted(mixing.plan(rows(spark)).collect(), key=str) == plain
 
 
+def test_targets_are_met_whatever_the_ids(spark):
+    """Within four standard deviations of a sum of independent draws."""
+    data = [(None if i % 3 else 5, ("same words here" if i % 2 else f"w{i} x y"), "aaaabbc"[i % 7], i, 0) for i in range(8000)]
+    per = {}
+    for r in mixing.plan(spark.createDataFrame(data, SCHEMA)).collect():
+        key = (r.source_size, r.target)
+        taken, squares = per.get(key, (0, 0))
+        per[key] = (taken + r.taken, squares + r.size**2)
+    assert len(per) == 3
+    for (_, target), (taken, squares) in per.items():
+        assert abs(taken - target) <= 4 * (squares / 4) ** 0.5
+
+
+def test_clashing_columns_are_kept(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 7, 9)], "doc_id long, text string, source string, _draw int, _copies int")
+    assert {tuple(r) for r in mixing.mix(docs).collect()} == {(1, "a b", "s", 7, 9)}
+
+
 def test_empty(spark):
     assert mixing.plan(spark.createDataFrame([], SCHEMA)).count() == 0
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
