@@ -1,6 +1,14 @@
 """From raw documents to token shards: quality, near duplicates, benchmark
 passages, mixing, tokens. Each stage works on all rows that the stage before
-it kept; all but the last return the columns of the documents."""
+it kept; all but the last return the columns of the documents, whatever
+these are.
+
+Defined cases: a null or empty text has no words, so it is no near duplicate
+and not contaminated, has no part in the mix (a source's rate is still drawn
+for it) and only the end id as tokens; null and repeated ids are rows of their
+own in every stage; of rows equal in id and text near_duplicates keeps one; ties
+go to the smallest id, then the smallest hash of the text; an empty table
+gives an empty result; without usable ratings all documents pass quality."""
 
 from __future__ import annotations
 
