@@ -51,18 +51,20 @@ def ai_cluster_of(stats_rows: list) -> int:
 
 def cluster_counts(labelled: DataFrame, ai_cluster: int | Column, k: int = 2,
                    cluster: str = "cluster") -> DataFrame:
-    """One row: ai, human, total and both percentages (2 decimals). Rows
-    without a cluster are neither, and not in the total."""
+    """One row: ai, human, total, both percentages (2 decimals) and n_null.
+    Rows without a cluster (of null or undecodable texts) are neither ai nor
+    human and not in the total; ``n_null`` counts them in the same pass."""
     is_ai = F.col(cluster) == (ai_cluster if isinstance(ai_cluster, Column) else F.lit(ai_cluster))
     row = labelled.agg(
         F.sum(F.when(is_ai, 1).otherwise(0)).cast("long").alias("ai"),
         F.sum(F.when(~is_ai, 1).otherwise(0)).cast("long").alias("human"),
+        F.count_if(F.col(cluster).isNull()).alias("n_null"),
     )
     total = F.col("ai") + F.col("human")
     return row.select(
         "ai", "human", total.alias("total"),
         F.round(F.col("human") * F.lit(100.0) / total, 2).alias("human_pct"),
-        F.round(F.col("ai") * F.lit(100.0) / total, 2).alias("ai_pct"),
+        F.round(F.col("ai") * F.lit(100.0) / total, 2).alias("ai_pct"), "n_null",
     )
 
 
@@ -70,18 +72,19 @@ def report_by(labelled: DataFrame, cols: list[str], ai_cluster: int, cluster: st
               rollup: bool = False) -> DataFrame:
     """The same shares per group (for example per language or source);
     with ``rollup`` a grand-total row (group columns null) is added. Rows
-    without a cluster are neither, and not in the total."""
+    without a cluster are in ``n_null`` only."""
     is_ai = F.col(cluster) == F.lit(ai_cluster)
     grouped = labelled.rollup(*cols) if rollup else labelled.groupBy(*cols)
     out = grouped.agg(
         F.sum(F.when(is_ai, 1).otherwise(0)).cast("long").alias("ai"),
         F.sum(F.when(~is_ai, 1).otherwise(0)).cast("long").alias("human"),
+        F.count_if(F.col(cluster).isNull()).alias("n_null"),
     )
     total = F.col("ai") + F.col("human")
     return out.select(
         *cols, "ai", "human", total.alias("total"),
         F.round(F.col("human") * F.lit(100.0) / total, 2).alias("human_pct"),
-        F.round(F.col("ai") * F.lit(100.0) / total, 2).alias("ai_pct"),
+        F.round(F.col("ai") * F.lit(100.0) / total, 2).alias("ai_pct"), "n_null",
     )
 
 
@@ -113,5 +116,6 @@ def report_text_columns(date: str | Column | None = None, suffix: str = "") -> l
 
 
 def corpus_report(counts: DataFrame, date: str | Column | None = None) -> DataFrame:
-    """The published summary line (one row; see :func:`report_text_columns`)."""
-    return counts.select(*report_text_columns(date))
+    """The published summary line (one row; see :func:`report_text_columns`),
+    and the number of rows left out of it where the counts have one."""
+    return counts.select(*report_text_columns(date), *[c for c in counts.columns if c == "n_null"])

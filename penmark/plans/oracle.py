@@ -261,14 +261,17 @@ def oracle() -> dict[str, str]:
     )
     by = (
         "SELECT {g}, CAST(sum(CASE WHEN lf.cluster = ai.ai_cluster THEN 1 ELSE 0 END) AS BIGINT) AS ai, "
-        "CAST(sum(CASE WHEN lf.cluster = ai.ai_cluster THEN 0 ELSE 1 END) AS BIGINT) AS human FROM lf CROSS JOIN ai GROUP BY {grp}"
+        "CAST(sum(CASE WHEN lf.cluster <> ai.ai_cluster THEN 1 ELSE 0 END) AS BIGINT) AS human, "
+        "count(*) FILTER (WHERE lf.cluster IS NULL) AS n_null FROM lf CROSS JOIN ai GROUP BY {grp}"
     )
     shares = (
         "SELECT {g}, ai, human, ai + human AS total, round(human * 100.0 / (ai + human), 2) AS human_pct, "
-        "round(ai * 100.0 / (ai + human), 2) AS ai_pct FROM ({inner}) b"
+        "round(ai * 100.0 / (ai + human), 2) AS ai_pct, n_null FROM ({inner}) b"
     )
     out["report_by_lang"] = ll + shares.format(g="lang", inner=by.format(g="lang", grp="lang"))
     out["report_by_source_rollup"] = ll + shares.format(g="source", inner=by.format(g="source", grp="ROLLUP (source)"))
+    out["report_null_rows"] = ll + shares.format(g="lang", inner=by.format(g="lang", grp="lang").replace(
+        "FROM lf", "FROM (SELECT doc_id, lang, CASE WHEN doc_id % 11 <> 0 THEN cluster END AS cluster FROM lf) lf"))
     union_src = (
         f"(SELECT 'documents' AS kind, text FROM ({marked_sql(('doc_id', 'text'))}) d "
         "UNION ALL SELECT 'conversations' AS kind, text FROM conversations) AS un"

@@ -308,6 +308,13 @@ def q_report_by_lang(spark, sf):
     return report.report_by(lab, ["lang"], ai)
 
 
+def q_report_null_rows(spark, sf):
+    """The report where every eleventh document has no cluster."""
+    lab, _, ai = _labelled(spark, sf)
+    lab = lab.withColumn("cluster", F.when(F.col("doc_id") % 11 != 0, F.col("cluster")))
+    return report.report_by(lab, ["lang"], ai)
+
+
 def q_report_by_source_rollup(spark, sf):
     lab, _, ai = _labelled(spark, sf)
     return report.report_by(lab, ["source"], ai, rollup=True)
@@ -487,6 +494,7 @@ QUERIES: dict[str, Query] = {
     "metrics_summary": q_metrics_summary,
     "cluster_report": q_cluster_report,
     "report_by_lang": q_report_by_lang,
+    "report_null_rows": q_report_null_rows,
     "report_by_source_rollup": q_report_by_source_rollup,
     "report_by_kind": q_report_by_kind,
     "sample_per_cluster": q_sample_per_cluster,

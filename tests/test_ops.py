@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from penmark.operators import scoring, text_ops
+from penmark.operators import report, scoring, text_ops
 from penmark.plans import pipeline
 from penmark.sources.model_io import Model
 
@@ -84,6 +84,16 @@ def test_fit_pipeline_end_to_end(spark):
     assert labelled.where(F.col("cluster").isNull()).count() == 0
 
 
+def test_rows_without_cluster_are_reported(spark):
+    lab = spark.createDataFrame([(i, None if i % 5 == 0 else i % 2, "ab"[i % 2]) for i in range(50)], "doc_id long, cluster int, lang string")
+    counts = report.cluster_counts(lab, 1)
+    r = counts.collect()[0]
+    assert (r.ai, r.human, r.total, r.n_null) == (20, 20, 40, 10)
+    assert report.corpus_report(counts, "2025-08-09").collect()[0].n_null == 10
+    by = {r.lang: (r.ai, r.human, r.n_null) for r in report.report_by(lab, ["lang"], 1).collect()}
+    assert by == {"a": (0, 20, 5), "b": (20, 0, 5)}
+
+
 def test_naming_from_fit_pass_equals_separate_job(spark):
     from penmark.plans.marked import marked_documents
 

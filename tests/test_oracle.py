@@ -18,7 +18,7 @@ FAST = [
     "markdown_marked_docs", "text_metrics", "text_metrics_pages", "text_metrics_conversations",
     "feature_vector", "linf_assign", "lloyd_3_rounds", "inertia_at_centres", "cluster_emoji_mean",
     "name_ai_cluster", "point_confidence", "score", "verdict", "nonzero_metrics", "metrics_summary",
-    "cluster_report", "report_by_lang", "report_by_source_rollup", "sample_per_cluster", "corpus_union",
+    "cluster_report", "report_by_lang", "report_null_rows", "report_by_source_rollup", "sample_per_cluster", "corpus_union",
     "report_by_kind", "cluster_samples", "page_audit", "score_display",
 ]
 
