@@ -25,6 +25,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -38,6 +39,7 @@ from .files import NewFile, make_folder, open_fs
 MIN_REVISIT = 1000
 SALTS = 16
 GAP = 64 << 10
+TASK = 4 << 20  # bytes of archives that a reading task is dealt, about
 READ = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -124,7 +126,8 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        out, name = None, f"part-{TaskContext.get().partitionId():06d}.warc.gz"
+        # every attempt of a task has files of its own, which its index rows name
+        out, name = None, f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
         for batch in batches:
             found = []
             cols = [batch.column(n) for n in ("page_id", "url", "body", "digest", "size", "refers_to")]
@@ -138,7 +141,7 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
         if out:
             out.close()
 
-    return written(rows.sortWithinPartitions("page_id").mapInArrow(write, INDEX), "warc-index")
+    return written(rows.sortWithinPartitions("page_id", "url", "digest").mapInArrow(write, INDEX), "warc-index")
 
 
 def ranges(rows: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
@@ -182,7 +185,10 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(got, schema=_schema(ROW))
                 first = last
 
-    ordered = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    index = index.select("file", "offset", "length")
+    # the rows are slim, the records are not: tasks by the bytes that they read
+    tasks = 1 + (index.agg(F.sum("length")).first()[0] or 0) // TASK
+    ordered = index.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(read, ROW)
 
 
