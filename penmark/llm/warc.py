@@ -39,7 +39,7 @@ from .files import NewFile, make_folder, open_fs
 MIN_REVISIT = 1000
 SALTS = 16
 GAP = 64 << 10
-TASK = 4 << 20  # bytes of archives that a reading task is dealt, about
+TASK = 32 << 20  # bytes of archives that a reading task is dealt, about
 READ = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
