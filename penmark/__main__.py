@@ -2,7 +2,7 @@
 ``spark-submit``). Uses the session the environment configures; on a
 cluster set ``spark.checkpoint.dir`` to a shared folder.
 
-  train   <texts.parquet> <model_dir> [--text COL] [--key COL] [--report DATE]
+  train   <texts.parquet> <model_dir> [--text COL] [--key COL] [--report DATE] [--runs N] [--settings FILE.json]
   score   <texts.parquet> <model_dir> <out_dir> [--text COL] [--key COL] [--by-cluster]
   metrics <texts.parquet> <out_dir> [--text COL] [--key COL]
 """
@@ -10,6 +10,7 @@ cluster set ``spark.checkpoint.dir`` to a shared folder.
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 from pyspark.sql import SparkSession
@@ -36,6 +37,7 @@ def main(argv: list[str] | None = None) -> int:
         if name == "train":
             p.add_argument("--report", default=None, help="date for the report line (default: today)")
             p.add_argument("--runs", type=int, default=None)
+            p.add_argument("--settings", default=None, help='JSON file: {"weights": {metric: x}, "lexicons": {family: [phrase]}}')
         if name == "score":
             p.add_argument("--by-cluster", action="store_true", help="one folder per verdict")
     args = ap.parse_args(argv)
@@ -46,6 +48,10 @@ def main(argv: list[str] | None = None) -> int:
 
     if args.cmd == "train":
         extra = {"runs": args.runs} if args.runs else {}
+        if args.settings:
+            with open(args.settings, encoding="utf-8") as f:
+                given = json.load(f)
+            extra |= {name: given.get(name) for name in ("weights", "lexicons")}
         res = train(texts.select(args.key, args.text), [args.key], args.text, **extra)
         save_model(res.model, spark, args.model)
         row = training_report(res, args.report).collect()[0]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +12,28 @@ from . import lexicon
 FEATURES = lexicon.FEATURE_NAMES
 
 
-def feature_columns(weights: list[tuple[str, float]] | None = None) -> list[Column]:
+def resolve_weights(weights: dict[str, float] | list[float] | None = None) -> list[float]:
+    """The fifteen weights in vector order: the fixed ones, those with some
+    replaced by metric name (a dict), or a whole list."""
+    fixed = lexicon.FEATURE_WEIGHTS
+    if isinstance(weights, dict):
+        unknown = set(weights) - {m for m, _ in fixed}
+        if unknown:
+            raise ValueError(f"weights of unknown metrics: {sorted(unknown)}")
+        out = [float(weights.get(m, w)) for m, w in fixed]
+    else:
+        out = [float(w) for w in weights] if weights is not None else [w for _, w in fixed]
+    if len(out) != len(fixed):
+        raise ValueError(f"{len(fixed)} weights are needed, {len(out)} given")
+    if not all(math.isfinite(w) and w >= 0 for w in out) or not any(out):
+        raise ValueError("weights must be finite, not negative and not all zero")
+    return out
+
+
+def feature_columns(weights: dict[str, float] | list[float] | None = None) -> list[Column]:
     """``f0..f14`` = metric × weight, in the fixed vector order."""
-    weights = weights or lexicon.FEATURE_WEIGHTS
-    return [(F.col(m) * F.lit(float(w))).alias(f"f{i}") for i, (m, w) in enumerate(weights)]
+    names = [m for m, _ in lexicon.FEATURE_WEIGHTS]
+    return [(F.col(m) * F.lit(w)).alias(f"f{i}") for i, (m, w) in enumerate(zip(names, resolve_weights(weights)))]
 
 
 def with_features(df: DataFrame, keep: list[str] | None = None) -> DataFrame:

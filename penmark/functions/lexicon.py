@@ -8,6 +8,9 @@ for regex matching is done by code in :mod:`penmark.functions.phrases`.
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 # ---------------------------------------------------------------- FIXED VALUES
 # Phrase families. Matching is on the lower-cased, flattened text (T2),
 # plain substrings, no word boundaries.
@@ -142,5 +145,16 @@ FAMILIES = {
     "backstory": BACKSTORY,
 }
 
+
+
+def digest(lexicons: dict[str, list[str]] | None = None) -> str:
+    """SHA-256 of the phrase families in force: the fixed lists, with those
+    replaced that ``lexicons`` names. The order of phrases and repeated ones
+    don't count, as they don't change a count."""
+    families = {**FAMILIES, **(lexicons or {})}
+    whole = json.dumps({f: sorted(set(p)) for f, p in families.items()}, sort_keys=True)
+    return hashlib.sha256(whole.encode()).hexdigest()
+
+
 FEATURE_NAMES = [f"f{i}" for i in range(len(FEATURE_WEIGHTS))]
 N_FEATURES = len(FEATURE_WEIGHTS)

@@ -14,15 +14,18 @@ written with DataFrame operations:
   rounds, so Spark reuses the compiled code and the lineage never grows.
 * **seeding** (k-means++, weight = distance to the nearest chosen centre):
   a weighted pick by exponential race, ``argmin(-ln(u) / (w·d))`` with
-  ``u`` a hash of the point, the run and the seed, so the pick does not
-  depend on partitioning. One grouped aggregate per centre for all runs.
+  ``u`` from the md5 of the point (features in millionths), the run, the
+  centre's number and the seed, so the pick does not depend on partitioning
+  and any engine can repeat it. One grouped aggregate per centre for all runs.
 * **Lloyd rounds**: nearest centre by L∞ (ties to the lower index), means
   by one aggregate per round over ``(run, cluster)`` for all unconverged
   runs at once: partial aggregation leaves at most ``runs × k`` rows per
   task to shuffle. An empty cluster keeps its centre; a run stops when no
   centre coordinate moves more than ``tol`` or after ``max_iter`` rounds.
 * **restarts**: keep the run with the lowest inertia (mean distance to the
-  nearest centre), ties to the lower run number.
+  nearest centre) to nine places, ties to the lower run number. Runs that
+  reach the same centres differ in the last bits only, by the order of the
+  sums; rounded, they tie, and the choice does not depend on partitioning.
 
 Only ``runs × k × 15`` doubles ever reach the driver.
 """
@@ -40,7 +43,9 @@ from ..functions.features import linf_to_point
 
 FEATS = lexicon.FEATURE_NAMES
 DIM = len(FEATS)
-_TWO53 = 2**53
+UNIT = 2.0**52  # 13 hexadecimal digits of a md5
+GRAIN = 1e6  # a point's features are hashed in millionths
+INERTIA_PLACES = 9
 MAX_RUNS = 1000  # each point is scored once per run: keep the constant small
 MAX_K = 256
 
@@ -186,7 +191,7 @@ class _Loop:
     def seed(self, runs: int, seed: int) -> dict[int, list[list[float]]]:
         """k-means++ picks for all runs: k grouped aggregates."""
         vec = "array(" + ", ".join(f"p.f{i}" for i in range(DIM)) + ")"
-        hvec = ", ".join(f"p.f{i}" for i in range(DIM))
+        point = ", ".join(f"CAST(floor(p.f{i} * {_num(GRAIN)} + 0.5D) AS BIGINT)" for i in range(DIM))
         chosen: dict[int, list[list[float]]] = {r: [] for r in range(runs)}
         for j in range(self.k):
             if j == 0:
@@ -196,8 +201,9 @@ class _Loop:
                 near = _dist_sql(0) if j == 1 else "least(" + ", ".join(_dist_sql(i) for i in range(j)) + ")"
                 weight = f"p.w * {near}"
                 rel = self.centres_sql(chosen, k=j)
-            u = f"((pmod(xxhash64({hvec}, c.run, {j}, {int(seed)}), {_TWO53}) + 1.0D) / {float(_TWO53)!r}D)"
-            key = f"CASE WHEN {weight} > 0 THEN named_struct('k', -ln({u}) / ({weight}), 't', xxhash64({hvec})) END"
+            drawn = f"conv(substr(md5(concat_ws(',', {point}, c.run, {j}, {int(seed)})), 1, 13), 16, 10)"
+            u = f"((CAST({drawn} AS BIGINT) + 1.0D) / {_num(UNIT)})"
+            key = f"CASE WHEN {weight} > 0 THEN named_struct('k', -ln({u}) / ({weight}), 't', {vec}) END"
             sql = (
                 f"SELECT c.run AS run, min_by({vec}, {key}) AS pick "
                 f"FROM {self.pv} p {rel} GROUP BY 1"
@@ -288,7 +294,7 @@ def fit_points(
         scores, stats = loop.final(current)
     finally:
         loop.close()
-    best = min(range(runs), key=lambda r: (scores[r], r))
+    best = min(range(runs), key=lambda r: (round(scores[r], INERTIA_PLACES), r))
     return KMeansResult(
         centroids=current[best],
         inertia=scores[best],

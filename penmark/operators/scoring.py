@@ -55,13 +55,16 @@ def score(df: DataFrame, model, text: str = "text", keep: list[str] | None = Non
           with_metrics: bool = False) -> DataFrame:
     """Texts in, predictions out: metrics → features → shares → verdict.
 
-    ``model`` is a :class:`penmark.sources.model_io.Model`. ``keep`` lists
+    ``model`` is a :class:`penmark.sources.model_io.Model`; its own weights and
+    phrase lists are used, and a model trained with other built-in lists than
+    these is refused. ``keep`` lists
     pass-through columns (for example the key). With ``with_metrics`` the
     fifteen metrics come along as a nested struct ``metrics``."""
     keep = list(keep or [c for c in df.columns if c != text])
-    m = with_text_metrics(df.select(*keep, text), text)
+    model.check_lexicons()
+    m = with_text_metrics(df.select(*keep, text), text, lexicons=model.lexicons)
     metric_struct = F.struct(*[F.col(c) for c in lexicon.METRIC_ORDER]).alias("metrics")
-    feats = m.select(*keep, *feature_columns(), metric_struct)
+    feats = m.select(*keep, *feature_columns(model.weights), metric_struct)
     scored = point_confidence(feats, model.centroids)
     cols = [*keep, *chance_columns(model.ai_cluster)]
     if with_metrics:

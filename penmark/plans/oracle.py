@@ -13,7 +13,7 @@ from ..functions.metrics import METRICS, metric_steps, normalize_steps
 from ..functions.normalize import NON_BLANK, SENTENCE_SPLIT, WORD_SPLIT
 from ..functions.phrases import family_pattern
 from .marked import marked_sql
-from .queries import FAMILY_ORDER, LLOYD_ROUNDS, MD_PARTS, R, REPORT_DATE
+from .queries import FAMILY_ORDER, LLOYD_ROUNDS, MD_PARTS, OWN_LEXICONS, OWN_WEIGHTS, R, REPORT_DATE
 
 FEATS = lexicon.FEATURE_NAMES
 K = len(FEATS)
@@ -26,9 +26,9 @@ def _norm() -> str:
     return S.sql_steps(MARKED, normalize_steps("text"), "SELECT * FROM {src}", "n")
 
 
-def _metrics(source: str = MARKED, text: str = "text", keep=("doc_id", "lang", "source")) -> str:
+def _metrics(source: str = MARKED, text: str = "text", keep=("doc_id", "lang", "source"), lexicons=None) -> str:
     cols = ", ".join(list(keep) + METRICS + ["sentence_count"])
-    return S.sql_steps(source, metric_steps(text), f"SELECT {cols} FROM {{src}}", "m")
+    return S.sql_steps(source, metric_steps(text, lexicons=lexicons), f"SELECT {cols} FROM {{src}}", "m")
 
 
 def _round(x: str) -> str:
@@ -39,9 +39,11 @@ def _metrics_out(key: str) -> str:
     return ", ".join([key] + [f"{_round(m)} AS {m}" for m in METRICS] + ["CAST(sentence_count AS BIGINT) AS sentence_count"])
 
 
-def _feats_cte() -> str:
-    fs = ", ".join(f"{m} * {float(w)!r} AS f{i}" for i, (m, w) in enumerate(lexicon.FEATURE_WEIGHTS))
-    return f"mt AS ({_metrics()}),\nfeats AS (SELECT doc_id, lang, source, emoji_rate, {fs} FROM mt)"
+def _feats_cte(source: str = MARKED, keep=("doc_id", "lang", "source"), weights=None, lexicons=None) -> str:
+    named = [(m, (weights or {}).get(m, w)) for m, w in lexicon.FEATURE_WEIGHTS]
+    fs = ", ".join(f"{m} * {float(w)!r} AS f{i}" for i, (m, w) in enumerate(named))
+    cols = ", ".join(keep)
+    return f"mt AS ({_metrics(source, 'text', keep, lexicons)}),\nfeats AS (SELECT {cols}, emoji_rate, {fs} FROM mt)"
 
 
 def _dist(prefix: str) -> str:
@@ -66,10 +68,60 @@ def _lloyd_ctes(rounds: int = LLOYD_ROUNDS) -> str:
             f"c{t} AS (SELECT {keep_a}, {keep_b}, coalesce(u0.n, 0) AS n0, coalesce(u1.n, 0) AS n1 "
             f"FROM c{t - 1} c LEFT JOIN u{t} u0 ON u0.cluster = 0 LEFT JOIN u{t} u1 ON u1.cluster = 1)"
         )
+    return "WITH " + ",\n".join(ctes + _scored_ctes(f"c{rounds}")) + "\n"
+
+
+def _fit_ctes(feats: str) -> str:
+    """feats, the distinct points, k-means++ seeds, Lloyd rounds of all runs up
+    to their convergence, the best run, and what :func:`_scored_ctes` adds."""
+    fs = ", ".join(f"f{i}" for i in range(K))
+    point = ", ".join(f"CAST(floor(f{i} * 1000000.0 + 0.5) AS BIGINT)" for i in range(K))
+    ab = [f"{p}{i}" for p in "ab" for i in range(K)]
+
+    def picks(j: int, weight: str, source: str) -> str:
+        digits = f"substr(md5(concat_ws(',', h, run, {j}, {lexicon.DEFAULT_SEED})), 1, 13)"
+        u = f"(CAST(CAST('0x' || {digits} AS BIGINT) + 1 AS DOUBLE) / CAST({2**52} AS DOUBLE))"
+        return (
+            f"(SELECT * FROM (SELECT run, {fs}, row_number() OVER (PARTITION BY run ORDER BY -ln({u}) / ({weight}), {fs}) AS rn "
+            f"FROM {source} WHERE {weight} > 0) WHERE rn = 1)"
+        )
+
+    def mean(cluster: int, i: int, old: str) -> str:
+        among = f"FILTER (WHERE cl = {cluster})"
+        return f"coalesce(sum(f{i} * w) {among} / sum(w) {among}, {old}{i})"
+
+    moved = ", ".join([f"abs(x{i} - a{i})" for i in range(K)] + [f"abs(y{i} - b{i})" for i in range(K)])
+    means = ", ".join([f"{mean(0, i, 'a')} AS x{i}" for i in range(K)] + [f"{mean(1, i, 'b')} AS y{i}" for i in range(K)])
+    xy = ", ".join([f"x{i}" for i in range(K)] + [f"y{i}" for i in range(K)])
+    ctes = [
+        feats,
+        f"pts AS MATERIALIZED (SELECT {fs}, CAST(count(*) AS DOUBLE) AS w, concat_ws(',', {point}) AS h FROM feats GROUP BY {fs})",
+        f"s0 AS (SELECT run, " + ", ".join(f"f{i} AS a{i}" for i in range(K))
+        + f" FROM {picks(0, 'w', f'pts CROSS JOIN (SELECT unnest(range({lexicon.DEFAULT_RUNS})) AS run)')})",
+        # a run without a second point repeats its first
+        f"s1 AS (SELECT c.*, " + ", ".join(f"coalesce(f.f{i}, c.a{i}) AS b{i}" for i in range(K))
+        + f" FROM s0 c LEFT JOIN {picks(1, 'w * ' + _dist('a'), 'pts f CROSS JOIN s0 c')} f ON f.run = c.run)",
+        f"it AS (SELECT run, 0 AS n, false AS done, {', '.join(ab)} FROM s1 UNION ALL "
+        f"SELECT run, n + 1, greatest({moved}) < {lexicon.DEFAULT_TOL!r}, {xy} FROM ("
+        f"SELECT run, n, {', '.join(ab)}, {means} FROM ("
+        f"SELECT c.*, f.*, CASE WHEN {_dist('a')} <= {_dist('b')} THEN 0 ELSE 1 END AS cl FROM it c CROSS JOIN pts f "
+        f"WHERE NOT c.done AND c.n < {lexicon.DEFAULT_MAX_ITER}) GROUP BY run, n, {', '.join(ab)}))",
+        "last AS (SELECT * FROM it QUALIFY row_number() OVER (PARTITION BY run ORDER BY n DESC) = 1)",
+        f"spread AS (SELECT c.run, sum(least({_dist('a')}, {_dist('b')}) * f.w) / sum(f.w) AS inertia "
+        "FROM last c CROSS JOIN pts f GROUP BY c.run)",
+        "best AS (SELECT last.*, inertia FROM last JOIN spread USING (run) ORDER BY round(inertia, 9), run LIMIT 1)",
+    ]
+    return "WITH RECURSIVE " + ",\n".join(ctes + _scored_ctes("best")) + "\n"
+
+
+def _scored_ctes(centres: str) -> list[str]:
+    """lf (distances and cluster), st, ai, and the scores, at the centres of
+    a one-row table."""
+    ctes = []
     ctes.append(
         f"lf AS (SELECT f.*, {_dist('a')} AS d0, {_dist('b')} AS d1, "
         f"CASE WHEN {_dist('a')} <= {_dist('b')} THEN 0 ELSE 1 END AS cluster "
-        f"FROM feats f CROSS JOIN c{rounds} c)"
+        f"FROM feats f CROSS JOIN {centres} c)"
     )
     ctes.append(
         "st AS (SELECT sp.cluster, coalesce(count(lf.cluster), 0) AS n, coalesce(sum(lf.emoji_rate), 0.0) AS emoji_sum "
@@ -93,7 +145,7 @@ def _lloyd_ctes(rounds: int = LLOYD_ROUNDS) -> str:
         "scored AS (SELECT sc3.*, 100.0 - chance_ai AS chance_human, "
         "CASE WHEN chance_ai >= 100.0 - chance_ai THEN 'AI' ELSE 'Human' END AS verdict FROM sc3)"
     )
-    return "WITH " + ",\n".join(ctes) + "\n"
+    return ctes
 
 
 def _js_fixed2(v: str) -> str:
@@ -259,6 +311,32 @@ def oracle() -> dict[str, str]:
         "format('{:,}', ai) AS ai_text, printf('%.2f', round(human * 100.0 / (ai + human), 2)) AS human_pct_text, "
         "printf('%.2f', round(ai * 100.0 / (ai + human), 2)) AS ai_pct_text FROM cnt"
     )
+    fitted = _fit_ctes(_feats_cte())
+    out["kmeans_fit"] = fitted + " UNION ALL ".join(
+        f"SELECT CAST({c} AS BIGINT) AS cluster, ai_cluster = {c} AS is_ai, "
+        + ", ".join(f"{_round(f'{p}{i}')} AS c{i}" for i in range(K))
+        + f", {_round('inertia')} AS inertia, CAST(n AS BIGINT) AS n_iter, done AS converged, CAST(run AS BIGINT) AS run "
+        "FROM best CROSS JOIN ai"
+        for c, p in enumerate("ab")
+    )
+    out["score_fitted"] = fitted + score_sel
+    out["score_own_weights"] = _fit_ctes(_feats_cte(weights=OWN_WEIGHTS, lexicons=OWN_LEXICONS)) + score_sel
+    line_cols = (
+        f"strftime(DATE {q(REPORT_DATE)}, '%b %-d, %Y') AS date, format('{{:,}}', human) AS human, "
+        "format('{:,}', ai) AS ai, printf('%.2f', round(human * 100.0 / (ai + human), 2)) AS human_pct, "
+        "printf('%.2f', round(ai * 100.0 / (ai + human), 2)) AS ai_pct, CAST({n_null} AS BIGINT) AS n_null"
+    )
+    out["training_report"] = (
+        fitted.rstrip() + ",\n" + counts + "\nSELECT "
+        + line_cols.replace("{n_null}", f"(SELECT count(*) FROM {MARKED} WHERE text IS NULL)") + " FROM cnt"
+    )
+    feeds_src = (
+        "(SELECT text FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations) WHERE text IS NOT NULL) AS un"
+    )
+    out["train_from_feeds"] = (
+        _fit_ctes(_feats_cte(feeds_src, ("text",))).rstrip() + ",\n" + counts + "\nSELECT CAST(ai_cluster AS BIGINT) AS ai_cluster, "
+        + line_cols.replace("{n_null}", "0") + ", CAST((SELECT n FROM best) AS BIGINT) AS rounds FROM cnt"
+    )
     by = (
         "SELECT {g}, CAST(sum(CASE WHEN lf.cluster = ai.ai_cluster THEN 1 ELSE 0 END) AS BIGINT) AS ai, "
         "CAST(sum(CASE WHEN lf.cluster <> ai.ai_cluster THEN 1 ELSE 0 END) AS BIGINT) AS human, "

@@ -11,11 +11,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
-from ..functions.features import feature_columns
+from ..functions.features import feature_columns, resolve_weights
 from ..functions.metrics import with_text_metrics
 from ..operators import kmeans, report
 from ..session import materialize
@@ -29,12 +29,15 @@ class TrainResult:
     points: DataFrame  # compact (f0..f14, w), checkpointed
     stats: list  # per-cluster (cluster, n, emoji_sum, emoji_mean)
     fit: kmeans.KMeansResult
+    n_null: int = 0  # rows left out, their text being null
 
 
-def feature_table(corpus: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+def feature_table(corpus: DataFrame, keys: list[str], text: str = "text",
+                  weights: dict[str, float] | list[float] | None = None,
+                  lexicons: dict[str, list[str]] | None = None) -> DataFrame:
     """(keys, emoji_rate, f0..f14) for every non-null text."""
-    m = with_text_metrics(corpus.select(*keys, text).where(F.col(text).isNotNull()), text)
-    return m.select(*keys, "emoji_rate", *feature_columns())
+    m = with_text_metrics(corpus.select(*keys, text).where(F.col(text).isNotNull()), text, lexicons=lexicons)
+    return m.select(*keys, "emoji_rate", *feature_columns(weights))
 
 
 def name_clusters(points: DataFrame, centroids: list[list[float]]) -> tuple[int, list]:
@@ -63,8 +66,18 @@ def train(
     max_iter: int = lexicon.DEFAULT_MAX_ITER,
     tol: float = lexicon.DEFAULT_TOL,
     seed: int = lexicon.DEFAULT_SEED,
+    weights: dict[str, float] | list[float] | None = None,
+    lexicons: dict[str, list[str]] | None = None,
 ) -> TrainResult:
-    feats = materialize(feature_table(corpus, keys, text))
+    """Features, fit and naming. Rows without a text are left out and counted
+    in the pass that reads them. ``weights`` (by metric, or all fifteen) and
+    ``lexicons`` (by phrase family) replace the fixed ones and stay with the
+    model, which scores by them."""
+    weights = resolve_weights(weights)
+    seen = Observation()
+    counted = corpus.select(*keys, text).observe(seen, F.count_if(F.col(text).isNull()).alias("n_null"))
+    feats = materialize(feature_table(counted, keys, text, weights, lexicons))
+    n_null = int(seen.get["n_null"])
     # The compact points are written once (their partitions then follow file
     # size, not the shuffle setting: a cached aggregate keeps all of its
     # shuffle partitions), and the copy read back is kept in executor memory
@@ -74,17 +87,22 @@ def train(
         res = kmeans.fit_points(points, k, runs, max_iter, tol, seed)  # raises on an empty corpus
     finally:
         points.unpersist()
-    # naming from the fit's final pass: f0 = emoji_rate × its weight (2, an
-    # exact scaling), so the mean raw rate per cluster needs no extra job
-    w0 = lexicon.FEATURE_WEIGHTS[0][1]
-    stats = [
-        {"cluster": st["cluster"], "n": int(st["n"]), "emoji_sum": st["f0_sum"] / w0,
-         "emoji_mean": (st["f0_sum"] / w0) / max(int(st["n"]), 1)}
-        for st in res.cluster_stats
-    ]
+    w0 = weights[0]
+    if w0 == lexicon.FEATURE_WEIGHTS[0][1]:
+        # naming from the fit's final pass: f0 = emoji_rate × its weight (2, an
+        # exact scaling), so the mean raw rate per cluster needs no extra job
+        stats = [
+            {"cluster": st["cluster"], "n": int(st["n"]), "emoji_sum": st["f0_sum"] / w0,
+             "emoji_mean": (st["f0_sum"] / w0) / max(int(st["n"]), 1)}
+            for st in res.cluster_stats
+        ]
+    else:  # another weight, perhaps 0: from the raw rates, one small aggregate
+        labelled = kmeans.predict(feats, res.centroids)
+        stats = [r.asDict() for r in report.cluster_emoji_stats(labelled, k).orderBy("cluster").collect()]
     ai = report.ai_cluster_of(stats)
-    model = Model(res.centroids, ai, res.inertia, res.n_iter, res.converged, res.run).validate()
-    return TrainResult(model, feats, points, stats, res)
+    model = Model(res.centroids, ai, res.inertia, res.n_iter, res.converged, res.run,
+                  weights, lexicons or None, lexicon.digest(lexicons)).validate()
+    return TrainResult(model, feats, points, stats, res, n_null)
 
 
 def in_sample(result: TrainResult) -> DataFrame:
@@ -93,8 +111,9 @@ def in_sample(result: TrainResult) -> DataFrame:
 
 
 def training_report(result: TrainResult, date: str | None = None) -> DataFrame:
+    """The published line; ``n_null`` counts the rows that training left out."""
     counts = report.cluster_counts(in_sample(result), result.model.ai_cluster, len(result.model.centroids))
-    return report.corpus_report(counts, date)
+    return report.corpus_report(counts.withColumn("n_null", F.col("n_null") + F.lit(result.n_null)), date)
 
 
 def fit_pipeline(corpus: DataFrame, keys: list[str], text: str = "text", date: str | None = None, **fit_args):

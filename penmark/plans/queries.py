@@ -3,9 +3,9 @@
 Every query reads the given tables (whole) or data Spark derives from them.
 Text-metric queries run on the marked corpus (``documents`` plus markers,
 see :mod:`penmark.plans.marked`), because on plain ``documents`` nearly
-every metric is zero. Clustering queries that need a SQL twin use a model
-that SQL can also derive: three Lloyd rounds from the per-feature minimum
-and maximum vectors, with the AI cluster named by mean emoji rate.
+every metric is zero. Most clustering queries use a model of three Lloyd rounds from the
+per-feature minimum and maximum vectors, with the AI cluster named by mean
+emoji rate; ``kmeans_fit`` and those after it use the whole fit.
 Fractional outputs are rounded to 6 places and integer outputs are BIGINT
 on both sides.
 """
@@ -32,13 +32,16 @@ from ..plans.marked import marked_documents
 from ..session import ensure_checkpoint_dir, materialize
 from ..sources import corpus as corpus_src
 from ..sources import paged_json
-from ..sources.model_io import Model, model_table
+from ..sources.model_io import Model, load_model, model_table, save_model
 from ..streaming.score_stream import start_scoring
 
 FEATS = lexicon.FEATURE_NAMES
 R = 6
 REPORT_DATE = "2025-08-09"
 LLOYD_ROUNDS = 3
+# a user's own weights (of some metrics) and phrases (of one family)
+OWN_WEIGHTS = {"emoji_rate": 3.0, "labels": 4.0, "irregular_dashes": 2.5}
+OWN_LEXICONS = {"devlog": ["devlog", "today, we", "we fixed", "wip"]}
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -352,7 +355,7 @@ def q_corpus_union(spark, sf):
     return u.select("kind", _long(F.length("text")).alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
-# ------------------------------------------------------------- rows-only ops
+# -------------------------------------------------- fit, stream, landed files
 def _scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
@@ -368,8 +371,16 @@ def _trained(spark, sf):
         return _train_cache[key]
 
 
+def _rounded_model(df: DataFrame) -> DataFrame:
+    return df.select(
+        _long("cluster").alias("cluster"), "is_ai", *[_r(f"c{i}").alias(f"c{i}") for i in range(len(FEATS))],
+        _r("inertia").alias("inertia"), _long("n_iter").alias("n_iter"), "converged", _long("run").alias("run"),
+    )
+
+
 def q_kmeans_fit(spark, sf):
-    return model_table(spark, _trained(spark, sf).model)
+    """The model table of the whole fit, seeding and restarts included."""
+    return _rounded_model(model_table(spark, _trained(spark, sf).model))
 
 
 def q_score_fitted(spark, sf):
@@ -378,6 +389,17 @@ def q_score_fitted(spark, sf):
     return sc.select("doc_id", _r("chance_ai").alias("chance_ai"), _r("chance_human").alias("chance_human"), "verdict")
 
 
+def q_score_own_weights(spark, sf):
+    """Train with own weights and phrases, save the model, load it, and score
+    the texts with what the table holds."""
+    docs = _marked(spark, sf)
+    model = pipeline.train(docs, ["doc_id"], weights=OWN_WEIGHTS, lexicons=OWN_LEXICONS).model
+    path = _scratch(spark, "own-model")
+    save_model(model, spark, path)
+    sc = scoring.score(docs, load_model(spark, path), keep=["doc_id"])
+    return sc.select("doc_id", _r("chance_ai").alias("chance_ai"), _r("chance_human").alias("chance_human"), "verdict")
+
+
 def q_training_report(spark, sf):
     return pipeline.training_report(_trained(spark, sf), REPORT_DATE)
 
@@ -501,9 +523,9 @@ QUERIES: dict[str, Query] = {
     "cluster_samples": q_cluster_samples,
     "corpus_union": q_corpus_union,
     "paged_json": q_paged_json,
-    # rows-only (no SQL twin): iterative fit, stream, landed-file audit
     "kmeans_fit": q_kmeans_fit,
     "score_fitted": q_score_fitted,
+    "score_own_weights": q_score_own_weights,
     "training_report": q_training_report,
     "score_stream": q_score_stream,
     "train_from_feeds": q_train_from_feeds,
