@@ -202,6 +202,8 @@ def oracle() -> dict[str, str]:
         for f in FAMILY_ORDER
     )
     out["phrase_hits"] = f"WITH nt AS ({norm}) SELECT family, phrase, count(*) AS n FROM ({hits}) h GROUP BY family, phrase"
+    out["lexicon_join_counts"] = out["phrase_family_counts"]
+    out["lexicon_join_totals"] = out["phrase_hits"]
     out["char_marks"] = (
         f"WITH m AS ({_metrics()}) SELECT doc_id, CAST(irregular_dashes AS BIGINT) AS dashes, "
         "CAST(irregular_arrows AS BIGINT) AS arrows, CAST(irregular_quotations AS BIGINT) AS quotes, "

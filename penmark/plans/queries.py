@@ -25,7 +25,7 @@ from ..functions import spec as S
 from ..functions.metrics import METRICS, normalize_steps, with_text_metrics
 from ..functions.normalize import graphemes
 from ..functions.phrases import family_pattern
-from ..operators import kmeans, report, scoring, text_ops
+from ..operators import kmeans, lexicon_join, report, scoring, text_ops
 from ..operators.text_ops import FAMILY_ORDER, MD_PARTS  # noqa: F401  (re-exported for the twins)
 from ..plans import pipeline
 from ..plans.marked import marked_documents
@@ -149,6 +149,22 @@ def q_phrase_hits(spark, sf):
     return text_ops.phrase_hits(_marked(spark, sf))
 
 
+def _builtin_lexicon(spark) -> DataFrame:
+    rows = [(f, p) for f in FAMILY_ORDER for p in lexicon.FAMILIES[f]]
+    return spark.createDataFrame(rows, "family string, phrase string")
+
+
+def q_lexicon_join_counts(spark, sf):
+    """The counts of the phrase families by dictionary join, as for lexicons
+    that are too large for a regex."""
+    out = lexicon_join.lexicon_counts(_marked(spark, sf), ["doc_id"], _builtin_lexicon(spark))
+    return out.select("doc_id", *[F.coalesce(F.col("counts")[f], F.lit(0).cast("long")).alias(f) for f in FAMILY_ORDER])
+
+
+def q_lexicon_join_totals(spark, sf):
+    return lexicon_join.lexicon_totals(_marked(spark, sf), _builtin_lexicon(spark))
+
+
 def q_char_marks(spark, sf):
     df = _metrics(spark, sf, only=["irregular_dashes", "irregular_arrows", "irregular_quotations", "irregular_ellipsis"])
     return df.select(
@@ -491,6 +507,8 @@ QUERIES: dict[str, Query] = {
     "buzzword_rate": q_buzzword_rate,
     "phrase_family_counts": q_phrase_family_counts,
     "phrase_hits": q_phrase_hits,
+    "lexicon_join_counts": q_lexicon_join_counts,
+    "lexicon_join_totals": q_lexicon_join_totals,
     "char_marks": q_char_marks,
     "html_escapes": q_html_escapes,
     "markdown_markers": q_markdown_markers,
