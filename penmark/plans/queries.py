@@ -468,7 +468,7 @@ def q_paged_json(spark, sf):
         return corpus_src.corpus_union(_feeds(spark, dev, proj))
 
     path = os.path.join(os.path.dirname(dev), "corpus")
-    u = corpus_src.corpus_or_build(spark, path, build)
+    u = corpus_src.corpus_or_build(spark, path, build, corpus_src.fingerprint(spark, dev, proj))
     return u.select("kind", _long(F.length("text")).alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
@@ -481,7 +481,8 @@ def q_train_from_feeds(spark, sf):
         return corpus_src.corpus_union(_feeds(spark, dev, proj)).select(
             F.xxhash64("kind", "text").alias("row_key"), "kind", "text")
 
-    corpus = corpus_src.corpus_or_build(spark, os.path.join(os.path.dirname(dev), "corpus_keyed"), build)
+    path = os.path.join(os.path.dirname(dev), "corpus_keyed")
+    corpus = corpus_src.corpus_or_build(spark, path, build, corpus_src.fingerprint(spark, dev, proj))
     res = pipeline.train(corpus, ["row_key", "kind"])
     rep = pipeline.training_report(res, REPORT_DATE)
     return rep.select(F.lit(res.model.ai_cluster).cast("long").alias("ai_cluster"), "*",

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
+import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +40,6 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def fingerprint(spark: SparkSession, *paths: str) -> str:
     """A short key that changes when any of the given files or folders
     changes (length and modification time, via the Hadoop file system)."""
-    import hashlib
-
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     parts = []
@@ -54,11 +56,61 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return _exists(spark, path.rstrip("/") + "/_SUCCESS")
 
 
-def corpus_or_build(spark: SparkSession, path: str, builder: Callable[[], DataFrame]) -> DataFrame:
-    """Read the corpus table at ``path`` if a finished write is there, else
-    build it, write it and read it back. A folder left by a failed job (no
-    ``_SUCCESS`` marker) is replaced, never read."""
-    if not is_complete(spark, path):
-        mode = "overwrite" if _exists(spark, path) else "errorifexists"
-        builder().write.mode(mode).parquet(path)
-    return spark.read.parquet(path)
+def _published(spark: SparkSession, manifest: str) -> str | None:
+    """The data folder that a manifest names, or None where there is none."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(manifest)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["data"]
+    finally:
+        stream.close()
+
+
+def _publish(spark: SparkSession, manifest: str, content: dict) -> bool:
+    """Write the manifest aside and rename it into place; False where another
+    builder's is there already."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    fs_api = jvm.org.apache.hadoop.fs
+    aside, place = fs_api.Path(f"{manifest}.{uuid.uuid4().hex}"), fs_api.Path(manifest)
+    fs = place.getFileSystem(conf)
+    out = fs.create(aside, False)
+    try:
+        out.write(bytearray(json.dumps(content).encode()))
+    finally:
+        out.close()
+    files = fs_api.FileContext.getFileContext(fs.getUri(), conf)
+    no_options = gateway.new_array(getattr(fs_api, "Options$Rename"), 0)  # none: an existing file is kept
+    try:
+        files.rename(fs.makeQualified(aside), fs.makeQualified(place), no_options)
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" not in e.java_exception.getClass().getName():
+            raise
+        fs.delete(aside, False)
+        return False
+    return True
+
+
+def corpus_or_build(spark: SparkSession, path: str, builder: Callable[[], DataFrame], source: str = "") -> DataFrame:
+    """The corpus table under ``path`` that was built of ``source`` (a key such
+    as :func:`fingerprint` gives), built and written if there is none.
+
+    Each build writes a data folder of its own; when that is finished, a
+    manifest named by the source is renamed into place, which never replaces
+    one. So a changed source gives another manifest and a new table, a build
+    that failed is never read, and of two builders at once the first to
+    finish is read by both. A table that lost the race, or of an older source, is
+    left as it is: a job may still be reading it."""
+    base = path.rstrip("/")
+    manifest = f"{base}/manifest-{hashlib.sha256(source.encode()).hexdigest()[:16]}.json"
+    data = _published(spark, manifest)
+    if data is None:
+        mine = f"data-{uuid.uuid4().hex}"
+        builder().write.parquet(f"{base}/{mine}")
+        _publish(spark, manifest, {"source": source, "data": mine})
+        data = _published(spark, manifest)
+    return spark.read.parquet(f"{base}/{data}")

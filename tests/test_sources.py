@@ -90,6 +90,45 @@ def test_cache_aside(spark, tmpdir_fresh):
     assert len(calls) == 1
 
 
+def _one(spark, *texts):
+    return spark.createDataFrame([(t,) for t in texts], "text string")
+
+
+def test_corpus_follows_its_source(spark, tmpdir_fresh):
+    src, p = os.path.join(tmpdir_fresh, "src"), os.path.join(tmpdir_fresh, "corpus")
+    _one(spark, "a").write.parquet(src)
+    first = corpus.corpus_or_build(spark, p, lambda: spark.read.parquet(src), corpus.fingerprint(spark, src))
+    _one(spark, "b", "c").write.mode("append").parquet(src)
+    second = corpus.corpus_or_build(spark, p, lambda: spark.read.parquet(src), corpus.fingerprint(spark, src))
+    assert sorted(r.text for r in second.collect()) == ["a", "b", "c"]
+    assert [r.text for r in first.collect()] == ["a"]  # a reader of the old table isn't disturbed
+
+
+def test_two_builders_read_one_table(spark, tmpdir_fresh):
+    p = os.path.join(tmpdir_fresh, "corpus")
+
+    def slower():  # while this one builds, another finishes
+        other = corpus.corpus_or_build(spark, p, lambda: _one(spark, "other"), "s")
+        assert [r.text for r in other.collect()] == ["other"]
+        return _one(spark, "mine")
+
+    got = corpus.corpus_or_build(spark, p, slower, "s")
+    assert [r.text for r in got.collect()] == ["other"]
+    assert [f for f in os.listdir(p) if f.startswith("manifest-") and not f.endswith(".json")] == []
+
+
+def test_a_failed_build_is_never_read(spark, tmpdir_fresh):
+    p = os.path.join(tmpdir_fresh, "corpus")
+
+    def broken():
+        rows = _one(spark, "a", "b").repartition(2)
+        return rows.selectExpr("if(text = 'b', raise_error('lost'), text) AS text")
+
+    with pytest.raises(Exception):
+        corpus.corpus_or_build(spark, p, broken, "s").collect()
+    assert [r.text for r in corpus.corpus_or_build(spark, p, lambda: _one(spark, "whole"), "s").collect()] == ["whole"]
+
+
 @pytest.mark.parametrize("body", ['{"pagination": {"pages": 2, "count": 1}}', '{"devlogs": [{"text": "b"}]}', '{"devlogs": [{"text": "b"}',
                                   '{"devlogs": [{"text": null}], "pagination": {"pages": 2, "count": 1}}'])
 def test_page_that_does_not_decode(spark, tmpdir_fresh, body):
