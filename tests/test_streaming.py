@@ -51,3 +51,20 @@ def test_restart_from_checkpoint_is_exactly_once(spark, tmpdir_fresh):
     assert first == docs.where(F.col("doc_id") < 100).count()
     assert out.count() == docs.count()
     assert out.select("doc_id").distinct().count() == docs.count()
+
+
+def test_null_texts_are_counted_per_batch(spark, tmpdir_fresh):
+    """Each micro-batch reports its rows without a verdict, and the batches add up to the sink."""
+    from penmark.streaming.score_stream import batch_counts, sink_counts
+
+    src, sink = os.path.join(tmpdir_fresh, "src"), os.path.join(tmpdir_fresh, "sink")
+    schema = "doc_id long, text string"
+    for i in range(3):
+        rows = [(3 * i, "plain"), (3 * i + 1, None), (3 * i + 2, "🚀🚀🚀 – – –")]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = start_scoring(stream, Model([[0.0] * 15, [50.0] * 15], 1), sink, keep=["doc_id"])
+    q.awaitTermination()
+    per = [c for c in map(batch_counts, q.recentProgress) if c]
+    assert len(per) == 3 and all(c["total"] == 3 and c["n_null"] == 1 and c["ai"] + c["human"] == 2 for c in per)
+    assert {k: sum(c[k] for c in per) for k in per[0]} == sink_counts(spark, sink)
