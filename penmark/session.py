@@ -65,15 +65,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Cut lineage reliably: write the rows once as a Parquet table in the
     shared checkpoint folder and read it back (one computation; a lost
-    executor re-reads files instead of re-running the plan). Without a
-    shared folder, keep a spill-safe persisted copy instead."""
-    d = checkpoint_dir(df.sparkSession)
-    if d:
-        path = os.path.join(d, f"{name}-{uuid.uuid4().hex}")
-        df.write.parquet(path)
-        return df.sparkSession.read.parquet(path)
-    from pyspark import StorageLevel
-
-    out = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out.count()
-    return out
+    executor re-reads files instead of re-running the plan). On a cluster the
+    folder must be set (see :func:`ensure_checkpoint_dir`)."""
+    path = os.path.join(ensure_checkpoint_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
