@@ -20,7 +20,8 @@ Defined cases: null texts and roles are empty; tied turns are ordered by role
 and text; repeated rows are turns of their own; null conversation ids form
 one conversation; an empty table gives an empty result; other columns are not
 read. The prefix sums run in blocks of ``BLOCK`` turn numbers, so a very long
-conversation is split over tasks.
+conversation is split over tasks; the turns with their places are written once
+to the shared folder.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 BOS, EOS, OPEN, CLOSE = "<s>", "</s>", "[INST]", "[/INST]"
 PIECE = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]"
 TURN_COST = 4
@@ -83,7 +86,8 @@ def chat_windows(conversations: DataFrame, budget: int = 1024, history: int = 25
     step = (budget - history) // 2
     if not 0 <= history <= step:
         raise ValueError("history must be at most a third of the budget")
-    turns = _turns(conversations, step)
+    # read four times below; the prefix sums are computed once
+    turns = written(_turns(conversations, step), "chat-turns")
     part = ["ord", "piece", "head"]
     own = turns.select("conv_id", "window", F.lit(False).alias("again"), *part, "learn")
 
