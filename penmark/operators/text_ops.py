@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as md
 from ..functions import spec as S
+from ..functions.blocks import COUNTS, block_counts
 from ..functions.metrics import normalize_steps
 from ..functions.normalize import graphemes, split_lines, split_sentences, split_words
 from ..functions.phrases import family_pattern, reduce_family, trie_regex
@@ -77,3 +78,10 @@ def markdown_breakdown(df: DataFrame, keys: list[str], text: str = "text") -> Da
     """(keys, md_<construct>..., md_total): markup counts per construct."""
     out = S.apply_steps(df, md.markdown_steps(text))
     return out.select(*keys, *[F.col(f"_md_{p}").cast("long").alias(f"md_{p}") for p in MD_PARTS])
+
+
+def markup_events(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, fences, indented, quotes, ..., total): markup events with block
+    state (see ``functions.blocks``). All null for a null text."""
+    out = df.select(*keys, block_counts(F.col(text)).alias("_b"))
+    return out.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in [*COUNTS, "bullet", "total"]])

@@ -12,6 +12,7 @@ from ..functions import spec as S
 from ..functions.metrics import METRICS, metric_steps, normalize_steps
 from ..functions.normalize import NON_BLANK, SENTENCE_SPLIT, WORD_SPLIT
 from ..functions.phrases import family_pattern
+from .blocks_sql import events_sql
 from .marked import marked_sql
 from .queries import FAMILY_ORDER, LLOYD_ROUNDS, MD_PARTS, OWN_LEXICONS, OWN_WEIGHTS, R, REPORT_DATE
 
@@ -212,6 +213,8 @@ def oracle() -> dict[str, str]:
     out["html_escapes"] = f"WITH m AS ({_metrics()}) SELECT doc_id, CAST(html_escape_count AS BIGINT) AS html_escape_count FROM m"
     out["markdown_markers"] = _md_parts_sql("(SELECT page_id, html FROM pages) AS pg", "page_id", "html")
     out["markdown_marked_docs"] = _md_parts_sql(MARKED, "doc_id", "text")
+    out["markup_events"] = events_sql(MARKED, "doc_id", "text")
+    out["markup_events_pages"] = events_sql("(SELECT page_id, replace(html, '<', chr(10) || '<') AS html FROM pages) AS pg", "page_id", "html")
     out["labels"] = f"WITH m AS ({_metrics()}) SELECT doc_id, CAST(labels AS BIGINT) AS labels FROM m"
     out["hashtags"] = f"WITH m AS ({_metrics()}) SELECT doc_id, CAST(hashtags AS BIGINT) AS hashtags FROM m"
     out["text_metrics"] = f"WITH m AS ({_metrics()}) SELECT {_metrics_out('doc_id')} FROM m"

@@ -190,6 +190,16 @@ def q_markdown_marked_docs(spark, sf):
     return _markdown_parts(_marked(spark, sf), "doc_id", "text")
 
 
+def q_markup_events(spark, sf):
+    return text_ops.markup_events(_marked(spark, sf), ["doc_id"])
+
+
+def q_markup_events_pages(spark, sf):
+    """Pages with a line for each tag: nearly all of it HTML blocks."""
+    pages = corpus_src.table(spark, sf, "pages", "page_id", "html")
+    return text_ops.markup_events(pages.withColumn("html", F.replace("html", F.lit("<"), F.lit("\n<"))), ["page_id"], "html")
+
+
 def q_labels(spark, sf):
     return _metrics(spark, sf, only=["labels"]).select("doc_id", _long("labels").alias("labels"))
 
@@ -514,6 +524,8 @@ QUERIES: dict[str, Query] = {
     "html_escapes": q_html_escapes,
     "markdown_markers": q_markdown_markers,
     "markdown_marked_docs": q_markdown_marked_docs,
+    "markup_events": q_markup_events,
+    "markup_events_pages": q_markup_events_pages,
     "labels": q_labels,
     "hashtags": q_hashtags,
     "text_metrics": q_text_metrics,

@@ -15,7 +15,7 @@ from penmark.plans.queries import QUERIES  # noqa: E402
 SF = "/root/testdata/sf0.001"
 FAST = [
     "normalize_text", "split_sentences", "split_lines", "graphemes", "phrase_hits", "markdown_markers",
-    "markdown_marked_docs", "text_metrics", "text_metrics_pages", "text_metrics_conversations",
+    "markdown_marked_docs", "markup_events", "markup_events_pages", "text_metrics", "text_metrics_pages", "text_metrics_conversations",
     "feature_vector", "linf_assign", "lloyd_3_rounds", "inertia_at_centres", "cluster_emoji_mean",
     "name_ai_cluster", "point_confidence", "score", "verdict", "nonzero_metrics", "metrics_summary",
     "cluster_report", "report_by_lang", "report_null_rows", "report_by_source_rollup", "sample_per_cluster", "corpus_union",
