@@ -393,4 +393,10 @@ def oracle() -> dict[str, str]:
         "SELECT CAST(ceil(count(*) / 100.0) AS BIGINT) AS pages_found, CAST(ceil(count(*) / 100.0) AS BIGINT) AS pages_expected, "
         "CAST(count(*) AS BIGINT) AS items, true AS complete FROM documents"
     )
+    out["page_lines"] = out["paged_json"]
+    out["page_lines_audit"] = " UNION ALL ".join(
+        f"SELECT '{kind}' AS kind, CAST(ceil(count(*) / 20.0) AS BIGINT) AS pages_expected, CAST(count(*) AS BIGINT) AS items, "
+        f"CAST(0 AS BIGINT) AS n_corrupt, CAST(0 AS BIGINT) AS n_repeated, true AS all_found FROM {t}"
+        for kind, t in (("devlogs", "documents"), ("projects", "conversations"))
+    )
     return out

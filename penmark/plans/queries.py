@@ -482,6 +482,37 @@ def q_paged_json(spark, sf):
     return u.select("kind", _long(F.length("text")).alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+def _landed_lines(spark, sf) -> list[tuple[str, str]]:
+    """The same feeds as page lines: (kind, path)."""
+    base = os.path.dirname(_landed(spark, sf)[0])
+    out = []
+    for name, kind, cols in (("documents", "devlogs", ("doc_id", "text")), ("conversations", "projects", ("conv_id", "turn", "text"))):
+        path = os.path.join(base, f"{kind}_lines")
+        if not corpus_src.is_complete(spark, path):
+            rows = corpus_src.table(spark, sf, name, *cols)
+            field = paged_json.FEEDS[kind]
+            paged_json.write_page_lines(rows.withColumnRenamed("text", field), path, kind, field, page_size=20, mode="overwrite")
+        out.append((kind, path))
+    return out
+
+
+def q_page_lines(spark, sf):
+    """Both feeds landed as page lines, audited, read and united."""
+    feeds = _landed_lines(spark, sf)
+    for kind, path in feeds:
+        paged_json.require_complete(spark, path, kind, lines=True)
+    u = corpus_src.corpus_union([(kind, paged_json.read_pages(spark, path, kind, lines=True), "text") for kind, path in feeds])
+    return u.select("kind", _long(F.length("text")).alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+def q_page_lines_audit(spark, sf):
+    audits = [paged_json.page_audit(spark, path, kind, lines=True).withColumn("kind", F.lit(kind)) for kind, path in _landed_lines(spark, sf)]
+    return audits[0].unionByName(audits[1]).select(
+        "kind", *[_long(c).alias(c) for c in ("pages_expected", "items", "n_corrupt", "n_repeated")],
+        (F.col("pages_found") == F.col("pages_expected")).alias("all_found"),
+    )
+
+
 def q_train_from_feeds(spark, sf):
     """The whole training job as the original runs it: landed feed pages →
     typed rows → union of both feeds (cache-aside) → metrics → fit → report."""
@@ -561,4 +592,6 @@ QUERIES: dict[str, Query] = {
     "score_stream": q_score_stream,
     "train_from_feeds": q_train_from_feeds,
     "page_audit": q_page_audit,
+    "page_lines": q_page_lines,
+    "page_lines_audit": q_page_lines_audit,
 }

@@ -19,7 +19,7 @@ FAST = [
     "feature_vector", "linf_assign", "lloyd_3_rounds", "inertia_at_centres", "cluster_emoji_mean",
     "name_ai_cluster", "point_confidence", "score", "verdict", "nonzero_metrics", "metrics_summary",
     "cluster_report", "report_by_lang", "report_null_rows", "report_by_source_rollup", "sample_per_cluster", "corpus_union",
-    "report_by_kind", "cluster_samples", "page_audit", "score_display",
+    "report_by_kind", "cluster_samples", "page_audit", "page_lines", "page_lines_audit", "score_display",
     "kmeans_fit", "score_fitted", "training_report", "train_from_feeds", "score_own_weights", "lexicon_join_counts", "lexicon_join_totals",
 ]
 

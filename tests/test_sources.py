@@ -145,3 +145,82 @@ def test_page_that_does_not_decode(spark, tmpdir_fresh, body):
     assert [r.page for r in paged_json.missing_pages(spark, d, "devlogs").collect()] == [2]
     with pytest.raises(ValueError):
         paged_json.require_complete(spark, d, "devlogs")
+
+
+def _line(n, texts, pages=3, **more):
+    return json.dumps({"page": n, "devlogs": [{"text": t} for t in texts], "pagination": {"pages": pages, "count": 9}, **more})
+
+
+def _land_lines(folder, *files):
+    os.makedirs(folder)
+    for i, lines in enumerate(files):
+        with open(os.path.join(folder, f"part-{i}.json"), "w") as f:
+            f.write("\n".join(lines) + "\n")
+    return folder
+
+
+def test_page_lines_roundtrip_and_files_follow_bytes(spark, tmpdir_fresh):
+    texts = [f"text {i}\nwith a line" for i in range(5000)] + ["", "same", "same"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    size = sum(len(t) for t in texts)
+    for file_bytes, n_files in ((1 << 30, 1), (-(-size // 4), 4)):
+        d = os.path.join(tmpdir_fresh, f"lines-{n_files}")
+        paged_json.write_page_lines(docs, d, page_size=10, file_bytes=file_bytes)
+        assert len([f for f in os.listdir(d) if f.startswith("part-")]) == n_files  # for 501 pages
+        assert sorted(r.text for r in paged_json.read_pages(spark, d, lines=True).collect()) == sorted(texts)
+        audit = paged_json.page_audit(spark, d, lines=True).first()
+        assert (audit.complete, audit.pages_found, audit.items) == (True, 501, 5003)
+
+
+def test_page_lines_one_missing_page(spark, tmpdir_fresh):
+    d = os.path.join(tmpdir_fresh, "lines")
+    paged_json.write_page_lines(spark.range(2000).selectExpr("string(id) AS text"), d, page_size=5)
+    [part] = [f for f in os.listdir(d) if f.startswith("part-")]
+    with open(os.path.join(d, part)) as f:
+        kept = [x for x in f if json.loads(x)["page"] != 237]
+    cut = _land_lines(os.path.join(tmpdir_fresh, "cut"), [x.rstrip("\n") for x in kept])
+    assert [r.page for r in paged_json.missing_pages(spark, cut, lines=True).collect()] == [237]
+    audit = paged_json.page_audit(spark, cut, lines=True).first()
+    assert (audit.complete, audit.pages_found, audit.pages_expected) == (False, 399, 400)
+    with pytest.raises(ValueError, match="399 of 400"):
+        paged_json.require_complete(spark, cut, lines=True)
+
+
+def test_page_lines_strict(spark, tmpdir_fresh):
+    whole = [_line(1, ["a", "b"]), _line(2, [])]
+    cases = {
+        "torn": ([*whole, _line(3, ["c"])[:-9]], (2, 1, 0)),
+        "null": ([*whole, _line(3, ["c", None])], (2, 1, 0)),
+        "bare": ([*whole, json.dumps({"page": 3, "devlogs": []})], (2, 1, 0)),
+        "unnumbered": ([*whole, _line(None, ["c"])], (2, 1, 0)),
+    }
+    for name, (lines, want) in cases.items():
+        d = _land_lines(os.path.join(tmpdir_fresh, name), lines)
+        audit = paged_json.page_audit(spark, d, lines=True).first()
+        assert (audit.pages_found, audit.n_corrupt, audit.n_repeated) == want, name
+        assert not audit.complete
+        with pytest.raises(Exception):
+            paged_json.read_pages(spark, d, lines=True).collect()
+    good = _land_lines(os.path.join(tmpdir_fresh, "good"), whole, [_line(3, ["c"], extra=1)])
+    assert paged_json.page_audit(spark, good, lines=True).first().complete
+    again = _land_lines(os.path.join(tmpdir_fresh, "again"), whole, [_line(3, ["c"]), _line(1, ["a", "b"])])
+    audit = paged_json.page_audit(spark, again, lines=True).first()
+    assert (audit.complete, audit.n_repeated) == (False, 1)
+
+
+def test_pages_that_no_row_hashes_to_are_landed_empty(spark, tmpdir_fresh):
+    docs = spark.range(300).selectExpr("string(id) AS text")
+    for n, write in enumerate((paged_json.write_page_lines, paged_json.write_pages)):
+        d = os.path.join(tmpdir_fresh, f"sparse-{n}")
+        write(docs, d, page_size=1)
+        pages = paged_json.read_envelopes(spark, d, lines=n == 0).where("size(items) = 0").count()
+        audit = paged_json.page_audit(spark, d, lines=n == 0).first()
+        assert pages > 0 and (audit.complete, audit.pages_found, audit.items) == (True, 300, 300)
+
+
+def test_page_lines_of_an_empty_table(spark, tmpdir_fresh):
+    d = os.path.join(tmpdir_fresh, "none")
+    paged_json.write_page_lines(spark.createDataFrame([], "text string"), d)
+    assert paged_json.read_pages(spark, d, lines=True).count() == 0
+    audit = paged_json.page_audit(spark, d, lines=True).first()
+    assert (audit.complete, audit.pages_found, audit.items) == (True, 1, 0)  # one empty page
