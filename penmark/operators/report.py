@@ -53,7 +53,8 @@ def cluster_counts(labelled: DataFrame, ai_cluster: int | Column, k: int = 2,
                    cluster: str = "cluster") -> DataFrame:
     """One row: ai, human, total, both percentages (2 decimals) and n_null.
     Rows without a cluster (of null or undecodable texts) are neither ai nor
-    human and not in the total; ``n_null`` counts them in the same pass."""
+    human and not in the total; ``n_null`` counts them in the same pass. The
+    percentages of no rows are null."""
     is_ai = F.col(cluster) == (ai_cluster if isinstance(ai_cluster, Column) else F.lit(ai_cluster))
     row = labelled.agg(
         F.sum(F.when(is_ai, 1).otherwise(0)).cast("long").alias("ai"),
@@ -63,8 +64,8 @@ def cluster_counts(labelled: DataFrame, ai_cluster: int | Column, k: int = 2,
     total = F.col("ai") + F.col("human")
     return row.select(
         "ai", "human", total.alias("total"),
-        F.round(F.col("human") * F.lit(100.0) / total, 2).alias("human_pct"),
-        F.round(F.col("ai") * F.lit(100.0) / total, 2).alias("ai_pct"), "n_null",
+        F.round(F.try_divide(F.col("human") * F.lit(100.0), total), 2).alias("human_pct"),
+        F.round(F.try_divide(F.col("ai") * F.lit(100.0), total), 2).alias("ai_pct"), "n_null",
     )
 
 
@@ -72,7 +73,8 @@ def report_by(labelled: DataFrame, cols: list[str], ai_cluster: int, cluster: st
               rollup: bool = False) -> DataFrame:
     """The same shares per group (for example per language or source);
     with ``rollup`` a grand-total row (group columns null) is added. Rows
-    without a cluster are in ``n_null`` only."""
+    without a cluster are in ``n_null`` only; the percentages of a group of
+    such rows are null."""
     is_ai = F.col(cluster) == F.lit(ai_cluster)
     grouped = labelled.rollup(*cols) if rollup else labelled.groupBy(*cols)
     out = grouped.agg(
@@ -83,8 +85,8 @@ def report_by(labelled: DataFrame, cols: list[str], ai_cluster: int, cluster: st
     total = F.col("ai") + F.col("human")
     return out.select(
         *cols, "ai", "human", total.alias("total"),
-        F.round(F.col("human") * F.lit(100.0) / total, 2).alias("human_pct"),
-        F.round(F.col("ai") * F.lit(100.0) / total, 2).alias("ai_pct"), "n_null",
+        F.round(F.try_divide(F.col("human") * F.lit(100.0), total), 2).alias("human_pct"),
+        F.round(F.try_divide(F.col("ai") * F.lit(100.0), total), 2).alias("ai_pct"), "n_null",
     )
 
 
@@ -101,6 +103,43 @@ def sample_per_cluster(labelled: DataFrame, n: int = 5, key: str = "doc_id", see
     return labelled.withColumn("sample_rank", F.row_number().over(w)).where(F.col("sample_rank") <= n)
 
 
+def sample_by(labelled: DataFrame, cols: list[str], n: int = 5, key: str = "doc_id", seed: int = 42,
+              cluster: str = "cluster") -> DataFrame:
+    """Up to ``n`` rows of every group and cluster, with ``sample_rank``: those
+    with the smallest :func:`sample_key`. The sample of a union is the sample
+    of the parts' samples, so parts (tasks, micro-batches) can be merged.
+    Rows without a cluster are in no sample; a null group is a group."""
+    order = [sample_key(key, seed), F.col(key)]
+    w = Window.partitionBy(*cols, cluster).orderBy(*order)
+    # a generator of one row keeps the filter from being rewritten through all that a verdict is made of
+    rows = labelled.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in labelled.columns]))))
+    rows = rows.where(F.col(cluster).isNotNull())
+    return rows.withColumn("sample_rank", F.row_number().over(w)).where(F.col("sample_rank") <= n)
+
+
+def report_with_samples(labelled: DataFrame, cols: list[str], ai_cluster: int, n: int = 5, key: str = "doc_id",
+                        seed: int = 42, cluster: str = "cluster") -> DataFrame:
+    """:func:`report_by` and, per group, the keys of up to ``n`` sampled rows of
+    either kind (``ai_sample``, ``human_sample``, in the sample's order)."""
+    is_ai = F.col(cluster) == F.lit(ai_cluster)
+    # clusters other than the AI one are one kind, as in the counts
+    kinds = labelled.select(*cols, key, is_ai.alias("_ai"))
+    picked = sample_by(kinds, cols, n, key, seed, "_ai")
+
+    def keys(of: Column, name: str) -> Column:
+        rows = F.sort_array(F.collect_list(F.when(of, F.struct("sample_rank", F.col(key).alias("key")))))
+        return F.transform(rows, lambda r: r["key"]).alias(name)
+
+    # at most 2 n rows a group
+    lists = picked.groupBy(*[F.col(c).alias(f"_s_{c}") for c in cols]).agg(keys(F.col("_ai"), "ai_sample"), keys(~F.col("_ai"), "human_sample"))
+    out = report_by(labelled, cols, ai_cluster, cluster)
+    same = F.lit(True)
+    for c in cols:
+        same = same & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
+    none = F.array().cast(lists.schema["ai_sample"].dataType)
+    return out.join(lists, same, "left").select(*out.columns, *[F.coalesce(c, none).alias(c) for c in ("ai_sample", "human_sample")])
+
+
 def report_text_columns(date: str | Column | None = None, suffix: str = "") -> list[Column]:
     """The published line's fields over a counts row (``ai``, ``human``,
     ``human_pct``, ``ai_pct``): date as ``MMM d, yyyy``, counts with

@@ -393,6 +393,18 @@ def oracle() -> dict[str, str]:
         "SELECT CAST(ceil(count(*) / 100.0) AS BIGINT) AS pages_found, CAST(ceil(count(*) / 100.0) AS BIGINT) AS pages_expected, "
         "CAST(count(*) AS BIGINT) AS items, true AS complete FROM documents"
     )
+    ranked = "row_number() OVER (PARTITION BY {by} ORDER BY md5(CAST(doc_id AS VARCHAR) || '-42'), doc_id) AS rk"
+    out["score_stream_samples"] = (
+        ll + "SELECT lang, verdict, doc_id, CAST(rk AS BIGINT) AS sample_rank FROM (SELECT d.lang, s.verdict, doc_id, "
+        + ranked.format(by="d.lang, s.verdict") + " FROM scored s JOIN documents d USING (doc_id)) WHERE rk <= 5"
+    )
+    ids = "coalesce(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rk) FILTER (WHERE rk <= 3 AND {of}is_ai), '')"
+    out["report_samples_by_lang"] = (
+        ll + "SELECT lang, CAST(count(*) FILTER (WHERE is_ai) AS BIGINT) AS ai, CAST(count(*) FILTER (WHERE NOT is_ai) AS BIGINT) AS human, "
+        "round(count(*) FILTER (WHERE is_ai) * 100.0 / count(*), 2) AS ai_pct, CAST(0 AS BIGINT) AS n_null, "
+        f"{ids.format(of='')} AS ai_sample, {ids.format(of='NOT ')} AS human_sample FROM (SELECT lang, doc_id, is_ai, "
+        + ranked.format(by="lang, is_ai") + " FROM (SELECT lang, doc_id, lf.cluster = ai.ai_cluster AS is_ai FROM lf CROSS JOIN ai)) GROUP BY lang"
+    )
     out["page_lines"] = out["paged_json"]
     out["page_lines_audit"] = " UNION ALL ".join(
         f"SELECT '{kind}' AS kind, CAST(ceil(count(*) / 20.0) AS BIGINT) AS pages_expected, CAST(count(*) AS BIGINT) AS items, "

@@ -34,6 +34,7 @@ from ..sources import corpus as corpus_src
 from ..sources import paged_json
 from ..sources.model_io import Model, load_model, model_table, save_model
 from ..streaming.score_stream import start_scoring
+from ..streaming.samples import read_samples, start_sampling
 
 FEATS = lexicon.FEATURE_NAMES
 R = 6
@@ -445,6 +446,26 @@ def q_score_stream(spark, sf):
     return out.select("doc_id", _r("chance_ai").alias("chance_ai"), _r("chance_human").alias("chance_human"), "verdict")
 
 
+def q_report_samples_by_lang(spark, sf):
+    """Shares per language, with the ids of three sampled rows of either kind."""
+    lab, _, ai = _labelled(spark, sf)
+    out = report.report_with_samples(lab, ["lang"], ai, 3)
+    ids = [F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("ai_sample", "human_sample")]
+    return out.select("lang", "ai", "human", "ai_pct", "n_null", *ids)
+
+
+def q_score_stream_samples(spark, sf):
+    """The marked corpus as a stream of four micro-batches; the running sample
+    of five rows per language and verdict after the last of them."""
+    _, _, centres, _, ai, _ = _lloyd_model(spark, sf)
+    src, path = _scratch(spark, "sample-src"), _scratch(spark, "sample-state")
+    _marked(spark, sf, ("doc_id", "lang", "text")).repartition(4).write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    start_sampling(stream, Model(centres, ai), path, ["lang"]).awaitTermination()
+    return read_samples(spark, path).select("lang", "verdict", "doc_id", _long("sample_rank").alias("sample_rank"))
+
+
 def _landed(spark, sf) -> tuple[str, str]:
     """Land documents as devlog pages and conversations as project pages
     (cache-aside: written once per version of the two source tables)."""
@@ -590,6 +611,8 @@ QUERIES: dict[str, Query] = {
     "score_own_weights": q_score_own_weights,
     "training_report": q_training_report,
     "score_stream": q_score_stream,
+    "score_stream_samples": q_score_stream_samples,
+    "report_samples_by_lang": q_report_samples_by_lang,
     "train_from_feeds": q_train_from_feeds,
     "page_audit": q_page_audit,
     "page_lines": q_page_lines,
