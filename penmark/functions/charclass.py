@@ -51,6 +51,10 @@ QUOTE = cls(lexicon.QUOTE_CHARS)
 GRAPHEME_EXTEND = r"[\p{M}\x{200C}\x{200D}\x{1F3FB}-\x{1F3FF}\x{FF9E}\x{FF9F}\x{E0020}-\x{E007F}]"
 HYPHEN_IN_GRAPHEME = "-" + GRAPHEME_EXTEND
 
+# Runs of characters below U+0300 other than the two emoji among them: none of
+# the dashes, quotes, arrows, emoji and extending characters is in one.
+COMMON_RUN = r"[\x00-\xA8\xAA-\xAD\xAF-\x{2FF}]+"
+
 _META = set("\\.^$|?*+()[]{}")
 
 

@@ -98,14 +98,15 @@ def _uax29_joiner_breaks(t2: Column) -> Column:
     return F.when(t2.contains(ZWJ_RUN), fixed).otherwise(t2)
 
 
-def emoji_graphemes(t2: Column, table: frozenset[str] | None = None) -> Column:
-    """The emoji graphemes of ``t2``, in order (an array; null for null)."""
+def emoji_graphemes(t2: Column, table: frozenset[str] | None = None, rare: Column | None = None) -> Column:
+    """The emoji graphemes of ``t2``, in order (an array; null for null).
+    ``rare``, if given, holds at least the characters of the gate in ``t2``."""
     table = table if table is not None else emoji_table()
     rx = lookup_regex(table)
     graph = F.regexp_extract_all(_uax29_joiner_breaks(t2), F.lit(EXTRACT), F.lit(0))
     hits = F.filter(graph, lambda g: g.rlike(rx))
     empty = F.array().cast("array<string>")
-    return F.when(t2.isNull(), F.lit(None).cast("array<string>")).when(t2.rlike(GATE), hits).otherwise(empty)
+    return F.when(t2.isNull(), F.lit(None).cast("array<string>")).when((t2 if rare is None else rare).rlike(GATE), hits).otherwise(empty)
 
 
 def emoji_count(t2: Column, table: frozenset[str] | None = None) -> Column:

@@ -66,7 +66,8 @@ EMPHASIS = (
 BULLET = "•"
 # Every block construct needs a line that starts (after up to three spaces)
 # with one of these characters, or an indented line.
-BLOCK_GATE = r"(?:^|\n)(?: {0,3}[#>=*_\-]| {4}|\t)"
+BLOCK_LINE = r"(?: {0,3}[#>=*_\-]| {4}|\t)"
+BLOCK_GATE = r"(?:^|\n)" + BLOCK_LINE
 
 MARKDOWN_PARTS = [
     "md_fence", "md_setext", "md_atx", "md_rule", "md_quote", "md_indented",
@@ -98,14 +99,14 @@ def markdown_steps(t0: str = "text", prefix: str = "_md_") -> S.Steps:
         [
             (f"{p}fbt", gated(has_fence, S.count(x(t0), FENCE_BACKTICK), zero)),
             (f"{p}a1", gated(has_fence, S.rreplace(x(t0), FENCE_BACKTICK, "\n"), x(t0))),
-            (f"{p}bullet", S.count(x(t0), BULLET)),
+            (f"{p}bullet", S.quick(S.contains(x(t0), BULLET), S.count(x(t0), BULLET), S.zero_or_null(x(t0)))),
         ],
         [
             (f"{p}ftl", gated(has_fence, S.count(x(f"{p}a1"), FENCE_TILDE), zero)),
             (f"{p}a", gated(has_fence, S.rreplace(x(f"{p}a1"), FENCE_TILDE, "\n"), x(f"{p}a1"))),
         ],
         [
-            (f"{p}blk", S.rlike(x(f"{p}a"), BLOCK_GATE)),
+            (f"{p}blk", S.native(_block_gate, lambda sql: S.to_sql(S.rlike(S.col(sql), BLOCK_GATE)), x(f"{p}a"))),
             (f"{p}i0", gated(S.contains(x(f"{p}a"), "`"), S.rreplace(x(f"{p}a"), CODE_SPAN, "x"), x(f"{p}a"))),
         ],
         [
@@ -161,6 +162,11 @@ def markdown_steps(t0: str = "text", prefix: str = "_md_") -> S.Steps:
     return steps
 
 
+def _block_gate(text: Column) -> Column:
+    """``BLOCK_GATE``, its two anchors apart: the one is tried once, the other fails at every character but a newline."""
+    return text.rlike("^" + BLOCK_LINE) | text.rlike("\\n" + BLOCK_LINE)
+
+
 def _open_comments(text: Column) -> Column:
     """Comments that no ``-->`` follows are spelled ``<!-.``: they count
     nothing, and the comment pattern need not search to the end from each."""

@@ -70,6 +70,45 @@ def family_pattern_fast(family: str) -> str:
     return f"(?=[{cls}])" + family_pattern(family)
 
 
+# Characters from frequent to rare in European prose; any other is rarer.
+FREQUENCY = " etaoinsrhldcumfpgwybvkxjqz"
+
+
+def _anchors(phrases: list[str]) -> dict[str, str]:
+    """One character of each phrase, of few and rare ones: frequent characters
+    are given up as long as every phrase keeps another."""
+    rank = {c: len(FREQUENCY) - i for i, c in enumerate(FREQUENCY)}
+    kept = {c for p in phrases for c in p}
+    for c in FREQUENCY:
+        if all(set(p) & (kept - {c}) for p in phrases):
+            kept.discard(c)
+    return {p: min(set(p) & kept, key=lambda c: (rank.get(c, 0), c)) for p in phrases}
+
+
+def anchor_pattern(phrases: list[str]) -> str:
+    """One match, of one character, at the anchor of every occurrence (Java
+    only). Each occurrence holds its anchor, so no match means that nothing
+    occurs, and one match that all that occurs shares a character: the
+    non-overlapping count is then 0 or 1. Nearly every position fails after
+    one class test, which the trie of a large family does not offer."""
+    if not phrases:
+        raise ValueError("empty phrase family")
+    tails: dict = {}
+    for p, c in sorted(_anchors(phrases).items()):
+        tails.setdefault(c, {}).setdefault(p[p.index(c) + 1 :], []).append(p)
+    branches = []
+    for c, by_tail in sorted(tails.items()):
+        ends = [escape(tail) + "(?<=" + "|".join(escape(p) for p in whole) + ")" for tail, whole in sorted(by_tail.items())]
+        branches.append(escape(c) + "(?:" + "|".join(ends) + ")")
+    cls = "[" + "".join("\\" + c if c in "\\^-[]&" else c for c in sorted(tails)) + "]"
+    return f"(?={cls})(?={'|'.join(branches)}){cls}"
+
+
+@lru_cache(maxsize=None)
+def family_anchor_pattern(family: str) -> str:
+    return anchor_pattern(family_phrases(family))
+
+
 def family_phrases(family: str) -> list[str]:
     return reduce_family(lexicon.FAMILIES[family])
 

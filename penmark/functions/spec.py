@@ -108,6 +108,17 @@ def native(spark_fn, sql_fn, *es: E) -> E:
     return E("native", (spark_fn, sql_fn) + es)
 
 
+def quick(cond: E, then: E, otherwise: E) -> E:
+    """``then``, which Spark computes only where a cheap necessary condition
+    holds; elsewhere ``otherwise`` is the same value. The twin has ``then`` alone."""
+    return E("quick", (cond, then, otherwise))
+
+
+def spark_only(spark_fn, *es: E) -> E:
+    """A helper column of the Spark side; the twin's steps leave it out."""
+    return E("spark_only", (spark_fn,) + es)
+
+
 # ------------------------------------------------------------------ Spark side
 def to_column(e: E) -> Column:
     op, a = e.op, e.args
@@ -136,7 +147,7 @@ def to_column(e: E) -> Column:
         for x in a[1:]:
             out = out | to_column(x)
         return out
-    if op == "when":
+    if op in ("when", "quick"):
         return F.when(to_column(a[0]), to_column(a[1])).otherwise(to_column(a[2]))
     if op == "greatest":
         return F.greatest(*[to_column(x) for x in a])
@@ -157,6 +168,8 @@ def to_column(e: E) -> Column:
         return to_column(a[0]).cast("double")
     if op == "native":
         return a[0](*[to_column(x) for x in a[2:]])
+    if op == "spark_only":
+        return a[0](*[to_column(x) for x in a[1:]])
     raise ValueError(op)
 
 
@@ -206,6 +219,8 @@ def to_sql(e: E) -> str:
         return "(" + " OR ".join(to_sql(x) for x in a) + ")"
     if op == "when":
         return f"(CASE WHEN {to_sql(a[0])} THEN {to_sql(a[1])} ELSE {to_sql(a[2])} END)"
+    if op == "quick":
+        return to_sql(a[1])
     if op == "greatest":
         return "greatest(" + ", ".join(to_sql(x) for x in a) + ")"
     if op == "zero_or_null":
@@ -237,6 +252,8 @@ def apply_steps(df, steps: Steps):
 
 def sql_steps(source: str, steps: Steps, final_select: str, cte_prefix: str = "s") -> str:
     """The same levels as a chain of DuckDB CTEs over ``source``."""
+    steps = [[(name, expr) for name, expr in level if expr.op != "spark_only"] for level in steps]
+    steps = [level for level in steps if level]
     ctes = [f"{cte_prefix}0 AS (SELECT * FROM {source})"]
     for i, level in enumerate(steps, start=1):
         cols = ", ".join(f"{to_sql(expr)} AS {name}" for name, expr in level)

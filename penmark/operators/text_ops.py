@@ -15,7 +15,7 @@ from ..functions import spec as S
 from ..functions.blocks import COUNTS, block_counts
 from ..functions.metrics import normalize_steps
 from ..functions.normalize import graphemes, split_lines, split_sentences, split_words
-from ..functions.phrases import family_pattern, reduce_family, trie_regex
+from ..functions.phrases import anchor_pattern, family_anchor_pattern, family_pattern, reduce_family, trie_regex
 
 FAMILY_ORDER = ["buzzword", "negative", "fancy", "not_just", "devlog", "ellipsis", "perspective", "backstory"]
 
@@ -57,13 +57,18 @@ def phrase_hits(df: DataFrame, text: str = "text", lexicons: dict[str, list[str]
     table. Exact per phrase, because the reduced families are unambiguous."""
     t = with_text_states(df.select(text), text)
     if lexicons:
-        pats = {f: trie_regex(reduce_family(p)) for f, p in lexicons.items()}
+        pats = {f: (trie_regex(reduce_family(p)), anchor_pattern(reduce_family(p))) for f, p in lexicons.items()}
     else:
-        pats = {f: family_pattern(f) for f in FAMILY_ORDER}
+        pats = {f: (family_pattern(f), family_anchor_pattern(f)) for f in FAMILY_ORDER}
+    # the trie runs only where a phrase is anchored
+    none = F.array().cast("array<string>")
     hits = [
-        F.struct(F.lit(f).alias("family"), F.regexp_extract_all("_t2", F.lit(p), F.lit(0)).alias("hits"))
-        for f, p in pats.items()
-    ]
+        F.struct(
+            F.lit(f).alias("family"),
+            F.when(F.col("_t2").rlike(at), F.regexp_extract_all("_t2", F.lit(p), F.lit(0))).otherwise(none).alias("hits"),
+        )
+        for f, (p, at) in pats.items()
+    ]
     ex = t.select(F.explode(F.array(*hits)).alias("h")).select(
         F.col("h.family").alias("family"), F.explode("h.hits").alias("phrase")
     )
