@@ -40,6 +40,8 @@ FEATS = lexicon.FEATURE_NAMES
 R = 6
 REPORT_DATE = "2025-08-09"
 LLOYD_ROUNDS = 3
+STREAM_BATCHES = 4
+STREAM_FILE_BYTES = 4 << 20
 # a user's own weights (of some metrics) and phrases (of one family)
 OWN_WEIGHTS = {"emoji_rate": 3.0, "labels": 4.0, "irregular_dashes": 2.5}
 OWN_LEXICONS = {"devlog": ["devlog", "today, we", "we fixed", "wip"]}
@@ -431,15 +433,24 @@ def q_training_report(spark, sf):
     return pipeline.training_report(_trained(spark, sf), REPORT_DATE)
 
 
+def _landed_stream(spark, sf, name: str, cols: tuple[str, ...], file_bytes: int = STREAM_FILE_BYTES) -> DataFrame:
+    """The marked corpus landed as Parquet files and read as a stream of
+    ``STREAM_BATCHES`` micro-batches. The number of files follows the bytes,
+    so a micro-batch of a large corpus has many, and as many tasks."""
+    src = _scratch(spark, name)
+    size = corpus_src.stored_bytes(spark, os.path.join(sf, "documents.parquet"))
+    n_files = max(STREAM_BATCHES, -(-size // file_bytes))
+    _marked(spark, sf, cols).repartition(n_files).write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", -(-n_files // STREAM_BATCHES)).parquet(src)
+
+
 def q_score_stream(spark, sf):
     """Land the marked corpus as Parquet files, stream them through the
     scoring projection (availableNow) into a Parquet sink, read the sink."""
     _, _, centres, _, ai, _ = _lloyd_model(spark, sf)
-    src = _scratch(spark, "stream-src")
-    _marked(spark, sf).repartition(4).write.parquet(src)
-    schema = spark.read.parquet(src).schema
+    stream = _landed_stream(spark, sf, "stream-src", ("doc_id", "text"))
     sink = _scratch(spark, "stream-sink")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     q = start_scoring(stream, Model(centres, ai), sink, keep=["doc_id"])
     q.awaitTermination()
     out = spark.read.parquet(sink)
@@ -458,10 +469,8 @@ def q_score_stream_samples(spark, sf):
     """The marked corpus as a stream of four micro-batches; the running sample
     of five rows per language and verdict after the last of them."""
     _, _, centres, _, ai, _ = _lloyd_model(spark, sf)
-    src, path = _scratch(spark, "sample-src"), _scratch(spark, "sample-state")
-    _marked(spark, sf, ("doc_id", "lang", "text")).repartition(4).write.parquet(src)
-    schema = spark.read.parquet(src).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    path = _scratch(spark, "sample-state")
+    stream = _landed_stream(spark, sf, "sample-src", ("doc_id", "lang", "text"))
     start_sampling(stream, Model(centres, ai), path, ["lang"]).awaitTermination()
     return read_samples(spark, path).select("lang", "verdict", "doc_id", _long("sample_rank").alias("sample_rank"))
 

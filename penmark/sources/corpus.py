@@ -51,6 +51,12 @@ def fingerprint(spark: SparkSession, *paths: str) -> str:
     return hashlib.sha1("|".join(parts).encode()).hexdigest()[:12]
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """The bytes of a file, or of all files in a folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     """A folder written by a finished Spark job carries a ``_SUCCESS`` marker."""
     return _exists(spark, path.rstrip("/") + "/_SUCCESS")
