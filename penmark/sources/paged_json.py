@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FEEDS = {"devlogs": "text", "projects": "description"}
+PART_BYTES = 16 << 20
 
 PAGINATION = T.StructType(
     [T.StructField("pages", T.IntegerType(), True), T.StructField("count", T.IntegerType(), True)]
@@ -154,14 +155,25 @@ def _envelopes(dealt: DataFrame, kind: str, n_pages: int, total: int) -> DataFra
     return pages.select("page", kind, F.struct(F.lit(n_pages).alias("pages"), F.lit(total).alias("count")).alias("pagination"))
 
 
+def _landing(df: DataFrame, text: str, kind: str, page_size: int, part_bytes: int) -> tuple[DataFrame, int, int]:
+    """(pages, their number, bytes of text). Texts are shuffled once, to
+    partitions of about ``part_bytes``, and pages are made of one partition at
+    a time: a task holds so much, whatever the table or the file it writes."""
+    sizes = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(text)).alias("bytes")).first()
+    n_pages = max(1, -(-sizes["rows"] // page_size))
+    size = sizes["bytes"] or 0
+    n_parts = min(n_pages, max(1, -(-size // part_bytes)))
+    # the grouping needs no shuffle of its own after this one, nor a sort before it
+    dealt = _dealt(df, text, FEEDS[kind], n_pages).repartition(n_parts, "page")
+    return _envelopes(dealt, kind, n_pages, sizes["rows"]), n_pages, size
+
+
 def write_pages(df: DataFrame, path: str, kind: str = "devlogs", text: str = "text",
                 page_size: int = 100, mode: str = "errorifexists") -> None:
     """Land a table as feed pages of about ``page_size`` items, one JSON
     document per page folder. For feeds of very many pages see
     :func:`write_page_lines`."""
-    total = df.count()
-    n_pages = max(1, -(-total // page_size))
-    out = _envelopes(_dealt(df, text, FEEDS[kind], n_pages), kind, n_pages, total)
+    out, _, _ = _landing(df, text, kind, page_size, PART_BYTES)
     # the grouping has dealt the pages by hash: each task writes its pages one after the other
     out.write.mode(mode).partitionBy("page").json(path)
 
@@ -171,10 +183,7 @@ def write_page_lines(df: DataFrame, path: str, kind: str = "devlogs", text: str
     """Land a table as page lines: one JSON document per page and line, with
     its number inside, in files of about ``file_bytes`` of text. A file holds
     whatever pages hash to it, so 10^9 rows are as many files as their bytes
-    ask for. Texts are shuffled once."""
-    sizes = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(text)).alias("bytes")).first()
-    n_pages = max(1, -(-sizes["rows"] // page_size))
-    n_files = min(n_pages, max(1, -(-(sizes["bytes"] or 0) // file_bytes)))
-    # the grouping needs no shuffle of its own after this one
-    dealt = _dealt(df, text, FEEDS[kind], n_pages).repartition(n_files, "page")
-    _envelopes(dealt, kind, n_pages, sizes["rows"]).write.mode(mode).json(path)
+    ask for. A task takes the partitions of its file one after the other."""
+    out, n_pages, size = _landing(df, text, kind, page_size, min(PART_BYTES, file_bytes))
+    n_files = min(n_pages, max(1, -(-size // file_bytes)))
+    out.coalesce(n_files).write.mode(mode).json(path)

@@ -224,3 +224,23 @@ def test_page_lines_of_an_empty_table(spark, tmpdir_fresh):
     assert paged_json.read_pages(spark, d, lines=True).count() == 0
     audit = paged_json.page_audit(spark, d, lines=True).first()
     assert (audit.complete, audit.pages_found, audit.items) == (True, 1, 0)  # one empty page
+
+
+def test_pages_are_made_of_small_partitions(spark, tmpdir_fresh, monkeypatch):
+    """A file of page lines is written partition by partition, so what a task
+    holds does not grow with the file; texts enter no sort before the shuffle."""
+    monkeypatch.setattr(paged_json, "PART_BYTES", 20_000)
+    docs = spark.range(4000).selectExpr("repeat(string(id), 20) AS text")
+    out, n_pages, size = paged_json._landing(docs, "text", "devlogs", 10, paged_json.PART_BYTES)
+    held = out.select(F.spark_partition_id().alias("p"), F.expr("aggregate(devlogs, 0, (a, x) -> a + octet_length(x.text))").alias("n"))
+    most = held.groupBy("p").agg(F.sum("n").alias("n")).agg(F.max("n"), F.sum("n")).first()
+    assert n_pages == 400 and most[1] == size and most[0] < 2 * 20_000 < size / 6
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan[plan.index("Exchange") :]
+    for name, write in (("lines", paged_json.write_page_lines), ("pages", paged_json.write_pages)):
+        d = os.path.join(tmpdir_fresh, name)
+        write(docs, d, page_size=10)
+        back = paged_json.read_pages(spark, d, lines=name == "lines").select("text")
+        assert back.exceptAll(docs).count() == 0 and back.count() == 4000
+        assert paged_json.page_audit(spark, d, lines=name == "lines").first().complete
+    assert len([f for f in os.listdir(os.path.join(tmpdir_fresh, "lines")) if f.startswith("part-")]) == 1
