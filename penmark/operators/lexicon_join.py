@@ -7,11 +7,13 @@ of phrases. Here the lexicon is a table ``(family, phrase)``:
   phrase posts itself), the one that the fewest phrases of the lexicon hold,
   with its place in the phrase. Which one it is changes the work, not the result.
 * **positions**: the flattened text (T2) is cut into blocks that know as many
-  characters on either side as the longest phrase needs. Every position's gram
-  is looked up among the anchors, and the phrase is compared with the text
-  around in the join's own condition, so only occurrences leave the scan's
-  tasks. The anchors are broadcast behind a check of their number and bytes;
-  beyond it the join is left to Spark.
+  characters on either side as the longest phrase needs. Every position's grams
+  are hashed in one pass over a block's characters, and those whose bucket holds
+  no anchor are dropped there: a row is made only of the others. Their grams are
+  looked up among the anchors, and the phrase is compared with the text around in
+  the join's own condition, so only occurrences leave the scan's tasks. The
+  buckets are a table of bits of fixed size. The anchors are broadcast behind a
+  check of their number and bytes; beyond it the join is left to Spark.
 * **overlaps**: within a text and family the occurrence that ends first counts,
   of those that end together the shortest, and the next one starts at or after
   its end: the rule of the regexes, with no need to drop phrases that contain
@@ -28,6 +30,8 @@ counted each; an empty lexicon finds nothing. A phrase may have at most
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +40,7 @@ from .text_ops import with_text_states
 
 GRAM = 5
 BLOCK = 512
-PIECE = 64
+BUCKET_BITS = 20
 LONGEST = 4096
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
@@ -75,6 +79,81 @@ def _blocks(texts: DataFrame, names: list[str], block: int, reach: int) -> DataF
     return parts.select(*names, *[F.col(f"_b.{c}").alias(f"_{c}") for c in ("base", "lead", "n", "window")])
 
 
+# The functions below go to the tasks whole, as closures: a worker need not have this package.
+MIX = 0x9E3779B97F4A7C15
+
+
+def _bucket():
+    """A gram's bucket: the upper bits of its rolling hash; -1 for a gram that
+    is not UTF-8 (a block that holds one keeps all its places)."""
+    shift, mix, full = 64 - BUCKET_BITS, MIX, (1 << 64) - 1
+
+    def bucket(grams: pa.Array) -> pa.Array:
+        out = []
+        for raw in grams.cast(pa.large_binary()).to_pylist():
+            h = 0
+            try:
+                for c in raw.decode():
+                    h = (h + ord(c) + 1) * mix & full
+                out.append(h >> shift)
+            except UnicodeDecodeError:
+                out.append(-1)
+        return pa.array(out, pa.int32())
+
+    return F.arrow_udf(bucket, "int")
+
+
+def _places(held: bytes, sizes: list[int], rows: int = 128):
+    """Of each block the places (from its first character on) where a gram of
+    one of ``sizes`` falls into a bucket with anchors, as 8 * place + size."""
+    shift, mix = np.uint64(64 - BUCKET_BITS), np.uint64(MIX)
+
+    def of(raw: list[bytes], lead: np.ndarray, n: np.ndarray, length: np.ndarray, known: np.ndarray):
+        """(codes, their number by block) of some blocks."""
+        try:
+            chars = np.frombuffer(b"".join(raw).decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
+        except UnicodeDecodeError:
+            chars = None
+        if chars is None or len(chars) != length.sum():  # not UTF-8: block by block, and all places of such a block
+            if len(raw) == 1:
+                codes = (np.arange(n[0])[:, None] * 8 + np.array(sizes)).ravel()
+                return codes, np.array([len(codes)])
+            each = [of(raw[i : i + 1], *(a[i : i + 1] for a in (lead, n, length)), known) for i in range(len(raw))]
+            return tuple(np.concatenate(parts) for parts in zip(*each))
+        h, hits = np.zeros(len(chars), np.uint64), []
+        chars += np.uint64(1)
+        for size in range(1, min(sizes[-1], len(chars)) + 1):
+            h = (h[: len(chars) - size + 1] + chars[size - 1 :]) * mix
+            if size in sizes:
+                hits.append(np.flatnonzero(known[(h >> shift).astype(np.intp)]) * 8 + size)
+        hits = np.sort(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
+        ends = np.cumsum(length)
+        block = np.searchsorted(ends, hits >> 3, "right")
+        place = (hits >> 3) - (ends - length + lead)[block]
+        keep = (place >= 0) & (place < n[block])
+        return place[keep] * 8 + (hits[keep] & 7), np.bincount(block[keep], minlength=len(raw))
+
+    def places(window: pa.Array, lead: pa.Array, n: pa.Array, length: pa.Array) -> pa.Array:
+        known = np.unpackbits(np.frombuffer(held, np.uint8)).astype(bool)
+        raw = window.cast(pa.large_binary()).to_pylist()
+        numbers = [a.to_numpy(zero_copy_only=False).astype(np.int64) for a in (lead, n, length)]
+        found = [of(raw[i : i + rows], *(a[i : i + rows] for a in numbers), known) for i in range(0, len(raw), rows)]
+        codes, counts = (np.concatenate(parts) for parts in zip(*found)) if found else (np.zeros(0), np.zeros(0))
+        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(codes.astype(np.int32)))
+
+    return F.arrow_udf(places, "array<int>")
+
+
+def _held(posts: DataFrame) -> bytes:
+    """The buckets that hold anchors, as bits; 2**BUCKET_BITS of them at most
+    come here, whatever the lexicon."""
+    buckets = posts.select(_bucket()("gram").alias("bucket")).distinct().toArrow()["bucket"].to_numpy()
+    known = np.zeros(1 << BUCKET_BITS, bool)
+    known[buckets[buckets >= 0]] = True
+    return np.packbits(known).tobytes()
+
+
 def _keyed(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return df.select(*keys, F.md5(F.col(text)).alias("_text"), text)
 
@@ -96,19 +175,13 @@ def occurrences(df: DataFrame, keys: list[str], lexicon: DataFrame, text: str =
     small = size["rows"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES
     texts = with_text_states(_keyed(df, keys, text), text).select(*names, "_t2")
     blocks = _blocks(texts, names, max(BLOCK, size["longest"]), size["longest"] - 1)
-    # a gram is cut from a short piece: a place in a long string is found by walking to it
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.col("_n") - 1, F.lit(PIECE)),
-        lambda q: F.struct(
-            q.alias("from"), F.least(F.lit(PIECE), F.col("_n") - q).alias("n"),
-            F.col("_window").substr(F.col("_lead") + q + 1, F.lit(PIECE + GRAM - 1)).alias("chars"),
-        ),
-    )
-    places = blocks.select(*names, "_base", "_lead", "_window", F.explode_outer(pieces).alias("_q"))
-    places = places.select(*names, "_base", "_lead", "_window", "_q", F.explode_outer(F.sequence(F.lit(0), F.col("_q.n") - 1)).alias("_i"))
-    at = F.col("_q.from") + F.col("_i")
-    grams = F.array(*[F.col("_q.chars").substr(F.col("_i") + 1, F.lit(s)) for s in size["sizes"]])
-    places = places.select(*names, "_base", "_window", at.alias("_p"), (F.col("_lead") + at).alias("_in"), F.explode(grams).alias("_gram"))
+    code = _places(_held(posts), size["sizes"])("_window", "_lead", "_n", F.length("_window"))
+    places = blocks.select(*names, "_base", "_lead", "_window", code.alias("_codes"))
+    # explode_outer: for explode, Spark infers a filter that asks for the codes once more
+    places = places.select(*names, "_base", "_lead", "_window", F.explode_outer("_codes").alias("_code"))
+    at = F.shiftright("_code", 3)
+    gram = F.col("_window").substr(F.col("_lead") + at + 1, F.col("_code").bitwiseAND(F.lit(7)))
+    places = places.select(*names, "_base", "_window", at.alias("_p"), (F.col("_lead") + at).alias("_in"), gram.alias("_gram"))
     theirs = posts.select(*[F.col(c).alias(f"p_{c}") for c in posts.columns])
     first = F.col("_in") - F.col("p_at")
     same = (first >= 0) & (F.col("_window").substr(first + 1, F.length("p_phrase")) == F.col("p_phrase"))

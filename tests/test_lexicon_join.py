@@ -113,3 +113,35 @@ def test_defined_cases(spark):
     assert lj.lexicon_totals(docs.where("false"), lexicon).count() == 0
     with pytest.raises(ValueError):
         lj.lexicon_totals(docs, spark.createDataFrame([("f", "x" * 5000)], "family string, phrase string"))
+
+
+def _codes(spark, lexicon, windows):
+    """Windows given as bytes, each a block by itself: [(place, size)] of each."""
+    posts = lj.postings(lexicon).localCheckpoint()
+    sizes = sorted(r[0] for r in posts.select(F.length("gram")).distinct().collect())
+    df = spark.createDataFrame([(i, w.hex()) for i, w in enumerate(windows)], "i int, hex string").repartition(1)
+    df = df.select("i", F.unhex("hex").cast("string").alias("w"))
+    code = lj._places(lj._held(posts), sizes)("w", F.lit(0), F.length("w"), F.length("w"))
+    return {r["i"]: [(c >> 3, c & 7) for c in r["c"]] for r in df.select("i", code.alias("c")).collect()}, sizes
+
+
+def test_few_places_are_looked_up(spark):
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 9))) for _ in range(400))
+    texts = [f"{text[:200]} {p} {text[i:300 + i]}" for i, ps in enumerate(lex.FAMILIES.values()) for p in ps]
+    lexicon = _builtin(spark)
+    got, _ = _codes(spark, lexicon, [t.encode() for t in texts])
+    assert sum(map(len, got.values())) < sum(map(len, texts)) / 20
+    anchors = {(r["gram"]) for r in lj.postings(lexicon).collect()}
+    for i, t in enumerate(texts):
+        want = {(at, n) for n in range(1, lj.GRAM + 1) for at in range(len(t) - n + 1) if t[at : at + n] in anchors}
+        assert want <= set(got[i]) and want
+
+
+def test_places_of_texts_that_are_not_utf8(spark):
+    lexicon = spark.createDataFrame([("f", "abc"), ("f", "€"), ("f", "seamless")], "family string, phrase string")
+    # the second and third are UTF-8 only when joined
+    got, sizes = _codes(spark, lexicon, [b"xabc", b"abc\xe2", b"\x82\xacabc", "😀€".encode(), b"", b"zz", b"\xffabc"])
+    assert sizes == [1, 3, 5]
+    whole = lambda n: [(at, s) for at in range(n) for s in sizes]
+    assert got == {0: [(1, 3)], 1: whole(4), 2: whole(5), 3: [(1, 1)], 4: [], 5: [], 6: whole(4)}
